@@ -119,7 +119,7 @@ def unfold(cells: DataFrame, bins: DataFrame, tol: float = 1e-3, max_iter: int =
 
     def solve(key, c: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if b.empty:
-            return pd.DataFrame(columns=["variant"])
+            return pd.DataFrame()
         response, p_err, eff, data, data_err, prior, b = _matrices(c, b)
         flags = b[groups].to_numpy() if groups else np.ones(len(b), dtype=int)
         smoother = (lambda n: smooth_log(n, degree, flags)) if degree is not None else None
@@ -133,10 +133,12 @@ def unfold(cells: DataFrame, bins: DataFrame, tol: float = 1e-3, max_iter: int =
         seen = response @ last_input
         pull = _divide(data, seen)
         gain = _divide(last_input, eff)
-        direct = (np.outer(pull, gain) * p_err) ** 2
-        shared = (response * np.outer(_divide(pull, seen), gain)) ** 2
-        through = ((p_err ** 2) @ (last_input ** 2))[:, None] * shared
-        sys = np.sqrt((direct + through).sum(axis=0))
+        var = p_err ** 2
+        direct = np.outer(pull, gain)
+        shared = response * np.outer(_divide(pull, seen), gain)
+        through = (var @ (last_input ** 2))[:, None] * shared ** 2
+        own = (direct ** 2 - 2 * direct * shared * last_input) * var
+        sys = np.sqrt(np.clip((own + through).sum(axis=0), 0, None))
         return pd.DataFrame({
             "variant": key[0], "bin": b["bin"].to_numpy(), "unfolded": n, "stat_err": stat,
             "sys_err": sys, "iterations": it, "ks": ks})
@@ -151,7 +153,7 @@ def unfold_history(cells: DataFrame, bins: DataFrame, tol: float = 1e-3,
 
     def solve(key, c: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if b.empty:
-            return pd.DataFrame(columns=["variant"])
+            return pd.DataFrame()
         response, _, eff, data, _, prior, b = _matrices(c, b)
         return pd.concat([
             pd.DataFrame({"variant": key[0], "iteration": it, "bin": b["bin"].to_numpy(),
