@@ -11,7 +11,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from muonloom.functions.features import log_array
 from muonloom.functions.guards import log10_feature, ratio
@@ -242,11 +242,11 @@ def permutation_importance(model: PipelineModel, held_out: DataFrame, keys: Sequ
         "position", F.explode(F.sequence(F.lit(-1), F.lit(n_features - 1)))
     ).select("position", "label", array_to_vector(swapped).alias("features"))
     scores = metrics(model.transform(rows), "label", "prediction", by=["position"])
-    base_r2 = scores.filter(F.col("position") == -1).agg(F.max("r2")).scalar()
-    drop = scores.filter(F.col("position") >= 0).select(
-        "position", F.greatest(base_r2 - F.col("r2"), F.lit(0.0)).alias("value"))
-    total = drop.agg(F.sum("value")).scalar()
-    return drop.withColumn("value", F.coalesce(ratio(F.col("value"), total), F.lit(0.0)))
+    everything = Window.partitionBy(F.lit(0))  # spans n_features + 1 rows
+    base_r2 = F.max(F.when(j < 0, F.col("r2"))).over(everything)
+    drop = scores.withColumn("value", F.greatest(base_r2 - F.col("r2"), F.lit(0.0))).filter(j >= 0)
+    share = ratio(F.col("value"), F.sum("value").over(everything))
+    return drop.select("position", F.coalesce(share, F.lit(0.0)).alias("value"))
 
 
 def evaluate(scored: DataFrame, label: str = "label", prediction: str = "prediction",
