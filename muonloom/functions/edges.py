@@ -26,13 +26,34 @@ CHARGE_EDGES = logspace(-5, 5, 201)
 GAP_EDGES = linspace(0.0, 2.0, 153)
 
 
+def _step(values: np.ndarray) -> float | None:
+    """Common step of evenly spaced values, else None."""
+    steps = np.diff(values)
+    mean = float((values[-1] - values[0]) / len(steps))
+    return mean if np.allclose(steps, mean, rtol=0, atol=abs(mean) * 0.01) else None
+
+
+def _literals(edges: Sequence[float]) -> Column:
+    # folds to one array literal
+    return F.array(*[F.lit(float(e)) for e in edges])
+
+
 def bin_index(x: Column, edges: Sequence[float]) -> Column:
     """0-based bin of x, NULL outside; bins are half open but the last holds its upper edge.
 
-    The edges become a balanced tree of comparisons, so a row costs log2(n)
-    branches in generated code and no edge table is joined.  NaN is outside.
+    The result follows the edge values exactly.  Evenly spaced edges (in x or
+    in log x) give a position that is at most one bin off, which two lookups
+    correct; other edges become a balanced tree of comparisons.  Either way no
+    edge table is joined, and NaN is outside.
     """
     n = len(edges) - 1
+    e = np.asarray(edges, float)
+    table = _literals(edges)
+    position = None
+    if (step := _step(e)) is not None:
+        position = (x - F.lit(edges[0])) / F.lit(step)
+    elif e[0] > 0 and (step := _step(np.log10(e))) is not None:
+        position = (F.log10(x) - F.lit(math.log10(edges[0]))) / F.lit(step)
 
     def pick(lo: int, hi: int) -> Column:
         if hi - lo == 1:
@@ -40,14 +61,23 @@ def bin_index(x: Column, edges: Sequence[float]) -> Column:
         mid = (lo + hi) // 2
         return F.when(x < F.lit(edges[mid]), pick(lo, mid)).otherwise(pick(mid, hi))
 
+    if position is None:
+        inside = pick(0, n)
+    else:
+        near = F.least(F.greatest(F.floor(position), F.lit(0)), F.lit(n - 1)).cast("int")
+        inside = (
+            F.when(x < F.get(table, near), near - 1)
+            .when(x >= F.get(table, near + 1), near + 1)
+            .otherwise(near)
+        )
     return (
-        F.when((x >= F.lit(edges[0])) & (x < F.lit(edges[-1])), pick(0, n))
-        .when(x == F.lit(edges[-1]), F.lit(n - 1))
+        F.when(x == F.lit(edges[-1]), F.lit(n - 1))
+        .when((x >= F.lit(edges[0])) & (x < F.lit(edges[-1])), inside)
     )
 
 
 def edge_at(edges: Sequence[float], index: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(e) for e in edges]), (index + 1).cast("int"))
+    return F.get(_literals(edges), index.cast("int"))
 
 
 def centre(lo: Column, hi: Column) -> Column:

@@ -106,7 +106,7 @@ def gaussian_fit(hist: DataFrame, key: str, x: str, counts: str) -> DataFrame:
     """Least-squares Gaussian per group of filled bins: mean and sigma."""
     schema = f"{key} {dict(hist.dtypes)[key]}, amplitude double, mean double, sigma double"
 
-    def fit(k, b: pd.DataFrame) -> pd.DataFrame:
+    def fit(k: tuple, b: pd.DataFrame) -> pd.DataFrame:
         b = b[b[counts] > 0]
         if len(b) < 3:
             return pd.DataFrame({key: [k[0]], "amplitude": [None], "mean": [None],
@@ -129,7 +129,7 @@ def sigmoid_fit(bins: DataFrame, lo: float = 5.4, hi: float = 7.0) -> DataFrame:
     schema = ("variant string, p0 double, p1 double, p2 double, "
               "e0 double, e1 double, e2 double")
 
-    def fit(k, b: pd.DataFrame) -> pd.DataFrame:
+    def fit(k: tuple, b: pd.DataFrame) -> pd.DataFrame:
         top = float(b["aeff"].max())
         use = b[(b["log_energy"] >= lo) & (b["log_energy"] <= hi) & (b["aeff_err"] > 0)]
         if len(use) < 3:

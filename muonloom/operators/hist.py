@@ -167,6 +167,13 @@ def compare(data: DataFrame, mc: DataFrame, on: Sequence[str]) -> DataFrame:
         "ratio": ratio(args[0], args[1]), "ratio_err": ratio_error(*args)})
 
 
+def absolute_difference(cells: DataFrame, on: Sequence[str], sample: str,
+                        names: tuple[str, str] = ("data", "mc")) -> DataFrame:
+    """|a - b| of the sums of two samples per cell, a missing cell counting as 0."""
+    pick = lambda s: F.coalesce(F.max(F.when(F.col(sample) == s, F.col("sum_w"))), F.lit(0.0))
+    return cells.groupBy(*on).agg(F.abs(pick(names[0]) - pick(names[1])).alias("difference"))
+
+
 def weighted_spread(df: DataFrame, by: Sequence[str], value: Column, weight: Column,
                     more_than: int = 5) -> DataFrame:
     """Weighted mean and standard deviation (divided by the sum of weights) per group.

@@ -117,7 +117,7 @@ def unfold(cells: DataFrame, bins: DataFrame, tol: float = 1e-3, max_iter: int =
     of the ``groups`` column.
     """
 
-    def solve(key, c: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def solve(key: tuple, c: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if b.empty:
             return pd.DataFrame()
         response, p_err, eff, data, data_err, prior, b = _matrices(c, b)
@@ -151,7 +151,7 @@ def unfold_history(cells: DataFrame, bins: DataFrame, tol: float = 1e-3,
                    max_iter: int = 100) -> DataFrame:
     """The estimate after every iteration."""
 
-    def solve(key, c: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def solve(key: tuple, c: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if b.empty:
             return pd.DataFrame()
         response, _, eff, data, _, prior, b = _matrices(c, b)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from muonloom.functions import edges, features
 from muonloom.operators import hist, pulses
-from muonloom.plans import booking  # noqa: F401  (registers)
+from muonloom.plans import booking, histograms, hits, selection  # noqa: F401  (they register)
 from muonloom.plans.registry import g, query
 from muonloom.plans.views import KEY, TIES, Tables
 
