@@ -18,6 +18,7 @@ from muonloom.functions.guards import log10_feature, ratio
 from muonloom.operators.hist import metrics
 from muonloom.operators.ranking import permute, shuffle_bucket, shuffle_key
 from muonloom.schema import N_SLOTS
+from muonloom.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -252,3 +253,12 @@ def permutation_importance(model: PipelineModel, held_out: DataFrame, keys: Sequ
 def evaluate(scored: DataFrame, label: str = "label", prediction: str = "prediction",
              by: Sequence[str] = ()) -> DataFrame:
     return metrics(scored, label, prediction, by)
+
+
+def staged(block: DataFrame) -> DataFrame:
+    """A training block written once.
+
+    A forest reads its block once per tree level; without this every pass would
+    rebuild the arrays from the hits.
+    """
+    return cut_lineage(block)
