@@ -7,17 +7,18 @@ import operator
 
 from pyspark.sql import Column, functions as F
 
+from muonloom.functions.guards import clamp
 from muonloom.sources.constants import ARRAY_ALTITUDE, INFILL_TANKS
 
 
 def distance(x1, y1, x2, y2) -> Column:
-    return F.sqrt(F.pow(x1 - x2, 2) + F.pow(y1 - y2, 2))
+    return F.sqrt((x1 - x2) * (x1 - x2) + (y1 - y2) * (y1 - y2))
 
 
 def opening_angle(z1: Column, a1: Column, z2: Column, a2: Column) -> Column:
     """Angle in degrees between two directions; rounding past +-1 is clamped."""
     dot = F.sin(z1) * F.sin(z2) * F.cos(a1 - a2) + F.cos(z1) * F.cos(z2)
-    return F.degrees(F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), dot))))
+    return F.degrees(F.acos(clamp(dot, -1.0, 1.0)))
 
 
 def _shower_axes(dx, dy, dz, phi, theta):
@@ -49,24 +50,27 @@ def plane_residual(time, core_time, dx, dy, dz, phi, theta) -> Column:
 def zsc_average(tank_x, tank_y, tank_z, azimuth, zenith, core_x, core_y,
                 core_z: float = ARRAY_ALTITUDE) -> Column:
     """Mean absolute depth of the filled slots of three tank arrays; NULL without hits."""
-    depths = F.filter(
-        F.transform(
-            F.arrays_zip(tank_x.alias("x"), tank_y.alias("y"), tank_z.alias("z")),
-            lambda t: F.when(
-                (t["x"] != 0) | (t["y"] != 0) | (t["z"] != 0),
-                F.abs(shower_depth(t["x"] - core_x, t["y"] - core_y, t["z"] - core_z,
-                                   azimuth, zenith))),
-        ),
-        lambda d: d.isNotNull(),
-    )
-    total = F.aggregate(depths, F.lit(0.0), lambda a, d: a + d)
-    return F.try_divide(total, F.size(depths))
+    # depth = a x + b y + c z - d; the one-element array binds the four
+    # coefficients, so that no angle is evaluated per slot
+    a = -F.sin(zenith) * F.cos(azimuth)
+    b = -F.sin(zenith) * F.sin(azimuth)
+    c = -F.cos(zenith)
+    plane = F.array(F.struct(a.alias("a"), b.alias("b"), c.alias("c"),
+                             (a * core_x + b * core_y + c * core_z).alias("d")))
+    hits = F.filter(
+        F.arrays_zip(tank_x.alias("x"), tank_y.alias("y"), tank_z.alias("z")),
+        lambda t: (t["x"] != 0) | (t["y"] != 0) | (t["z"] != 0))
+    mean = F.transform(plane, lambda k: F.try_divide(
+        F.aggregate(hits, F.lit(0.0), lambda acc, t: acc + F.abs(
+            k["a"] * t["x"] + k["b"] * t["y"] + k["c"] * t["z"] - k["d"])),
+        F.size(hits)))
+    return F.get(mean, F.lit(0))
 
 
 def contained(x: Column, y: Column, radius: float = 45.0, tanks=INFILL_TANKS) -> Column:
     """Within ``radius`` of any of the given tanks."""
     limit = radius * radius
-    near = [F.pow(x - tx, 2) + F.pow(y - ty, 2) <= limit for tx, ty in tanks]
+    near = [(x - tx) * (x - tx) + (y - ty) * (y - ty) <= limit for tx, ty in tanks]
     return functools.reduce(operator.or_, near)
 
 

@@ -34,7 +34,7 @@ def tank_radii(tank_x: Column, tank_y: Column, core_x: Column, core_y: Column,
     radii = F.zip_with(
         tank_x, tank_y,
         lambda x, y: F.when((x == 0) & (y == 0), F.lit(float(empty))).otherwise(
-            F.sqrt(F.pow(x - core_x, 2) + F.pow(y - core_y, 2))),
+            F.sqrt((x - core_x) * (x - core_x) + (y - core_y) * (y - core_y))),
     )
     return F.sort_array(radii, asc=False)
 

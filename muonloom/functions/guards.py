@@ -52,10 +52,24 @@ def nan_as(x: Column, value: float) -> Column:
 
 
 def failed_zenith(zenith: Column) -> Column:
-    """A NaN zenith becomes 1.9 pi, so that it fails every angular cut."""
+    """A NaN zenith becomes 1.9 pi (342 degrees), outside every zenith histogram.
+
+    Its cosine is 0.95, so use this for histograms only; a cut on the cosine of
+    the raw value already rejects NaN.
+    """
     return F.nanvl(zenith, F.lit(1.9 * math.pi))
 
 
 def between(x: Column, lo: float, hi: float) -> Column:
     """lo <= x <= hi, false for NaN (Spark orders NaN above everything)."""
     return (x >= lo) & (x <= hi)
+
+
+def clamp(x: Column, lo: float, hi: float) -> Column:
+    """x limited to [lo, hi]; NULL and NaN stay (least and greatest would hide them)."""
+    return (
+        F.when(x.isNull() | F.isnan(x), x)
+        .when(x < lo, F.lit(float(lo)))
+        .when(x > hi, F.lit(float(hi)))
+        .otherwise(x)
+    )

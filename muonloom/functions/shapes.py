@@ -46,9 +46,10 @@ def flux(model: str, energy: Column, population: int | None = None,
 
     The parameters are literals, so the sum is one generated expression per
     row instead of a join that multiplies rows by the number of components.
+    The power is taken as exp(-gamma ln E) inside the cutoff exponential.
     """
     parts = [
-        a * F.pow(energy, F.lit(-g)) * F.exp(-energy / (z * rcut))
+        a * F.exp(-g * F.log(energy) - energy / (z * rcut))
         for pop, el, a, g, z, rcut in FLUX_MODELS[model]
         if population in (None, pop) and element in (None, el)
     ]

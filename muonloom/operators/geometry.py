@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from muonloom.functions.directions import distance
 from muonloom.schema import TANK
 from muonloom.sources.constants import OM_TANK
 
@@ -42,7 +43,7 @@ def station_spacing(tanks: DataFrame) -> DataFrame:
                                                   F.col("y").alias("ya"), F.col("z").alias("za"))
     b = tanks.filter(F.col("tank") == "B").select("station", F.col("x").alias("xb"),
                                                   F.col("y").alias("yb"), F.col("z").alias("zb"))
-    d = F.sqrt(F.pow(F.col("xa") - F.col("xb"), 2) + F.pow(F.col("ya") - F.col("yb"), 2))
+    d = distance(*[F.col(c) for c in ("xa", "ya", "xb", "yb")])
     return a.join(b, "station").select("station", d.alias("distance"))
 
 
@@ -55,8 +56,7 @@ def station_distance(tanks: DataFrame, station_a: int, station_b: int) -> DataFr
     """Distance between the mid points of two stations."""
     centres = station_centres(tanks.filter(F.col("station").isin(station_a, station_b)))
     return centres.agg(
-        F.sqrt(F.pow(F.max("x") - F.min("x"), 2) + F.pow(F.max("y") - F.min("y"), 2))
-        .alias("distance")
+        distance(F.max("x"), F.max("y"), F.min("x"), F.min("y")).alias("distance")
     )
 
 
@@ -78,7 +78,7 @@ def neighbours(points: DataFrame, key: str, radius: float) -> DataFrame:
     right = points.select(
         F.col(key).alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"),
         cell("x").alias("cx"), cell("y").alias("cy"))
-    apart = F.sqrt(F.pow(F.col("x") - F.col("ox"), 2) + F.pow(F.col("y") - F.col("oy"), 2))
+    apart = distance(*[F.col(c) for c in ("x", "y", "ox", "oy")])
     return (
         left.join(right, ["cx", "cy"])
         .withColumn("distance", apart)

@@ -167,6 +167,17 @@ def compare(data: DataFrame, mc: DataFrame, on: Sequence[str]) -> DataFrame:
         "ratio": ratio(args[0], args[1]), "ratio_err": ratio_error(*args)})
 
 
+def compare_samples(hist: DataFrame, on: Sequence[str], sample: str,
+                    names: tuple[str, str] = ("data", "mc")) -> DataFrame:
+    """As ``compare`` for two samples of one histogram table, without reading it twice."""
+    pick = lambda s, c: F.max(F.when(F.col(sample) == s, F.col(c)))
+    wide = hist.groupBy(*on).agg(
+        pick(names[0], "norm").alias("data"), pick(names[0], "norm_err").alias("data_err"),
+        pick(names[1], "norm").alias("mc"), pick(names[1], "norm_err").alias("mc_err"))
+    args = [F.col(c) for c in ("data", "mc", "data_err", "mc_err")]
+    return wide.withColumns({"ratio": ratio(args[0], args[1]), "ratio_err": ratio_error(*args)})
+
+
 def absolute_difference(cells: DataFrame, on: Sequence[str], sample: str,
                         names: tuple[str, str] = ("data", "mc")) -> DataFrame:
     """|a - b| of the sums of two samples per cell, a missing cell counting as 0."""

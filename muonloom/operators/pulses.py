@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from muonloom.functions.features import pad, zeros
 from muonloom.operators.geometry import locate, neighbours, tank_of
-from muonloom.operators.skew import salted_join
+from muonloom.operators.skew import hot_keys, salted_join
 from muonloom.schema import N_SLOTS
 from muonloom.session import cut_lineage
 
@@ -57,28 +57,28 @@ def triage(pulses: DataFrame, limit: float = 0.1, keys: Sequence[str] = EVENT_KE
     ).drop("n_tanks")
 
 
-def _reach(kept: DataFrame, near: DataFrame, keys: Sequence[str], window: float) -> DataFrame:
+def _reach(kept: DataFrame, near: DataFrame, keys: Sequence[str]) -> DataFrame:
     """What the kept hits reach: per (event, tank, time slice) three numbers.
 
-    Slices are ``window`` wide.  A hit in the same slice as a kept hit of a
-    neighbouring tank is always within the window; for the slices before and
+    Slices are one time window wide.  A hit in the same slice as a kept hit of
+    a neighbouring tank is always within the window; for the slices before and
     after only the latest and the earliest kept time matter.  So each kept hit
     is folded into at most (neighbours x 3) summary rows and no hit pairs exist.
+    A tank reaches itself, also when its position is unknown.
     """
     slices = kept.groupBy(*keys, "tank_id", "slice").agg(
         F.min("time").alias("t_min"), F.max("time").alias("t_max"))
-    around = slices.join(near, slices["tank_id"] == near["from_tank"]).select(
-        *keys, F.col("to_tank").alias("tank_id"),
-        F.inline(F.array(
-            F.struct(F.col("slice"), F.lit(1).alias("same"),
-                     F.lit(None).cast("double").alias("before"),
-                     F.lit(None).cast("double").alias("after")),
-            F.struct((F.col("slice") + 1).alias("slice"), F.lit(0).alias("same"),
-                     F.col("t_max").alias("before"), F.lit(None).cast("double").alias("after")),
-            F.struct((F.col("slice") - 1).alias("slice"), F.lit(0).alias("same"),
-                     F.lit(None).cast("double").alias("before"), F.col("t_min").alias("after")),
-        )),
-    )
+    targets = F.concat(F.array("tank_id"), F.coalesce(F.col("targets"), F.array()))
+    none = F.lit(None).cast("double")
+    cell = lambda shift, same, before, after: F.struct(
+        (F.col("slice") + shift).alias("slice"), F.lit(same).alias("same"),
+        before.alias("before"), after.alias("after"))
+    around = slices.join(near, "tank_id", "left").select(
+        *keys, F.explode(targets).alias("tank_id"), "slice", "t_min", "t_max"
+    ).select(
+        *keys, "tank_id",
+        F.inline(F.array(cell(0, 1, none, none), cell(1, 0, F.col("t_max"), none),
+                         cell(-1, 0, none, F.col("t_min")))))
     return around.groupBy(*keys, "tank_id", "slice").agg(
         F.max("same").alias("same"), F.max("before").alias("before"),
         F.min("after").alias("after"))
@@ -91,43 +91,45 @@ def seeded_clean(pulses: DataFrame, tanks: DataFrame, radius: float = 180.0,
 
     Start from the HLC hits and, round by round, keep every hit within
     ``radius`` and ``window`` of a kept hit of the same event.  Returns all hits
-    with a ``kept`` flag.  The hits are checkpointed once per round, so a round
-    never recomputes the ones before it.  With ``stop_early`` a round that adds
-    nothing ends the loop.
+    with a ``kept`` flag.
+
+    A kept hit reaches itself, so the hits kept by a round are simply those the
+    round before reaches: each round reads the hits once and needs no earlier
+    state.  Every fourth round, and every round with ``stop_early``, the reach
+    table is checkpointed; with ``stop_early`` an unchanged reach ends the loop.
     """
+    if rounds < 1:
+        raise ValueError("at least one round")
     tank_id = F.concat_ws("|", F.col("station"), F.col("tank"))
-    spots = tanks.withColumn("tank_id", tank_id).select("tank_id", "x", "y")
-    near = neighbours(spots, "tank_id", radius).select(
-        F.col("tank_id").alias("from_tank"), F.col("other").alias("to_tank"))
-    near = near.unionByName(spots.select(F.col("tank_id").alias("from_tank"),
-                                         F.col("tank_id").alias("to_tank")))
+    spots = tanks.select(tank_id.alias("tank_id"), "x", "y")
+    near = neighbours(spots, "tank_id", radius).groupBy("tank_id").agg(
+        F.collect_set("other").alias("targets"))
     p = pulses if "tank" in pulses.columns else pulses.withColumn("tank", tank_of(F.col("om")))
-    state = (
-        split_hlc(p, keys)
-        .withColumn("tank_id", tank_id)
-        .withColumn("slice", F.floor(F.col("time") / window).cast("long"))
-        .withColumnRenamed("hlc", "kept")
+    hits = p.withColumn("tank_id", tank_id).withColumn(
+        "slice", F.floor(F.col("time") / window).cast("long"))
+    hlc = station_multiplicity(p, keys).filter("n_tanks >= 2").drop("n_tanks")
+    hot = hot_keys(p, list(keys))
+    kept = salted_join(hits, hlc, [*keys, "station"], hot=hot)
+    within = (
+        (F.col("same") == 1)
+        | (F.col("time") - F.col("before") <= window)
+        | (F.col("after") - F.col("time") <= window)
     )
-    n_kept = None
-    for _ in range(rounds):
-        state = cut_lineage(state)
+    mark = None
+    for i in range(rounds):
+        reach = _reach(kept, near, keys)
+        if stop_early or i % 4 == 3:
+            reach = cut_lineage(reach)
         if stop_early:
-            now = state.filter("kept").count()
-            if now == n_kept:
+            now = reach.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*reach.columns))).first()
+            if now == mark:
                 break
-            n_kept = now
-        reach = _reach(state.filter("kept"), near, keys, window)
-        hit = (
-            (F.col("same") == 1)
-            | (F.col("time") - F.col("before") <= window)
-            | (F.col("after") - F.col("time") <= window)
-        )
-        state = (
-            salted_join(state, reach, [*keys, "tank_id", "slice"], "left")
-            .withColumn("kept", F.col("kept") | F.coalesce(hit, F.lit(False)))
-            .drop("same", "before", "after")
-        )
-    return state.drop("tank_id", "slice")
+            mark = now
+        flagged = salted_join(
+            hits, reach, [*keys, "tank_id", "slice"], "left", hot).withColumn(
+            "kept", F.coalesce(within, F.lit(False))).drop("same", "before", "after")
+        kept = flagged.filter("kept")
+    return flagged.drop("tank_id", "slice")
 
 
 def top_pulses(pulses: DataFrame, keys: Sequence[str] = EVENT_KEY, n: int = N_SLOTS,
@@ -231,7 +233,8 @@ def ordered_gaps(df: DataFrame, part: Sequence[str], time: str, width: float) ->
 def shower_frame(pulses: DataFrame, tanks: DataFrame, showers: DataFrame,
                  keys: Sequence[str] = EVENT_KEY) -> DataFrame:
     """Hits with their tank position and the core and direction of their shower."""
-    return salted_join(locate(pulses, tanks), showers, list(keys))
+    hot = hot_keys(pulses, list(keys))  # from the bare hits: only the key is read
+    return salted_join(locate(pulses, tanks), showers, list(keys), hot=hot)
 
 
 def explode_slots(df: DataFrame, array: str, weight: Column, value: str = "value") -> DataFrame:

@@ -20,24 +20,28 @@ def hot_keys(facts: DataFrame, keys: list[str], share: float = HOT_SHARE) -> Dat
 
 
 def salted_join(facts: DataFrame, dim: DataFrame, keys: list[str], how: str = "inner",
-                share: float = HOT_SHARE, salts: int = SALTS) -> DataFrame:
+                hot: DataFrame | None = None, share: float = HOT_SHARE,
+                salts: int = SALTS) -> DataFrame:
     """Equi-join of a fact table with a table that is small per key.
 
     Rows of hot keys spread over ``salts`` tasks and the matching dim rows are
     copied that many times; every other key joins as usual.  The hot-key list
     has a proven bound (1/share rows), so broadcasting it is safe at any size.
-    Only inner and left joins make sense here.
+    ``hot`` gives a list made before by ``hot_keys``, over all or some of the
+    keys.  Only inner and left joins make sense here.
     """
     if how not in ("inner", "left"):
         raise ValueError("salted_join supports inner and left joins")
-    hot = F.broadcast(hot_keys(facts, keys, share).withColumn("_hot", F.lit(True)))
+    hot = hot_keys(facts, keys, share) if hot is None else hot
+    by = hot.columns
+    hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))
     spread = F.pmod(F.xxhash64(*[F.col(c) for c in facts.columns]), F.lit(salts)).cast("int")
     left = (
-        facts.join(hot, keys, "left")
+        facts.join(hot, by, "left")
         .withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(F.lit(0)))
         .drop("_hot")
     )
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))) \
         .otherwise(F.array(F.lit(0)))
-    right = dim.join(hot, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    right = dim.join(hot, by, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
     return left.join(right, [*keys, "_salt"], how).drop("_salt")

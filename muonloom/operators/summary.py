@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from muonloom.functions.cuts import infill
+from muonloom.functions.guards import clamp
 from muonloom.operators.geometry import tank_of
 from muonloom.operators.pulses import EVENT_KEY
 from muonloom.sources.constants import SPEED_OF_LIGHT
@@ -93,7 +94,7 @@ def plane_front(hits: DataFrame, keys: Sequence[str] = EVENT_KEY,
     norm = F.sqrt(F.col("nx") * F.col("nx") + F.col("ny") * F.col("ny"))
     return m.select(
         *keys, "n",
-        F.asin(F.least(F.lit(1.0), norm)).alias("zenith"),
+        F.asin(clamp(norm, 0.0, 1.0)).alias("zenith"),
         F.pmod(F.atan2("ny", "nx"), F.lit(2 * math.pi)).alias("azimuth"),
     )
 

@@ -87,8 +87,9 @@ def area_shift(bins: DataFrame, params: DataFrame, on: Sequence[str] = ("variant
     """Effect of the fitted-area errors: every on/off choice of the three parameter errors, +-.
 
     ``bins``: (variant, bin, log_energy, aeff); ``params``: (variant, p0..2, e0..2).
+    Variants whose fit failed (NULL parameters) have no row.
     """
-    j = bins.join(params, list(on))
+    j = bins.join(params.filter(F.col("p0").isNotNull()), list(on))
     x = F.col("log_energy")
     curves = [
         sigmoid(x, *[F.col(f"p{i}") + s * f * F.col(f"e{i}") for i, f in enumerate(flags)])

@@ -183,7 +183,7 @@ def frac_radius(t):
     WITH radii AS (SELECT t.event_id, MAX({_RADIUS_SQL} * 60) AS v, MAX(e.ntanks) AS n
                    FROM top35 t JOIN tank k USING (station, tank) JOIN booked e USING (event_id)
                    GROUP BY t.event_id)
-    SELECT event_id, {R("v")} AS max_radius, {G("n / (1e-6 * pi() * v * v)")} AS density FROM radii
+    SELECT event_id, {R("v")} AS max_radius, {R("n / (1e-6 * pi() * v * v)", 4)} AS density FROM radii
     """, "top35 tank booked")
 def tank_density(t):
     arrays = pulses.pulse_arrays(t.pulse, t.tank, KEY, ties=TIES)
@@ -191,7 +191,7 @@ def tank_density(t):
     radii = features.tank_radii(F.col("tank_x"), F.col("tank_y"), F.col("x_p"), F.col("y_p"))
     df = df.select("event_id", "ntanks", F.array_max(radii).alias("v"))
     density = features.tank_density(F.col("ntanks"), F.col("v"), per_km2=True)
-    return df.select("event_id", r("v").alias("max_radius"), g(density).alias("density"))
+    return df.select("event_id", r("v").alias("max_radius"), r(density, 4).alias("density"))
 
 
 _DEPTH_SQL = """(sin(e.zenith) * (-cos(e.azimuth) * (k.x - e.x) - sin(e.azimuth) * (k.y - e.y))
@@ -254,30 +254,35 @@ def flux_sql(model: str, e: str, element: str | None = None, population: int | N
     return "(" + " + ".join(parts) + ")"
 
 
-@query("scaled_flux", "SELECT event_id, " + G(flux_sql("h4a", "energy") + " * pow(energy, 1.65e0)")
+_SCALE = "pow(energy, 1.65e0)"
+
+
+@query("scaled_flux", "SELECT event_id, " + R(flux_sql("h4a", "energy") + " * " + _SCALE)
        + " AS scaled FROM evt", "evt")
 def scaled_flux(t):
     e = F.col("energy")
     return t.evt.select(
-        "event_id", g(shapes.flux("h4a", e) * shapes.scale_flux(e, 2.65)).alias("scaled"))
+        "event_id", r(shapes.flux("h4a", e) * shapes.scale_flux(e, 2.65)).alias("scaled"))
+
+
+_MODELS = (("h4a", None), ("h4a", 1), ("h4a", 2), ("h4a", 3), ("h3a", None), ("h3a", 3),
+           ("poly", None))
 
 
 @query("flux_model", "SELECT event_id, " + ", ".join(
-    G(flux_sql(m, "energy", population=p)) + f" AS {m}_{p or 'all'}"
-    for m, p in (("h4a", None), ("h4a", 1), ("h4a", 2), ("h4a", 3), ("h3a", None), ("h3a", 3),
-                 ("poly", None))) + " FROM evt", "evt")
+    R(f"{flux_sql(m, 'energy', population=p)} * {_SCALE}") + f" AS {m}_{p or 'all'}"
+    for m, p in _MODELS) + " FROM evt", "evt")
 def flux_model(t):
-    cols = (("h4a", None), ("h4a", 1), ("h4a", 2), ("h4a", 3), ("h3a", None), ("h3a", 3),
-            ("poly", None))
+    e = F.col("energy")
     return t.evt.select("event_id", *[
-        g(shapes.flux(m, F.col("energy"), population=p)).alias(f"{m}_{p or 'all'}")
-        for m, p in cols])
+        r(shapes.flux(m, e, population=p) * shapes.scale_flux(e, 2.65)).alias(f"{m}_{p or 'all'}")
+        for m, p in _MODELS])
 
 
 @query("lateral_profile", """
     SELECT p.event_id, p.hit,
-           """ + G("p.charge * pow(d.u, -2.5e0 - 0.303e0 * log10(d.u))") + """ AS signal,
-           """ + G("0.5e0 + 0.2e0 * d.u + 0.1e0 * d.u * d.u - 0.01e0 * d.u * d.u * d.u") + """ AS proxy,
+           """ + R("p.charge * pow(d.u, -2.5e0 - 0.303e0 * log10(d.u))", 7) + """ AS signal,
+           """ + R("0.5e0 + 0.2e0 * d.u + 0.1e0 * d.u * d.u - 0.01e0 * d.u * d.u * d.u") + """ AS proxy,
            """ + R("0.90603644e0 * log10(p.charge) + 6.04892767e0") + """ AS loge
     FROM pulse p JOIN tank k USING (station, tank) JOIN evt e USING (event_id),
          LATERAL (SELECT greatest(sqrt((k.x - e.x) * (k.x - e.x) + (k.y - e.y) * (k.y - e.y)), 1e0)
@@ -290,8 +295,8 @@ def lateral_profile(t):
     u = F.col("d") / 60.0
     return hits.select(
         "event_id", "hit",
-        g(shapes.lateral_profile(F.col("d"), F.col("charge"), 2.5)).alias("signal"),
-        g(shapes.cubic(u, 0.5, 0.2, 0.1, -0.01)).alias("proxy"),
+        r(shapes.lateral_profile(F.col("d"), F.col("charge"), 2.5), 7).alias("signal"),
+        r(shapes.cubic(u, 0.5, 0.2, 0.1, -0.01)).alias("proxy"),
         r(shapes.s125_to_loge(F.log10("charge"))).alias("loge"))
 
 
@@ -341,15 +346,15 @@ WEIGHT_SQL = f"""
 
 
 @query("composition_weight", f"""
-    SELECT event_id, bin, {G(_case_pdg(lambda n: flux_sql('h4a', 'energy', n)) + ' * norm')} AS weight_h4a,
-           {G(flux_sql('h4a', 'energy') + ' * norm')} AS weight_all_h4a,
-           {G(_case_pdg(lambda n: flux_sql('poly', 'energy', n)) + ' * norm')} AS weight_poly,
-           {G(flux_sql('poly', 'energy') + ' * norm')} AS weight_all_poly
+    SELECT event_id, bin, {R(_case_pdg(lambda n: flux_sql('h4a', 'energy', n)) + ' * norm', 9)} AS weight_h4a,
+           {R(flux_sql('h4a', 'energy') + ' * norm', 9)} AS weight_all_h4a,
+           {R(_case_pdg(lambda n: flux_sql('poly', 'energy', n)) + ' * norm', 9)} AS weight_poly,
+           {R(flux_sql('poly', 'energy') + ' * norm', 9)} AS weight_all_poly
     FROM ({WEIGHT_SQL})""", "evt")
 def composition_weight(t):
     w = spectrum.composition_weights(t.evt, t.evt, FINE)
     return w.select("event_id", "bin", *[
-        g(c).alias(c) for c in ("weight_h4a", "weight_all_h4a", "weight_poly", "weight_all_poly")])
+        r(c, 9).alias(c) for c in ("weight_h4a", "weight_all_h4a", "weight_poly", "weight_all_poly")])
 
 
 @query("generator_check", f"""

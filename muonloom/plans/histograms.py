@@ -90,7 +90,7 @@ def hist_many(t):
 def data_mc_ratio(t):
     h = hist.normalise(hist.hist_many(t.booked, _variables(), F.col("sw"), ["sample"]),
                        ["sample", "var"])
-    c = hist.compare(h.filter("sample = 'data'"), h.filter("sample = 'mc'"), ["var", "bin"])
+    c = hist.compare_samples(h, ["var", "bin"], "sample")
     return c.select("var", "bin", *[g(x).alias(x) for x in ("data", "mc", "ratio", "ratio_err")])
 
 

@@ -25,17 +25,14 @@ def query(name: str, sql: str | None = None, views: str = ""):
 
 
 def r(col: Column | str, digits: int = 6) -> Column:
-    """Round for comparison, without negative zeros."""
-    c = F.round(F.col(col) if isinstance(col, str) else col, digits)
-    return F.when(c == 0, F.lit(0.0)).otherwise(c)
+    """Round for comparison (Spark rounds through decimals, so never to -0.0)."""
+    return F.round(F.col(col) if isinstance(col, str) else col, digits)
 
 
 def g(col: Column | str, digits: int = 9) -> Column:
-    """Keep ``digits`` significant digits."""
+    """Keep ``digits`` significant digits; meant for tables of bins."""
     c = F.col(col) if isinstance(col, str) else col
-    text = F.format_string(f"%.{digits - 1}e", c.cast("double"))
-    return F.when(c.isNull(), F.lit(None)).when(c == 0, F.lit(0.0)).otherwise(
-        text.try_cast("double"))
+    return F.format_string(f"%.{digits - 1}e", c.cast("double")).try_cast("double")
 
 
 def R(expr: str, digits: int = 6) -> str:

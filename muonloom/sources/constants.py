@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # --- fixed values: detector ---------------------------------------------------
 INFILL_STATIONS = (26, 36, 46, 79, 80, 81)
@@ -104,22 +104,27 @@ LIVETIME_PLUS = 28609806.45698332
 LIVETIME_MINUS = 28487813.24451206
 
 
+def literal_table(spark: SparkSession, rows, names) -> DataFrame:
+    """A fixed table as literals of the plan: no Python worker and no file."""
+    cells = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*cells)))
+
+
 def flux_parameters(spark: SparkSession) -> DataFrame:
     """The flux models as a table (model, population, element, a, gamma, z, rcut)."""
-    rows = [(m, *r[:4], float(r[4]), r[5]) for m, table in FLUX_MODELS.items() for r in table]
-    return spark.createDataFrame(
-        rows, "model string, population int, element string, "
-              "a double, gamma double, z double, rcut double")
+    rows = [(m, *r) for m, table in FLUX_MODELS.items() for r in table]
+    return literal_table(spark, rows,
+                         ("model", "population", "element", "a", "gamma", "z", "rcut"))
 
 
 def outside_spectra(spark: SparkSession) -> DataFrame:
     """Published spectra to compare with (name, log_energy, flux)."""
     rows = [("three_year", e, f) for e, f in zip(THREE_YEAR_LOGE, THREE_YEAR_FLUX)]
     rows += [("hawc", round(4.05 + 0.1 * i, 2), f) for i, f in enumerate(HAWC_FLUX)]
-    return spark.createDataFrame(rows, "name string, log_energy double, flux double")
+    return literal_table(spark, rows, ("name", "log_energy", "flux"))
 
 
 def particles(spark: SparkSession) -> DataFrame:
     """Simulation dataset number -> particle and pdg code."""
     rows = [(d, p, PDG[p]) for d, p in DATASET_PARTICLE.items()]
-    return spark.createDataFrame(rows, "dataset string, particle string, pdg long")
+    return literal_table(spark, rows, ("dataset", "particle", "pdg"))
