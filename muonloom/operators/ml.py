@@ -110,6 +110,7 @@ class ForestSettings:
     bins: int = 50
     folds: int = 3
     seed: int = 11
+    memory_mb: int = 1024  # for node statistics: more nodes per pass over the block
 
 
 GEOMETRY = ForestSettings()
@@ -122,7 +123,7 @@ def forest(s: ForestSettings, weighted: bool = False, prediction: str = "predict
     rf = RandomForestRegressor(
         featuresCol="features", labelCol="label", predictionCol=prediction,
         numTrees=s.trees, maxDepth=s.depth, minInstancesPerNode=s.min_leaf,
-        maxBins=s.bins, seed=s.seed)
+        maxBins=s.bins, seed=s.seed, maxMemoryInMB=s.memory_mb)
     return rf.setWeightCol("weight") if weighted else rf
 
 
@@ -194,6 +195,28 @@ def ensemble_mean(block: DataFrame, models: Sequence[PipelineModel], keys: Seque
     return out.select(*keys, mean.alias(name))
 
 
+def prediction_rows(scored: DataFrame, target: str, model_id: str | Column,
+                    keys: Sequence[str], value: str = "prediction",
+                    fold: Column | None = None) -> DataFrame:
+    """Predictions as rows of one table keyed by target and model."""
+    model = F.lit(model_id) if isinstance(model_id, str) else model_id
+    return scored.select(
+        *keys, F.lit(target).alias("target"), model.alias("model_id"),
+        (F.lit(None).cast("int") if fold is None else fold).alias("fold"),
+        F.col(value).alias("value"))
+
+
+def use_predictions(events: DataFrame, predictions: DataFrame, model_of: Mapping[str, str],
+                    keys: Sequence[str]) -> DataFrame:
+    """Events with one column per target, each taken from the model named for it."""
+    wanted = F.lit(False)
+    for target, model in model_of.items():
+        wanted = wanted | ((F.col("target") == target) & (F.col("model_id") == model))
+    wide = predictions.filter(wanted).groupBy(*keys).agg(*[
+        F.max(F.when(F.col("target") == t, F.col("value"))).alias(t) for t in model_of])
+    return events.join(wide, list(keys), "left")
+
+
 def vector_table(vectors: DataFrame, by: Sequence[str], vector: str = "importance") -> DataFrame:
     """(by..., position, value) of an array column."""
     return vectors.select(*by, F.posexplode(vector).alias("position", "value"))

@@ -56,8 +56,13 @@ def event_summary(pulses: DataFrame, keys: Sequence[str] = EVENT_KEY) -> DataFra
 
 
 def loudest_station(pulses: DataFrame, keys: Sequence[str] = EVENT_KEY) -> DataFrame:
-    """Station of the largest hit per event and whether it belongs to the infill."""
-    best = pulses.groupBy(*keys).agg(F.max(F.struct("charge", "station")).alias("_b"))
+    """Station of the largest hit per event and whether it belongs to the infill.
+
+    Stations are reduced first by a hash aggregate on a plain number, so the
+    comparison of (charge, station) pairs sees each station once per event.
+    """
+    per_station = pulses.groupBy(*keys, "station").agg(F.max("charge").alias("charge"))
+    best = per_station.groupBy(*keys).agg(F.max(F.struct("charge", "station")).alias("_b"))
     return best.select(*keys, F.col("_b.station").alias("station"),
                        infill(F.col("_b.station")).alias("loud_sta"))
 

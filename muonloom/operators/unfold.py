@@ -107,6 +107,14 @@ def _settings(bins: pd.DataFrame, tol: float) -> float:
     return float(bins["tol"].iloc[0]) if "tol" in bins else tol
 
 
+def _pair(cells: DataFrame, bins: DataFrame):
+    """Both tables grouped by variant; the aliases keep a shared origin unambiguous."""
+    left = cells.select(F.col("variant").alias("variant"), "cause", "effect", "p", "p_err")
+    rest = [c for c in bins.columns if c != "variant"]
+    right = bins.select(F.col("variant").alias("variant"), *rest)
+    return left.groupBy("variant").cogroup(right.groupBy("variant"))
+
+
 def unfold(cells: DataFrame, bins: DataFrame, tol: float = 1e-3, max_iter: int = 100,
            degree: int | None = None, groups: str | None = None) -> DataFrame:
     """Unfold every variant.
@@ -143,8 +151,7 @@ def unfold(cells: DataFrame, bins: DataFrame, tol: float = 1e-3, max_iter: int =
             "variant": key[0], "bin": b["bin"].to_numpy(), "unfolded": n, "stat_err": stat,
             "sys_err": sys, "iterations": it, "ks": ks})
 
-    return (cells.groupBy("variant").cogroup(bins.groupBy("variant"))
-            .applyInPandas(solve, RESULT))
+    return _pair(cells, bins).applyInPandas(solve, RESULT)
 
 
 def unfold_history(cells: DataFrame, bins: DataFrame, tol: float = 1e-3,
@@ -160,8 +167,7 @@ def unfold_history(cells: DataFrame, bins: DataFrame, tol: float = 1e-3,
                           "unfolded": n, "ks": ks})
             for it, n, _, ks in iterate(response, eff, data, prior, _settings(b, tol), max_iter)])
 
-    return (cells.groupBy("variant").cogroup(bins.groupBy("variant"))
-            .applyInPandas(solve, HISTORY))
+    return _pair(cells, bins).applyInPandas(solve, HISTORY)
 
 
 def tolerance_variants(table: DataFrame, tolerances) -> DataFrame:

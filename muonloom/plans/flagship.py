@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from muonloom.functions import edges, features
 from muonloom.operators import hist, pulses
 from muonloom.plans import (  # noqa: F401  (they register)
-    arrivals, booking, histograms, hits, learning, selection, spectra, uncertainty)
+    arrivals, booking, chains, histograms, hits, learning, selection, spectra, uncertainty)
 from muonloom.plans.registry import g, query
 from muonloom.plans.views import KEY, TIES, Tables
 

@@ -48,8 +48,8 @@ def j_tank_distance(t):
     return geometry.station_spacing(t.tank).select("station", r("distance").alias("distance"))
 
 
-@query("j_seeded_clean", """
-    WITH k0 AS (SELECT p.event_id, p.hit, p.station, p.tank, p.om, p.charge, p.time, k.x, k.y,
+CLEAN_SQL = """
+    k0 AS (SELECT p.event_id, p.hit, p.station, p.tank, p.om, p.charge, p.time, k.x, k.y,
                        s.n >= 2 AS kept
                 FROM pulse p JOIN tank k USING (station, tank)
                 JOIN (SELECT event_id, station, COUNT(DISTINCT tank) AS n FROM pulse
@@ -59,8 +59,10 @@ def j_tank_distance(t):
              WHERE q.kept AND q.event_id = p.event_id
                AND sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)) <= 180
                AND abs(p.time - q.time) <= 450) AS nxt FROM k{n - 1} p),
-    k{n} AS (SELECT * EXCLUDE (kept, nxt), nxt AS kept FROM r{n})""" for n in (1, 2, 3)) + """
-    SELECT event_id, hit, kept FROM k3""", "pulse tank")
+    k{n} AS (SELECT * EXCLUDE (kept, nxt), nxt AS kept FROM r{n})""" for n in (1, 2, 3))
+
+
+@query("j_seeded_clean", f"WITH {CLEAN_SQL} SELECT event_id, hit, kept FROM k3", "pulse tank")
 def j_seeded_clean(t):
     return pulses.seeded_clean(t.pulse, t.tank, 180.0, 450.0, 3, KEY).select(
         "event_id", "hit", "kept")
@@ -81,6 +83,20 @@ def two_station_filter(t):
     return summary.two_station(t.pulse_dense, pairs, KEY)
 
 
+@query("two_station_all", """
+    WITH hlc AS (SELECT event_id, station FROM pulse
+                 GROUP BY event_id, station HAVING COUNT(DISTINCT tank) >= 2)
+    SELECT DISTINCT a.event_id FROM hlc a JOIN hlc b USING (event_id)
+      JOIN tank ka ON ka.station = a.station JOIN tank kb ON kb.station = b.station
+    WHERE a.station < b.station
+      AND sqrt((ka.x - kb.x) * (ka.x - kb.x) + (ka.y - kb.y) * (ka.y - kb.y)) <= 300""",
+       "pulse tank")
+def two_station_all(t):
+    spots = t.tank.withColumn("tank_id", F.concat_ws("|", "station", "tank"))
+    pairs = summary.neighbour_stations(geometry.neighbours(spots, "tank_id", 300.0))
+    return summary.two_station(t.pulse, pairs, KEY, F.lit(True))
+
+
 @query("event_summary", """
     SELECT event_id, nsta, nslc, ntanks, """ + ", ".join(
     R(c) + f" AS {c}" for c in ("qtotalhlc", "qtotal", "qmax", "qhillas")) + """,

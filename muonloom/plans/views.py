@@ -44,8 +44,8 @@ VIEWS: dict[str, str] = {
         SELECT o_orderkey AS event_id, CAST(year(o_orderdate) AS INTEGER) AS run,
                o_totalprice * 20 AS energy, log10(o_totalprice * 20) AS loge,
                o_orderstatus <> 'F' AS filt,
-               CASE o_custkey % 4 WHEN 0 THEN 2212 WHEN 1 THEN 1000020040
-                    WHEN 2 THEN 1000080160 ELSE 1000260560 END AS pdg,
+               CAST(CASE o_custkey % 4 WHEN 0 THEN 2212 WHEN 1 THEN 1000020040
+                    WHEN 2 THEN 1000080160 ELSE 1000260560 END AS BIGINT) AS pdg,
                radians(CAST(o_custkey % 40 AS DOUBLE)) AS zenith,
                radians(CAST(o_orderkey % 360 AS DOUBLE)) AS azimuth,
                CAST((o_custkey * 7) % 600 - 300 AS DOUBLE) AS x,

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from muonloom.schema import RUN_DIM
 from muonloom.sources.constants import DATASET_PARTICLE, PDG
 
 
@@ -19,6 +20,23 @@ def book(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType)
     return spark.read.schema(schema).parquet(*paths)
 
 
+SPECTRUM = T.StructType([
+    T.StructField("name", T.StringType()),
+    *[T.StructField(n, T.DoubleType())
+      for n in ("log_energy", "flux", "err", "sys_low", "sys_high")],
+])
+
+
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    """The run list with livetime, overburden and temperature."""
+    return spark.read.schema(RUN_DIM).parquet(path)
+
+
+def read_spectra(spark: SparkSession, path: str) -> DataFrame:
+    """Published spectra with errors as (name, log_energy, flux, err, sys_low, sys_high)."""
+    return spark.read.schema(SPECTRUM).option("header", True).csv(path)
+
+
 def select_complete(df: DataFrame, manifest: DataFrame, required: Sequence[str],
                     key: str = "run") -> DataFrame:
     """Rows of the runs that have every required table.
