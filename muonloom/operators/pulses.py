@@ -62,24 +62,27 @@ def _reach(kept: DataFrame, near: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     Slices are one time window wide.  A hit in the same slice as a kept hit of
     a neighbouring tank is always within the window; for the slices before and
-    after only the latest and the earliest kept time matter.  So each kept hit
-    is folded into at most (neighbours x 3) summary rows and no hit pairs exist.
-    A tank reaches itself, also when its position is unknown.
+    after only the latest and the earliest kept time matter.  Kept hits shrink
+    to one row per cell, go to the neighbouring tanks, shrink again, and only
+    then go to the slices around, so no hit pairs exist at any point.  A tank
+    reaches itself, also when its position is unknown.
     """
-    slices = kept.groupBy(*keys, "tank_id", "slice").agg(
+    span = (F.min("t_min").alias("t_min"), F.max("t_max").alias("t_max"))
+    cells = kept.groupBy(*keys, "tank_id", "slice").agg(
         F.min("time").alias("t_min"), F.max("time").alias("t_max"))
     targets = F.concat(F.array("tank_id"), F.coalesce(F.col("targets"), F.array()))
+    spread = cells.join(near, "tank_id", "left").select(
+        *keys, F.explode(targets).alias("tank_id"), "slice", "t_min", "t_max"
+    ).groupBy(*keys, "tank_id", "slice").agg(*span)
     none = F.lit(None).cast("double")
     cell = lambda shift, same, before, after: F.struct(
         (F.col("slice") + shift).alias("slice"), F.lit(same).alias("same"),
         before.alias("before"), after.alias("after"))
-    around = slices.join(near, "tank_id", "left").select(
-        *keys, F.explode(targets).alias("tank_id"), "slice", "t_min", "t_max"
-    ).select(
+    return spread.select(
         *keys, "tank_id",
         F.inline(F.array(cell(0, 1, none, none), cell(1, 0, F.col("t_max"), none),
-                         cell(-1, 0, none, F.col("t_min")))))
-    return around.groupBy(*keys, "tank_id", "slice").agg(
+                         cell(-1, 0, none, F.col("t_min"))))
+    ).groupBy(*keys, "tank_id", "slice").agg(
         F.max("same").alias("same"), F.max("before").alias("before"),
         F.min("after").alias("after"))
 
@@ -93,13 +96,11 @@ def seeded_clean(pulses: DataFrame, tanks: DataFrame, radius: float = 180.0,
     ``radius`` and ``window`` of a kept hit of the same event.  Returns all hits
     with a ``kept`` flag.
 
-    A kept hit reaches itself, so the hits kept by a round are simply those the
-    round before reaches: each round reads the hits once and needs no earlier
-    state.  Every fourth round, and every round with ``stop_early``, the reach
-    table is checkpointed; with ``stop_early`` an unchanged reach ends the loop.
+    A round only asks what the hits kept by the round before reach, and only
+    of the hits not kept yet, so the work shrinks from round to round.  Each
+    round starts from a written table.  ``stop_early`` ends the loop when a round
+    kept nothing.
     """
-    if rounds < 1:
-        raise ValueError("at least one round")
     tank_id = F.concat_ws("|", F.col("station"), F.col("tank"))
     spots = tanks.select(tank_id.alias("tank_id"), "x", "y")
     near = neighbours(spots, "tank_id", radius).groupBy("tank_id").agg(
@@ -107,29 +108,26 @@ def seeded_clean(pulses: DataFrame, tanks: DataFrame, radius: float = 180.0,
     p = pulses if "tank" in pulses.columns else pulses.withColumn("tank", tank_of(F.col("om")))
     hits = p.withColumn("tank_id", tank_id).withColumn(
         "slice", F.floor(F.col("time") / window).cast("long"))
-    hlc = station_multiplicity(p, keys).filter("n_tanks >= 2").drop("n_tanks")
     hot = hot_keys(p, list(keys))
-    kept = salted_join(hits, hlc, [*keys, "station"], hot=hot)
+    state = salted_join(hits, station_multiplicity(p, keys), [*keys, "station"], hot=hot) \
+        .withColumn("kept", F.col("n_tanks") >= 2).drop("n_tanks")
     within = (
         (F.col("same") == 1)
         | (F.col("time") - F.col("before") <= window)
         | (F.col("after") - F.col("time") <= window)
     )
-    mark = None
-    for i in range(rounds):
-        reach = _reach(kept, near, keys)
-        if stop_early or i % 4 == 3:
-            reach = cut_lineage(reach)
-        if stop_early:
-            now = reach.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*reach.columns))).first()
-            if now == mark:
-                break
-            mark = now
-        flagged = salted_join(
-            hits, reach, [*keys, "tank_id", "slice"], "left", hot).withColumn(
-            "kept", F.coalesce(within, F.lit(False))).drop("same", "before", "after")
-        kept = flagged.filter("kept")
-    return flagged.drop("tank_id", "slice")
+    done = None
+    for _ in range(rounds):
+        state = cut_lineage(state)
+        new, rest = state.filter("kept"), state.filter("NOT kept")
+        if stop_early and new.isEmpty():
+            break
+        done = new if done is None else done.unionByName(new)
+        state = salted_join(
+            rest, _reach(new, near, keys), [*keys, "tank_id", "slice"], "left", hot
+        ).withColumn("kept", F.coalesce(within, F.lit(False))).drop("same", "before", "after")
+    out = state if done is None else done.unionByName(state)
+    return out.drop("tank_id", "slice")
 
 
 def top_pulses(pulses: DataFrame, keys: Sequence[str] = EVENT_KEY, n: int = N_SLOTS,

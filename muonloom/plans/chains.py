@@ -19,7 +19,7 @@ def event_records(hlc: DataFrame, slc: DataFrame, bad_tanks: DataFrame, tanks: D
                   keys=KEY, radius: float = 180.0, window: float = 450.0) -> DataFrame:
     """Merge, exclude, clean, split and summarise: one record per event.
 
-    The cleaned hits feed several summaries, so they are checkpointed once.
+    The cleaned hits feed several summaries, so they are written once.
     """
     merged = pulses.union_pulses(hlc, slc)
     good = pulses.exclude_tanks(merged, bad_tanks)
