@@ -40,7 +40,7 @@ def split_hlc(pulses: DataFrame, keys: Sequence[str] = EVENT_KEY) -> DataFrame:
     event never have to meet in one task.
     """
     dim = station_multiplicity(pulses, keys)
-    return salted_join(pulses, dim, [*keys, "station"]).withColumn(
+    return salted_join(pulses, dim, [*keys, "station"], coarse=keys).withColumn(
         "hlc", F.col("n_tanks") >= 2).drop("n_tanks")
 
 
@@ -48,7 +48,7 @@ def triage(pulses: DataFrame, limit: float = 0.1, keys: Sequence[str] = EVENT_KE
     """Class of every hit: 'removed' below the charge limit, else 'hlc' or 'slc' by station."""
     kept = pulses.filter(F.col("charge") >= limit)
     dim = station_multiplicity(kept, keys)
-    joined = salted_join(pulses, dim, [*keys, "station"], "left")
+    joined = salted_join(pulses, dim, [*keys, "station"], "left", coarse=keys)
     return joined.withColumn(
         "hit_class",
         F.when(F.col("charge") < limit, F.lit("removed"))
@@ -108,9 +108,9 @@ def seeded_clean(pulses: DataFrame, tanks: DataFrame, radius: float = 180.0,
     p = pulses if "tank" in pulses.columns else pulses.withColumn("tank", tank_of(F.col("om")))
     hits = p.withColumn("tank_id", tank_id).withColumn(
         "slice", F.floor(F.col("time") / window).cast("long"))
-    hot = hot_keys(p, list(keys))
-    state = salted_join(hits, station_multiplicity(p, keys), [*keys, "station"], hot=hot) \
-        .withColumn("kept", F.col("n_tanks") >= 2).drop("n_tanks")
+    state = salted_join(
+        hits, station_multiplicity(p, keys), [*keys, "station"], coarse=keys
+    ).withColumn("kept", F.col("n_tanks") >= 2).drop("n_tanks")
     within = (
         (F.col("same") == 1)
         | (F.col("time") - F.col("before") <= window)
@@ -124,7 +124,7 @@ def seeded_clean(pulses: DataFrame, tanks: DataFrame, radius: float = 180.0,
             break
         done = new if done is None else done.unionByName(new)
         state = salted_join(
-            rest, _reach(new, near, keys), [*keys, "tank_id", "slice"], "left", hot
+            rest, _reach(new, near, keys), [*keys, "tank_id", "slice"], "left", coarse=keys
         ).withColumn("kept", F.coalesce(within, F.lit(False))).drop("same", "before", "after")
     out = state if done is None else done.unionByName(state)
     return out.drop("tank_id", "slice")
@@ -231,8 +231,8 @@ def ordered_gaps(df: DataFrame, part: Sequence[str], time: str, width: float) ->
 def shower_frame(pulses: DataFrame, tanks: DataFrame, showers: DataFrame,
                  keys: Sequence[str] = EVENT_KEY) -> DataFrame:
     """Hits with their tank position and the core and direction of their shower."""
-    hot = hot_keys(pulses, list(keys))  # from the bare hits: only the key is read
-    return salted_join(locate(pulses, tanks), showers, list(keys), hot=hot)
+    hot = hot_keys(pulses, keys)  # from the bare hits: only the key is read
+    return salted_join(locate(pulses, tanks), showers, keys, hot=hot)
 
 
 def explode_slots(df: DataFrame, array: str, weight: Column, value: str = "value") -> DataFrame:

@@ -14,7 +14,8 @@ def quantile_bucket(df: DataFrame, col: str, buckets: int = N_BUCKETS) -> Column
 
     The boundaries are approximate quantiles (``buckets`` numbers on the
     driver, a fixed amount).  Any boundaries give exact ranks; good ones give
-    balanced tasks.
+    balanced tasks.  Meant for keys that are (nearly) unique; more buckets give
+    smaller tasks on larger tables.
     """
     bounds = df.approxQuantile(col, [i / buckets for i in range(1, buckets)], 0.25 / buckets)
     bounds = sorted(set(bounds))

@@ -2,46 +2,53 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
-HOT_SHARE = 1.0 / 1000  # a key above this share of all rows is hot
-SALTS = 64
+ROWS_PER_TASK = 2_000_000  # a key with more rows than this is split
+MAX_SHARE = 1e-6           # and never more than 1 / MAX_SHARE keys are
 
 
-def hot_keys(facts: DataFrame, keys: list[str], share: float = HOT_SHARE) -> DataFrame:
-    """Keys that own more than ``share`` of the rows; there are at most 1/share of them.
+def hot_keys(facts: DataFrame, keys: Sequence[str], coarse: Sequence[str] | None = None,
+             rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Keys with too many rows for one task, and the number of parts to split each into.
 
-    Counting is pre-aggregated on the map side, so a hot key costs one row per
-    map task.  The scan reads the key columns only.
+    A hot key has more than ``rows_per_task`` rows and more than a millionth
+    of all, so there are at most a million of them whatever the data: small
+    enough to broadcast.  Counting combines on the map side and reads key
+    columns only.  With ``coarse`` (some of the keys) only rows of hot coarse
+    keys are counted by the full key, so unskewed data costs one cheap count.
     """
+    if coarse is not None:
+        outer = hot_keys(facts, coarse, None, rows_per_task).select(*coarse)
+        facts = facts.join(F.broadcast(outer), list(coarse), "left_semi")
     counts = facts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n")).scalar()
-    return counts.filter(F.col("_n") > share * total).select(*keys)
+    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).scalar()
+    hot = (F.col("_n") > rows_per_task) & (F.col("_n") > MAX_SHARE * total)
+    return counts.filter(hot).select(
+        *keys, F.ceil(F.col("_n") / rows_per_task).cast("int").alias("_parts"))
 
 
-def salted_join(facts: DataFrame, dim: DataFrame, keys: list[str], how: str = "inner",
-                hot: DataFrame | None = None, share: float = HOT_SHARE,
-                salts: int = SALTS) -> DataFrame:
+def salted_join(facts: DataFrame, dim: DataFrame, keys: Sequence[str], how: str = "inner",
+                coarse: Sequence[str] | None = None, hot: DataFrame | None = None,
+                rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Equi-join of a fact table with a table that is small per key.
 
-    Rows of hot keys spread over ``salts`` tasks and the matching dim rows are
-    copied that many times; every other key joins as usual.  The hot-key list
-    has a proven bound (1/share rows), so broadcasting it is safe at any size.
-    ``hot`` gives a list made before by ``hot_keys``, over all or some of the
-    keys.  Only inner and left joins make sense here.
+    Rows of a hot key spread over as many parts as its size asks for and the
+    matching dim rows are copied to each part; every other key joins as usual.
+    Results are those of the plain join.  ``hot`` gives a list made before by
+    ``hot_keys`` for the same keys.  Only inner and left joins make sense here.
     """
     if how not in ("inner", "left"):
         raise ValueError("salted_join supports inner and left joins")
-    hot = hot_keys(facts, keys, share) if hot is None else hot
-    by = hot.columns
-    hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in facts.columns]), F.lit(salts)).cast("int")
+    keys = list(keys)
+    hot = F.broadcast(hot_keys(facts, keys, coarse, rows_per_task) if hot is None else hot)
+    part = F.pmod(F.xxhash64(*[F.col(c) for c in facts.columns]), F.col("_parts")).cast("int")
     left = (
-        facts.join(hot, by, "left")
-        .withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(F.lit(0)))
-        .drop("_hot")
+        facts.join(hot, keys, "left")
+        .withColumn("_salt", F.coalesce(part, F.lit(0))).drop("_parts")
     )
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))) \
-        .otherwise(F.array(F.lit(0)))
-    right = dim.join(hot, by, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    copies = F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1)
+    right = dim.join(hot, keys, "left").withColumn("_salt", F.explode(copies)).drop("_parts")
     return left.join(right, [*keys, "_salt"], how).drop("_salt")

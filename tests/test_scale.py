@@ -47,6 +47,11 @@ def test_top_hits_are_cut_before_the_shuffle(spark):
     assert first < text.index("Exchange") < last and "Partial" in text[last:last + 400]
 
 
+def test_first_times_are_cut_before_the_shuffle(spark):
+    text = plan(pulses.relative_times(Tables(spark, FOLDER).pulse, KEY), "simple")
+    assert text.index("WindowGroupLimit") < text.index("Exchange") < text.rindex("WindowGroupLimit")
+
+
 def test_scan_reads_only_what_is_used(spark):
     t = Tables(spark, FOLDER)
     text = plan(t.evt.filter("filt").groupBy("run").agg(F.sum("energy")))
@@ -79,9 +84,9 @@ def test_salted_join_equals_a_plain_join(spark, rows, skewed):
     dim = pulses.station_multiplicity(skewed, KEY)
     keys = [*KEY, "station"]
     cols = [*skewed.columns, "n_tanks"]
-    for how in ("inner", "left"):
+    for how, coarse in (("inner", None), ("left", None), ("inner", KEY), ("left", KEY)):
         small = dim if how == "inner" else dim.filter("station % 2 = 0")
-        a = skew.salted_join(skewed, small, keys, how).select(cols)
+        a = skew.salted_join(skewed, small, keys, how, coarse, rows_per_task=100).select(cols)
         assert rows(a.na.fill(-1)) == rows(skewed.join(small, keys, how).select(cols).na.fill(-1))
 
 
@@ -96,7 +101,7 @@ def test_salted_join_spreads_the_hot_event(spark, skewed):
         sizes = lambda df: [r["count"] for r in df.groupBy(
             F.spark_partition_id().alias("p")).count().collect()]
         plain = max(sizes(skewed.join(one_row, KEY)))
-        salted = max(sizes(skew.salted_join(skewed, one_row, KEY)))
+        salted = max(sizes(skew.salted_join(skewed, one_row, KEY, rows_per_task=500)))
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", old)
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
@@ -104,9 +109,15 @@ def test_salted_join_spreads_the_hot_event(spark, skewed):
     assert plain >= 20000 and salted < 6000
 
 
-def test_hot_keys_are_few(spark, skewed):
-    assert [r.event_id for r in skew.hot_keys(skewed, KEY, 0.01).collect()] == [7]
-    assert skew.hot_keys(skewed, KEY, 1 / 1000).count() <= 1000
+def test_hot_keys_and_their_parts(spark, rows, skewed):
+    assert rows(skew.hot_keys(skewed, KEY, rows_per_task=500)) == [(7, 40)]
+    assert skew.hot_keys(skewed, KEY).count() == 0
+    keys = [*KEY, "station"]
+    want = {(r.event_id, r.station) for r in skewed.groupBy(*keys).count().filter(
+        "count > 100").collect()}
+    got = skew.hot_keys(skewed, keys, KEY, 100).collect()
+    assert want and {(r.event_id, r.station) for r in got} == want
+    assert all(r._parts >= 2 for r in got)
 
 
 def test_hot_event_results(spark, skewed):
