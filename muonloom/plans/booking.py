@@ -257,12 +257,12 @@ def flux_sql(model: str, e: str, element: str | None = None, population: int | N
 _SCALE = "pow(energy, 1.65e0)"
 
 
-@query("scaled_flux", "SELECT event_id, " + R(flux_sql("h4a", "energy") + " * " + _SCALE)
+@query("scaled_flux", "SELECT event_id, " + R(flux_sql("h4a", "energy") + " * " + _SCALE, 2)
        + " AS scaled FROM evt", "evt")
 def scaled_flux(t):
     e = F.col("energy")
     return t.evt.select(
-        "event_id", r(shapes.flux("h4a", e) * shapes.scale_flux(e, 2.65)).alias("scaled"))
+        "event_id", r(shapes.flux("h4a", e) * shapes.scale_flux(e, 2.65), 2).alias("scaled"))
 
 
 _MODELS = (("h4a", None), ("h4a", 1), ("h4a", 2), ("h4a", 3), ("h3a", None), ("h3a", 3),
@@ -270,18 +270,18 @@ _MODELS = (("h4a", None), ("h4a", 1), ("h4a", 2), ("h4a", 3), ("h3a", None), ("h
 
 
 @query("flux_model", "SELECT event_id, " + ", ".join(
-    R(f"{flux_sql(m, 'energy', population=p)} * {_SCALE}") + f" AS {m}_{p or 'all'}"
+    R(f"{flux_sql(m, 'energy', population=p)} * {_SCALE}", 2) + f" AS {m}_{p or 'all'}"
     for m, p in _MODELS) + " FROM evt", "evt")
 def flux_model(t):
     e = F.col("energy")
     return t.evt.select("event_id", *[
-        r(shapes.flux(m, e, population=p) * shapes.scale_flux(e, 2.65)).alias(f"{m}_{p or 'all'}")
+        r(shapes.flux(m, e, population=p) * shapes.scale_flux(e, 2.65), 2).alias(f"{m}_{p or 'all'}")
         for m, p in _MODELS])
 
 
 @query("lateral_profile", """
     SELECT p.event_id, p.hit,
-           """ + R("p.charge * pow(d.u, -2.5e0 - 0.303e0 * log10(d.u))", 7) + """ AS signal,
+           """ + R("p.charge * pow(d.u, -2.5e0 - 0.303e0 * log10(d.u))", 6) + """ AS signal,
            """ + R("0.5e0 + 0.2e0 * d.u + 0.1e0 * d.u * d.u - 0.01e0 * d.u * d.u * d.u") + """ AS proxy,
            """ + R("0.90603644e0 * log10(p.charge) + 6.04892767e0") + """ AS loge
     FROM pulse p JOIN tank k USING (station, tank) JOIN evt e USING (event_id),
@@ -295,7 +295,7 @@ def lateral_profile(t):
     u = F.col("d") / 60.0
     return hits.select(
         "event_id", "hit",
-        r(shapes.lateral_profile(F.col("d"), F.col("charge"), 2.5), 7).alias("signal"),
+        r(shapes.lateral_profile(F.col("d"), F.col("charge"), 2.5), 6).alias("signal"),
         r(shapes.cubic(u, 0.5, 0.2, 0.1, -0.01)).alias("proxy"),
         r(shapes.s125_to_loge(F.log10("charge"))).alias("loge"))
 
@@ -346,15 +346,15 @@ WEIGHT_SQL = f"""
 
 
 @query("composition_weight", f"""
-    SELECT event_id, bin, {R(_case_pdg(lambda n: flux_sql('h4a', 'energy', n)) + ' * norm', 9)} AS weight_h4a,
-           {R(flux_sql('h4a', 'energy') + ' * norm', 9)} AS weight_all_h4a,
-           {R(_case_pdg(lambda n: flux_sql('poly', 'energy', n)) + ' * norm', 9)} AS weight_poly,
-           {R(flux_sql('poly', 'energy') + ' * norm', 9)} AS weight_all_poly
+    SELECT event_id, bin, {R(_case_pdg(lambda n: flux_sql('h4a', 'energy', n)) + ' * norm', 7)} AS weight_h4a,
+           {R(flux_sql('h4a', 'energy') + ' * norm', 7)} AS weight_all_h4a,
+           {R(_case_pdg(lambda n: flux_sql('poly', 'energy', n)) + ' * norm', 7)} AS weight_poly,
+           {R(flux_sql('poly', 'energy') + ' * norm', 7)} AS weight_all_poly
     FROM ({WEIGHT_SQL})""", "evt")
 def composition_weight(t):
     w = spectrum.composition_weights(t.evt, t.evt, FINE)
     return w.select("event_id", "bin", *[
-        r(c, 9).alias(c) for c in ("weight_h4a", "weight_all_h4a", "weight_poly", "weight_all_poly")])
+        r(c, 7).alias(c) for c in ("weight_h4a", "weight_all_h4a", "weight_poly", "weight_all_poly")])
 
 
 @query("generator_check", f"""
