@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from muonloom.functions.guards import ratio
 
 
+# group functions travel to the workers whole, so these need no installed copy
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def log_parabola(hist: DataFrame, by: Sequence[str], x: Column, counts: Column) -> DataFrame:
     """Gaussian through ln(counts) = c + b x + a x^2, weighted by the counts.
 

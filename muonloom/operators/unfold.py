@@ -7,14 +7,19 @@ variant and each group solves one small matrix problem.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from muonloom.functions.guards import ratio
 
+# group functions travel to the workers whole, so these need no installed copy
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 RESULT = ("variant string, bin int, unfolded double, stat_err double, sys_err double, "
           "iterations int, ks double")
 HISTORY = "variant string, iteration int, bin int, unfolded double, ks double"
