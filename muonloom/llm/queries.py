@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from muonloom.llm import mixing
+import public_tokenizers
+
+from muonloom.llm import bpe, lines, mixing
 from muonloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +60,35 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix(docs)
     return mixed.select("doc_id", F.col("n_words").alias("size"), "source_size", "target",
                         (F.col("n_words") * F.col("copies")).alias("taken"))
+
+
+@query("op9_byte_bpe")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    done = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+LINES_SQL = r"""
+WITH l AS (
+  SELECT doc_id, md5(coalesce(text, '')) AS h, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+    generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS place
+  FROM documents),
+k AS (
+  SELECT *, trim(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                 ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS key FROM l),
+f AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(f.key) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (f.key IS NULL), '')) AS kept_sha256
+FROM k LEFT JOIN f ON k.key = f.key GROUP BY doc_id
+"""
+
+
+@query("op10_line_dedup", LINES_SQL)
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    kept = lines.apply_bitmaps(docs, lines.keep_bitmaps(docs))
+    return kept.select("doc_id", "n_lines", "n_dropped",
+                       F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
