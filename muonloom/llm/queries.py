@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from muonloom.llm import bpe, lines, mixing
+from muonloom.llm import bpe, licences, lines, mixing
 from muonloom.llm.common import table
+from muonloom.llm.known_licences import LICENCES, NOTICES, SPELLINGS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -92,3 +93,43 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     kept = lines.apply_bitmaps(docs, lines.keep_bitmaps(docs))
     return kept.select("doc_id", "n_lines", "n_dropped",
                        F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _canonical_sql(text: str) -> str:
+    c = rf"regexp_replace(lower(coalesce({text}, '')), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g')"
+    for pattern, same in SPELLINGS:
+        c = f"regexp_replace({c}, {_text(pattern)}, {_text(same.replace('$', chr(92)))}, 'g')"
+    return c
+
+
+def _whole_sql(text: str) -> str:
+    c = rf"regexp_replace(lower(coalesce({text}, '')), '(?m)^[ \t]*(portions )?(copyright|\(c\)|©)[^\n]*$', '', 'g')"
+    c = rf"regexp_replace({c}, '(?m)^[ \t]*all rights reserved[^\w\n]*$', '', 'g')"
+    return rf"trim(regexp_replace({_canonical_sql(c)}, '[ \n]+', ' ', 'g'))"
+
+
+def _known_sql(texts: list[tuple[str, str]], form: str) -> str:
+    rows = ", ".join(f"({_text(a)}, {_text(b)})" for a, b in texts)
+    return (f"(SELECT sha256({form}) AS digest, min(licence) AS licence "
+            f"FROM (VALUES {rows}) AS t(licence, text) GROUP BY 1)")
+
+
+LICENCE_SQL = f"""
+WITH w AS (SELECT doc_id, sha256({_whole_sql('text')}) AS digest FROM documents),
+l AS (SELECT DISTINCT doc_id, sha256(trim(unnest(string_split({_canonical_sql('text')}, chr(10))))) AS digest
+      FROM documents),
+n AS (SELECT doc_id, list_sort(list(DISTINCT licence)) AS notices
+      FROM l JOIN {_known_sql(NOTICES, 'trim(' + _canonical_sql('text') + ')')} k USING (digest) GROUP BY doc_id)
+SELECT w.doc_id, w.digest, k.licence, coalesce(n.notices, []) AS notices
+FROM w LEFT JOIN {_known_sql(LICENCES, _whole_sql('text'))} k USING (digest)
+LEFT JOIN n ON n.doc_id = w.doc_id
+"""
+
+
+@query("op6_licence_scan", LICENCE_SQL)
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return licences.scan(table(spark, folder, "documents").select("doc_id", "text"))
