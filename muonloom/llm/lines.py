@@ -183,7 +183,8 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, carry: tuple[str, ...] =
     carried = F.struct("doc_id", *carry).alias("row")
     rows = docs.select(carried, F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_text_hash"),
                        as_bytes("text").alias("text"))
-    marks = bitmaps.select("doc_id", "text_hash", "n_dropped", "keep")
+    # the bitmaps grow with the documents, so they are never broadcast
+    marks = bitmaps.select("doc_id", "text_hash", "n_dropped", "keep").hint("merge")
     joined = rows.join(marks, F.col("_id").eqNullSafe(F.col("doc_id"))
                        & (F.col("_text_hash") == F.col("text_hash")), "left")
     joined = joined.select("row", "text", "n_dropped", "keep")
