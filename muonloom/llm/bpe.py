@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from muonloom.llm.common import as_bytes, map_rows
 
-#: The first so many words and pre-tokens of at most CACHED_CHARS characters are remembered per task.
-CACHED_CHARS, CACHED_WORDS, CACHED_PIECES = 40, 300_000, 600_000
+#: The first so many words and pre-tokens of at most CACHED_CHARS characters are remembered per worker.
+CACHED_CHARS, CACHED_WORDS, CACHED_PIECES = 40, 400_000, 1_000_000
 
 
 def read_ranks(path: str) -> list[tuple[bytes, int]]:
@@ -173,9 +173,20 @@ def from_little_endian(data: bytes) -> array:
 
 
 def _per_worker(df: DataFrame, path: str, pattern: str) -> Callable[[], Encoder]:
-    """The ranks (a vocabulary file, about 1 MB) go to the workers once, as a broadcast."""
-    sent = df.sparkSession.sparkContext.broadcast(read_ranks(path))
-    return lambda: Encoder(sent.value, pattern)
+    """The ranks (a vocabulary file, about 1 MB) go to the workers as a broadcast.
+
+    A worker that runs several tasks keeps the broadcast value, and on it the
+    encoder with the words it knows.
+    """
+    sent = df.sparkSession.sparkContext.broadcast({"ranks": read_ranks(path)})
+
+    def make() -> Encoder:
+        kept = sent.value
+        if "encoder" not in kept:
+            kept["encoder"] = Encoder(kept["ranks"], pattern)
+        return kept["encoder"]
+
+    return make
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:
