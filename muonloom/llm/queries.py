@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from muonloom.llm import bpe, licences, lines, mixing
+from muonloom.llm import bpe, licences, lines, mixing, toxicity
 from muonloom.llm.common import table
 from muonloom.llm.known_licences import LICENCES, NOTICES, SPELLINGS
 
@@ -133,3 +133,10 @@ LEFT JOIN n ON n.doc_id = w.doc_id
 @query("op6_licence_scan", LICENCE_SQL)
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return licences.scan(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query("op7_toxicity")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    chain = toxicity.fit(docs, toxicity.categories(table(spark, folder, "labels")))
+    return toxicity.score(docs, chain).withColumn("toxic", F.col("p_toxic") >= toxicity.TOXIC)
