@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from muonloom.llm import bpe, licences, lines, minhash, mixing, toxicity
+from muonloom.llm import ann, bpe, licences, lines, minhash, mixing, toxicity
 from muonloom.llm.common import table
 from muonloom.llm.known_licences import LICENCES, NOTICES, SPELLINGS
 
@@ -169,3 +169,8 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.
 @query("op5_minhash_dedup", NEAR_SQL)
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_components(table(spark, folder, "documents"))
+
+
+@query("op2_nearest")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.nearest(table(spark, folder, "embeddings"))
