@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from muonloom.llm import ann, bpe, licences, lines, minhash, mixing, toxicity
+from muonloom.llm import ann, bpe, extract, licences, lines, minhash, mixing, toxicity
 from muonloom.llm.common import table
 from muonloom.llm.known_licences import LICENCES, NOTICES, SPELLINGS
 
@@ -174,3 +174,10 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_nearest")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return ann.nearest(table(spark, folder, "embeddings"))
+
+
+@query("op1_main_text")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    return (extract.extract(pages, extract.fitted(pages))
+            .withColumn("n_chars", F.length("text").cast("long")))
