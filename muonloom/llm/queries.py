@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from muonloom.llm import ann, bpe, extract, licences, lines, minhash, mixing, toxicity
+from muonloom.llm import ann, bpe, extract, licences, lines, minhash, mixing, simhash, toxicity
 from muonloom.llm.common import table
 from muonloom.llm.known_licences import LICENCES, NOTICES, SPELLINGS
 
@@ -181,3 +181,9 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages").select("page_id", "url", "html")
     return (extract.extract(pages, extract.fitted(pages))
             .withColumn("n_chars", F.length("text").cast("long")))
+
+
+@query("op8_fingerprints")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return simhash.close_fingerprints(simhash.fingerprints(docs))
