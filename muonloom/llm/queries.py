@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from muonloom.llm import ann, bpe, extract, licences, lines, minhash, mixing, simhash, toxicity
+from muonloom.llm import ann, bpe, extract, licences, lines, minhash, mixing, ngram, simhash, toxicity
 from muonloom.llm.common import table
 from muonloom.llm.known_licences import LICENCES, NOTICES, SPELLINGS
 
@@ -187,3 +187,8 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return simhash.close_fingerprints(simhash.fingerprints(docs))
+
+
+@query("op4_lm_score")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram.score(table(spark, folder, "documents").select("doc_id", "text"))
