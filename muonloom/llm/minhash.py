@@ -217,7 +217,7 @@ def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     links = more.join(home.hint("merge"), "a", "left").select(F.coalesce("home", "a").alias("a"), "b")
     home = home.withColumnRenamed("a", "b")
     links = links.join(home.hint("merge"), "b", "left").select("a", F.coalesce("home", "b").alias("b"))
-    joined = components(links.distinct()).withColumnsRenamed({"node": "component", "component": "whole"})
+    joined = components(links.distinct()).select(F.col("node").alias("component"), F.col("component").alias("whole"))
     # nodes of the first round by their component, and nodes that only the second round has linked
     nodes = first.unionByName(joined.select(F.col("component").alias("node"), "component")
                               .join(first, "node", "anti"))
@@ -226,7 +226,7 @@ def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def near_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of ``docs``.
+    """doc_id, n_shingles, component_id, kept and row_key (a hash of id and text) for every row of ``docs``.
 
     Rows whose 5-word shingle sets share at least 75 % of their union are
     linked; component_id is the smallest doc_id reachable over links.  Every
@@ -247,8 +247,8 @@ def near_components(docs: DataFrame) -> DataFrame:
     ids = (linked_nodes.join(least.hint("merge"), "component").select("node", "component_id"))
     by_digest = (classes.select("digest", "node", "smallest").join(ids.hint("merge"), "node", "left")
                  .select("digest", F.coalesce("component_id", "smallest").alias("component_id")))
-    return (signed.select("doc_id", "n_shingles", "digest").join(by_digest.hint("merge"), "digest", "left")
-            .select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id"))
+    return (signed.select("doc_id", "n_shingles", "digest", "row_key").join(by_digest.hint("merge"), "digest", "left")
+            .select("doc_id", "n_shingles", "row_key", F.when(F.col("n_shingles") == 0, F.col("doc_id"))
                     .otherwise(F.col("component_id")).alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"),
                                            F.col("component_id").isNull())))
