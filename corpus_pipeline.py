@@ -36,8 +36,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near-duplicates."""
-    found = minhash.near_components(docs).filter("NOT kept").select(F.col("doc_id").alias("_id"))
-    return docs.join(found.hint("merge"), F.col("doc_id") == F.col("_id"), "anti").select(COLUMNS)
+    found = (minhash.near_components(docs).filter("NOT kept")
+             .select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key")))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (minhash.row_key() == F.col("_key"))
+    return docs.join(found.hint("merge"), same, "anti").select(COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

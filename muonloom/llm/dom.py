@@ -58,7 +58,9 @@ N_KIND, N_HINT = len(KINDS) + 1, len(HINTS)
 SHARED = N_KIND + N_HINT
 BINS = len(WORDS_AT) + 1 + len(LINKS_AT) + 1
 #: Columns: kind and hints of the element (of a leaf: of its parent), then bins, once for leaves, once for elements.
-N_FEATURES = 2 * (SHARED + BINS + 3 + len(PLACES_AT) + 1)
+N_ZONES = 5
+ZONE_AT = SHARED + BINS + 3 + len(PLACES_AT) + 1
+N_FEATURES = 2 * (ZONE_AT + N_ZONES)
 
 
 @dataclass
@@ -174,6 +176,21 @@ def bin_of(value: float, edges: tuple) -> int:
     return len(edges)
 
 
+def zone_of(tag: str, hints: tuple[int, ...], outer: int) -> int:
+    """Where an element stands, given where its parent does.
+
+    0 nowhere special, 1 in what calls itself the article, 2 in a header of the
+    page, 3 in a header of the article, 4 in something else that says what it is.
+    """
+    if tag in ("article", "main") and outer != 4:
+        return 1
+    if tag == "header" or 1 in hints:
+        return 3 if outer in (1, 3) else 2 if outer == 0 else outer
+    if tag in ("nav", "footer", "aside", "form") or any(h < 9 for h in hints):
+        return 4
+    return 1 if 10 in hints and outer == 0 else outer
+
+
 def features(page: Page) -> list[list[int]]:
     """Columns that are on, per node."""
     n = len(page.parent)
@@ -187,6 +204,7 @@ def features(page: Page) -> list[list[int]]:
         chars[up] += chars[i]
         links[up] += links[i]
     out, half, before, total = [], N_FEATURES // 2, 0, max(words[0], 1)
+    zones = [0] * n
     for i in range(n):
         text = page.text[i]
         leaf = text is not None
@@ -206,6 +224,9 @@ def features(page: Page) -> list[list[int]]:
         on.append(base + SHARED + BINS + 3 + bin_of(before / total, PLACES_AT))
         if leaf:
             before += words[i]
+        if i:
+            zones[i] = zones[owner] if leaf else zone_of(page.tag[i], page.hints[i], zones[page.parent[i]])
+        on.append(base + ZONE_AT + zones[i])
         out.append(on)
     return out
 

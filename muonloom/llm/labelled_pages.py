@@ -134,7 +134,7 @@ def _page(r: random.Random) -> str:
     pick = lambda chance, part: part(r) if r.random() < chance else ""
     after = [pick(0.35, _comments), pick(0.25, _side), pick(0.15, _form), pick(0.15, _share), pick(0.15, _advert)]
     r.shuffle(after)
-    before = [pick(0.35, _header), pick(0.75, _menu), pick(0.25, _notice), pick(0.4, _advert), pick(0.15, _form),
+    before = [pick(0.45, _header), pick(0.75, _menu), pick(0.25, _notice), pick(0.4, _advert), pick(0.15, _form),
               pick(0.15, _side)]
     head = f"<head><title>{_sentence(r)}</title><script>var a = '<p>';</script></head>"
     return (f"<!DOCTYPE html><html>{head}<body>{''.join(before)}{body}{''.join(after)}{pick(0.8, _footer)}"

@@ -168,7 +168,7 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.
 
 @query("op5_minhash_dedup", NEAR_SQL)
 def op5(spark: SparkSession, folder: str) -> DataFrame:
-    return minhash.near_components(table(spark, folder, "documents"))
+    return minhash.near_components(table(spark, folder, "documents")).drop("row_key")
 
 
 @query("op2_nearest")

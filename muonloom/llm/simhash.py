@@ -66,7 +66,7 @@ def neighbours(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ids = docs.select("doc_id")
-    part = F.coalesce(quantile_bucket(ids.dropna(), "doc_id", parts), F.lit(0))
+    part = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(quantile_bucket(ids.dropna(), "doc_id", parts))
     # one row per part: its smallest id (null first)
     starts = (ids.withColumn("part", part).groupBy("part")
               .agg(F.max(F.col("doc_id").isNull()).alias("null"), F.min("doc_id").alias("id"))
