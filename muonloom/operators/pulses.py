@@ -6,9 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from muonloom.functions.directions import distance
 from muonloom.functions.features import pad, zeros
-from muonloom.operators.geometry import locate, neighbours, tank_of
-from muonloom.operators.skew import hot_keys, salted_join
+from muonloom.operators.geometry import locate, tank_of
+from muonloom.operators.skew import key_counts, salted_join
 from muonloom.schema import N_SLOTS
 from muonloom.session import cut_lineage
 
@@ -27,28 +28,38 @@ def exclude_tanks(pulses: DataFrame, bad: DataFrame,
 
 
 def station_multiplicity(pulses: DataFrame, keys: Sequence[str] = EVENT_KEY) -> DataFrame:
-    """(event, station) -> number of tanks hit, as one map-side combined aggregate."""
+    """(event, station) -> number of tanks hit and of hits, as one map-side combined aggregate.
+
+    Hits of an unknown tank count as hits only.
+    """
     p = pulses if "tank" in pulses.columns else pulses.withColumn("tank", tank_of(F.col("om")))
-    hit = F.when(F.col("tank") == "A", F.lit(1)).otherwise(F.lit(2))
-    return p.groupBy(*keys, "station").agg(F.bit_count(F.bit_or(hit)).alias("n_tanks"))
+    hit = F.when(F.col("tank") == "A", F.lit(1)).when(F.col("tank") == "B", F.lit(2))
+    return p.groupBy(*keys, "station").agg(
+        F.coalesce(F.bit_count(F.bit_or(hit)), F.lit(0)).alias("n_tanks"),
+        F.count(F.lit(1)).alias("n_hits"))
 
 
-def split_hlc(pulses: DataFrame, keys: Sequence[str] = EVENT_KEY) -> DataFrame:
-    """Add ``hlc``: both tanks of the station were hit in this event.
+def _with_multiplicity(pulses: DataFrame, kept: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Hits with the number of tanks hit at their station among ``kept``.
 
     Aggregate and join back instead of a window, so that the hits of one huge
-    event never have to meet in one task.
+    event never have to meet in one task; the aggregate also says which keys
+    are hot.
     """
-    dim = station_multiplicity(pulses, keys)
-    return salted_join(pulses, dim, [*keys, "station"], coarse=keys).withColumn(
+    dim, on = station_multiplicity(kept, keys), [*keys, "station"]
+    counts = dim.select(*on, F.col("n_hits").alias("_n"))
+    return salted_join(pulses, dim.drop("n_hits"), on, how, counts=counts)
+
+
+def split_hlc(pulses: DataFrame, keys: Sequence[str] = EVENT_KEY) -> DataFrame:
+    """Add ``hlc``: both tanks of the station were hit in this event."""
+    return _with_multiplicity(pulses, pulses, keys, "inner").withColumn(
         "hlc", F.col("n_tanks") >= 2).drop("n_tanks")
 
 
 def triage(pulses: DataFrame, limit: float = 0.1, keys: Sequence[str] = EVENT_KEY) -> DataFrame:
     """Class of every hit: 'removed' below the charge limit, else 'hlc' or 'slc' by station."""
-    kept = pulses.filter(F.col("charge") >= limit)
-    dim = station_multiplicity(kept, keys)
-    joined = salted_join(pulses, dim, [*keys, "station"], "left", coarse=keys)
+    joined = _with_multiplicity(pulses, pulses.filter(F.col("charge") >= limit), keys, "left")
     return joined.withColumn(
         "hit_class",
         F.when(F.col("charge") < limit, F.lit("removed"))
@@ -57,77 +68,92 @@ def triage(pulses: DataFrame, limit: float = 0.1, keys: Sequence[str] = EVENT_KE
     ).drop("n_tanks")
 
 
-def _reach(kept: DataFrame, near: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """What the kept hits reach: per (event, tank, time slice) three numbers.
+def _reach(kept: DataFrame, rest: DataFrame, radius: float, keys: Sequence[str]) -> DataFrame:
+    """What the kept hits reach of the others: per (event, tank, time slice) three numbers.
 
     Slices are one time window wide.  A hit in the same slice as a kept hit of
     a neighbouring tank is always within the window; for the slices before and
     after only the latest and the earliest kept time matter.  Kept hits shrink
-    to one row per cell, go to the neighbouring tanks, shrink again, and only
-    then go to the slices around, so no hit pairs exist at any point.  A tank
-    reaches itself, also when its position is unknown.
+    to one row per event, tank and slice.  They meet the tanks that other hits
+    of the same event lie in through space cells of side ``radius``, so pairs of
+    tanks exist only where both were hit, never for the geometry as a whole.  A
+    tank reaches itself, also when its position is unknown.
     """
-    span = (F.min("t_min").alias("t_min"), F.max("t_max").alias("t_max"))
-    cells = kept.groupBy(*keys, "tank_id", "slice").agg(
-        F.min("time").alias("t_min"), F.max("time").alias("t_max"))
-    targets = F.concat(F.array("tank_id"), F.coalesce(F.col("targets"), F.array()))
-    spread = cells.join(near, "tank_id", "left").select(
-        *keys, F.explode(targets).alias("tank_id"), "slice", "t_min", "t_max"
-    ).groupBy(*keys, "tank_id", "slice").agg(*span)
     none = F.lit(None).cast("double")
-    cell = lambda shift, same, before, after: F.struct(
+    slot = lambda shift, same, before, after: F.struct(
         (F.col("slice") + shift).alias("slice"), F.lit(same).alias("same"),
         before.alias("before"), after.alias("after"))
-    return spread.select(
-        *keys, "tank_id",
-        F.inline(F.array(cell(0, 1, none, none), cell(1, 0, F.col("t_max"), none),
-                         cell(-1, 0, none, F.col("t_min"))))
-    ).groupBy(*keys, "tank_id", "slice").agg(
-        F.max("same").alias("same"), F.max("before").alias("before"),
-        F.min("after").alias("after"))
+    spread = (
+        kept.groupBy(*keys, "tank_id", "slice").agg(
+            F.min("time").alias("t_min"), F.max("time").alias("t_max"),
+            F.first("_x").alias("_x"), F.first("_y").alias("_y"))
+        .select(*keys, "tank_id", "_x", "_y",
+                F.inline(F.array(slot(0, 1, none, none), slot(1, 0, F.col("t_max"), none),
+                                 slot(-1, 0, none, F.col("t_min")))))
+    )
+    side = lambda c: F.floor(F.col(c) / radius).cast("long")
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"))
+                      for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    around = (
+        spread.withColumn("step", F.explode(steps))
+        .withColumn("cx", side("_x") + F.col("step.i")).withColumn("cy", side("_y") + F.col("step.j"))
+        .select(*keys, "slice", "cx", "cy", F.col("_x").alias("x0"), F.col("_y").alias("y0"),
+                "same", "before", "after")
+    )
+    wanted = rest.select(*keys, "tank_id", "slice", "_x", "_y").distinct().withColumns(
+        {"cx": side("_x"), "cy": side("_y")})
+    apart = distance(*[F.col(c) for c in ("_x", "_y", "x0", "y0")])
+    state = ["same", "before", "after"]
+    near = around.join(wanted, [*keys, "slice", "cx", "cy"]).filter(apart <= radius)
+    return (
+        near.select(*keys, "tank_id", "slice", *state)
+        .unionByName(spread.select(*keys, "tank_id", "slice", *state))
+        .groupBy(*keys, "tank_id", "slice").agg(
+            F.max("same").alias("same"), F.max("before").alias("before"),
+            F.min("after").alias("after"))
+    )
 
 
 def seeded_clean(pulses: DataFrame, tanks: DataFrame, radius: float = 180.0,
-                 window: float = 450.0, rounds: int = 3, keys: Sequence[str] = EVENT_KEY,
-                 stop_early: bool = False) -> DataFrame:
+                 window: float = 450.0, keys: Sequence[str] = EVENT_KEY,
+                 rounds: int | None = None) -> DataFrame:
     """Space-time cleaning seeded by HLC hits.
 
     Start from the HLC hits and, round by round, keep every hit within
-    ``radius`` and ``window`` of a kept hit of the same event.  Returns all hits
-    with a ``kept`` flag.
+    ``radius`` and ``window`` of a kept hit of the same event, until a round
+    keeps nothing new (or ``rounds`` are over, if given).  Returns all hits with
+    a ``kept`` flag.
 
     A round only asks what the hits kept by the round before reach, and only
     of the hits not kept yet, so the work shrinks from round to round.  Each
-    round starts from a written table.  ``stop_early`` ends the loop when a round
-    kept nothing.
+    round starts from a written table.
     """
-    tank_id = F.concat_ws("|", F.col("station"), F.col("tank"))
-    spots = tanks.select(tank_id.alias("tank_id"), "x", "y")
-    near = neighbours(spots, "tank_id", radius).groupBy("tank_id").agg(
-        F.collect_set("other").alias("targets"))
     p = pulses if "tank" in pulses.columns else pulses.withColumn("tank", tank_of(F.col("om")))
-    hits = p.withColumn("tank_id", tank_id).withColumn(
-        "slice", F.floor(F.col("time") / window).cast("long"))
-    state = salted_join(
-        hits, station_multiplicity(p, keys), [*keys, "station"], coarse=keys
-    ).withColumn("kept", F.col("n_tanks") >= 2).drop("n_tanks")
+    spots = tanks.select("station", "tank", F.col("x").alias("_x"), F.col("y").alias("_y"))
+    hits = _with_multiplicity(p, p, keys, "inner").join(spots, ["station", "tank"], "left")
+    state = (
+        hits.withColumn("tank_id", F.concat_ws("|", F.col("station"), F.col("tank")))
+        .withColumn("slice", F.floor(F.col("time") / window).cast("long"))
+        .withColumn("kept", F.col("n_tanks") >= 2).drop("n_tanks")
+    )
     within = (
         (F.col("same") == 1)
         | (F.col("time") - F.col("before") <= window)
         | (F.col("after") - F.col("time") <= window)
     )
-    done = None
-    for _ in range(rounds):
+    done, passed = None, 0
+    while rounds is None or passed < rounds:
         state = cut_lineage(state)
         new, rest = state.filter("kept"), state.filter("NOT kept")
-        if stop_early and new.isEmpty():
+        if new.isEmpty():
             break
         done = new if done is None else done.unionByName(new)
         state = salted_join(
-            rest, _reach(new, near, keys), [*keys, "tank_id", "slice"], "left", coarse=keys
+            rest, _reach(new, rest, radius, keys), [*keys, "tank_id", "slice"], "left"
         ).withColumn("kept", F.coalesce(within, F.lit(False))).drop("same", "before", "after")
+        passed += 1
     out = state if done is None else done.unionByName(state)
-    return out.drop("tank_id", "slice")
+    return out.select(*p.columns, "kept")
 
 
 def top_pulses(pulses: DataFrame, keys: Sequence[str] = EVENT_KEY, n: int = N_SLOTS,
@@ -201,15 +227,26 @@ def event_arrays(events: DataFrame, pulses: DataFrame, tanks: DataFrame,
     return out.withColumns({c: F.coalesce(F.col(c), zeros(n)) for c in names})
 
 
-def ordered_gaps(df: DataFrame, part: Sequence[str], time: str, width: float) -> DataFrame:
+ROWS_PER_SLICE = 100_000
+
+
+def ordered_gaps(df: DataFrame, part: Sequence[str], time: str,
+                 rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """Gaps between consecutive times of each group: (part, time, gap, n).
 
-    Groups may be arbitrarily large: times are cut into slices of ``width``,
-    gaps inside a slice are found in parallel, and the gap across slices comes
-    from a table with one row per slice.  Equal times give ``n`` gaps of 0.
+    Groups may be arbitrarily large: the times of each are cut into slices, as
+    many as its number of rows asks for over its span, gaps inside a slice are
+    found in parallel, and the gap across slices comes from a table with one
+    row per slice.  Equal times give ``n`` gaps of 0.
     """
+    t = F.col(time).cast("double")
+    spans = df.groupBy(*part).agg(F.min(t).alias("_t0"), F.max(t).alias("_t1"),
+                                  F.ceil(F.count(F.lit(1)) / rows_per_slice).alias("_slices"))
     times = df.groupBy(*part, F.col(time).alias("time")).agg(F.count(F.lit(1)).alias("_n"))
-    times = times.withColumn("_slice", F.floor(F.col("time") / width).cast("long"))
+    share = F.try_divide(F.col("time").cast("double") - F.col("_t0"), F.col("_t1") - F.col("_t0"))
+    times = times.join(spans, list(part)).withColumn(
+        "_slice", F.coalesce(F.floor(share * F.col("_slices")), F.lit(0)).cast("long")
+    ).drop("_t0", "_t1", "_slices")
     inside = Window.partitionBy(*part, "_slice").orderBy("time")
     within = times.select(
         *part, "time", (F.col("time") - F.lag("time").over(inside)).alias("gap"),
@@ -231,8 +268,8 @@ def ordered_gaps(df: DataFrame, part: Sequence[str], time: str, width: float) ->
 def shower_frame(pulses: DataFrame, tanks: DataFrame, showers: DataFrame,
                  keys: Sequence[str] = EVENT_KEY) -> DataFrame:
     """Hits with their tank position and the core and direction of their shower."""
-    hot = hot_keys(pulses, keys)  # from the bare hits: only the key is read
-    return salted_join(locate(pulses, tanks), showers, keys, hot=hot)
+    counts = key_counts(pulses, keys)  # from the bare hits: only the key is read
+    return salted_join(locate(pulses, tanks), showers, keys, counts=counts)
 
 
 def explode_slots(df: DataFrame, array: str, weight: Column, value: str = "value") -> DataFrame:

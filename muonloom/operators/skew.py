@@ -7,43 +7,30 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 ROWS_PER_TASK = 2_000_000  # a key with more rows than this is split
-MAX_SHARE = 1e-6           # and never more than 1 / MAX_SHARE keys are
 
 
-def hot_keys(facts: DataFrame, keys: Sequence[str], coarse: Sequence[str] | None = None,
-             rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """Keys with too many rows for one task, and the number of parts to split each into.
-
-    A hot key has more than ``rows_per_task`` rows and more than a millionth
-    of all, so there are at most a million of them whatever the data: small
-    enough to broadcast.  Counting combines on the map side and reads key
-    columns only.  With ``coarse`` (some of the keys) only rows of hot coarse
-    keys are counted by the full key, so unskewed data costs one cheap count.
-    """
-    if coarse is not None:
-        outer = hot_keys(facts, coarse, None, rows_per_task).select(*coarse)
-        facts = facts.join(F.broadcast(outer), list(coarse), "left_semi")
-    counts = facts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).scalar()
-    hot = (F.col("_n") > rows_per_task) & (F.col("_n") > MAX_SHARE * total)
-    return counts.filter(hot).select(
-        *keys, F.ceil(F.col("_n") / rows_per_task).cast("int").alias("_parts"))
+def key_counts(facts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows per key, as column ``_n``; counts combine on the map side and read key columns only."""
+    return facts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
 
 
 def salted_join(facts: DataFrame, dim: DataFrame, keys: Sequence[str], how: str = "inner",
-                coarse: Sequence[str] | None = None, hot: DataFrame | None = None,
-                rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+                counts: DataFrame | None = None, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Equi-join of a fact table with a table that is small per key.
 
     Rows of a hot key spread over as many parts as its size asks for and the
     matching dim rows are copied to each part; every other key joins as usual.
-    Results are those of the plain join.  ``hot`` gives a list made before by
-    ``hot_keys`` for the same keys.  Only inner and left joins make sense here.
+    Results are those of the plain join.  ``counts`` (keys and ``_n``) is given
+    where an aggregate over the keys exists anyway, else rows are counted here.
+    The list of hot keys is broadcast: it has at most one key per
+    ``rows_per_task`` rows.  Only inner and left joins make sense here.
     """
     if how not in ("inner", "left"):
         raise ValueError("salted_join supports inner and left joins")
     keys = list(keys)
-    hot = F.broadcast(hot_keys(facts, keys, coarse, rows_per_task) if hot is None else hot)
+    counts = key_counts(facts, keys) if counts is None else counts
+    hot = F.broadcast(counts.filter(F.col("_n") > rows_per_task).select(
+        *keys, F.ceil(F.col("_n") / rows_per_task).cast("int").alias("_parts")))
     part = F.pmod(F.xxhash64(*[F.col(c) for c in facts.columns]), F.col("_parts")).cast("int")
     left = (
         facts.join(hot, keys, "left")

@@ -8,10 +8,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from muonloom.functions.cuts import infill
+from muonloom.functions.directions import distance
 from muonloom.functions.guards import clamp
 from muonloom.operators.geometry import tank_of
 from muonloom.operators.pulses import EVENT_KEY
-from muonloom.sources.constants import SPEED_OF_LIGHT
+from muonloom.sources.constants import OM_TANK, SPEED_OF_LIGHT
 
 
 def station_summary(pulses: DataFrame, keys: Sequence[str] = EVENT_KEY) -> DataFrame:
@@ -21,13 +22,14 @@ def station_summary(pulses: DataFrame, keys: Sequence[str] = EVENT_KEY) -> DataF
     the map side combines the hits of a station before they are shuffled.
     """
     p = pulses if "tank" in pulses.columns else pulses.withColumn("tank", tank_of(F.col("om")))
-    tank_bit = F.when(F.col("tank") == "A", F.lit(1)).otherwise(F.lit(2))
-    om_bit = F.call_function("shiftleft", F.lit(1), (F.col("om") - 61).cast("int"))
+    tank_bit = F.when(F.col("tank") == "A", F.lit(1)).when(F.col("tank") == "B", F.lit(2))
+    om_bit = F.when(F.col("om").isin(*OM_TANK), F.call_function(
+        "shiftleft", F.lit(1), (F.col("om") - min(OM_TANK)).cast("int")))
     return p.groupBy(*keys, "station").agg(
         F.sum("charge").alias("q"),
         F.max("charge").alias("q_max"),
-        (F.bit_count(F.bit_or(tank_bit)) >= 2).alias("hlc"),
-        F.bit_count(F.bit_or(om_bit)).alias("n_om"),
+        (F.coalesce(F.bit_count(F.bit_or(tank_bit)), F.lit(0)) >= 2).alias("hlc"),
+        F.coalesce(F.bit_count(F.bit_or(om_bit)), F.lit(0)).alias("n_om"),
     )
 
 
@@ -157,25 +159,27 @@ def event_rate(counts: Column, duration: Column) -> tuple[Column, Column]:
     return F.try_divide(counts, duration), F.try_divide(F.sqrt(counts), duration)
 
 
-def two_station(pulses: DataFrame, pairs: DataFrame, keys: Sequence[str] = EVENT_KEY,
-                stations: Column | None = None) -> DataFrame:
-    """Events with two coincident infill stations that are neighbours.
+def two_station(pulses: DataFrame, tanks: DataFrame, radius: float,
+                keys: Sequence[str] = EVENT_KEY, stations: Column | None = None) -> DataFrame:
+    """Events with two coincident stations (infill ones by default) that are neighbours.
 
-    ``pairs`` is a symmetric (station, other) table.  Each station proposes its
-    neighbours; an event passes when a proposal is itself a hit station.  The
-    work is bounded by stations x neighbours per event, no hit pairs are formed.
+    Stations are neighbours when tanks of theirs are at most ``radius`` apart.
+    Tanks of coincident stations meet through space cells of that side within
+    their event, so no table of neighbours of the whole geometry is made.
     """
     chosen = infill(F.col("station")) if stations is None else stations
     hlc = station_summary(pulses.filter(chosen), keys).filter("hlc").select(*keys, "station")
-    proposed = hlc.join(pairs.select("station", "other"), "station").select(
-        *keys, F.col("other").alias("station"))
-    return proposed.join(hlc, [*keys, "station"], "left_semi").select(*keys).distinct()
-
-
-def neighbour_stations(tank_pairs: DataFrame) -> DataFrame:
-    """(station, other) of different stations from pairs of close tanks named 'station|tank'."""
-    number = lambda c: F.split_part(F.col(c), F.lit("|"), F.lit(1)).cast("int")
+    side = lambda c: F.floor(F.col(c) / radius).cast("long")
+    spots = hlc.join(tanks.select("station", "x", "y"), "station").withColumns(
+        {"cx": side("x"), "cy": side("y")})
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"))
+                      for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    around = spots.withColumn("step", F.explode(steps)).select(
+        *keys, F.col("station").alias("other"), F.col("x").alias("x0"), F.col("y").alias("y0"),
+        (F.col("cx") + F.col("step.i")).alias("cx"), (F.col("cy") + F.col("step.j")).alias("cy"))
+    apart = distance(*[F.col(c) for c in ("x", "y", "x0", "y0")])
     return (
-        tank_pairs.select(number("tank_id").alias("station"), number("other").alias("other"))
-        .filter(F.col("station") != F.col("other")).distinct()
+        spots.join(around, [*keys, "cx", "cy"])
+        .filter((F.col("station") < F.col("other")) & (apart <= radius))
+        .select(*keys).distinct()
     )

@@ -15,44 +15,50 @@ from muonloom.session import cut_lineage
 LOGE = edges.LOGE_EDGES
 
 
-def event_records(hlc: DataFrame, slc: DataFrame, bad_tanks: DataFrame, tanks: DataFrame,
-                  keys=KEY, radius: float = 180.0, window: float = 450.0) -> DataFrame:
-    """Merge, exclude, clean, split and summarise: one record per event.
+def event_records(events: DataFrame, hlc: DataFrame, slc: DataFrame, bad_tanks: DataFrame,
+                  tanks: DataFrame, keys=KEY, radius: float = 180.0, window: float = 450.0) -> DataFrame:
+    """Merge, exclude, clean, split and summarise: one record per event of ``events``.
 
-    The cleaned hits feed several summaries, so they are written once.
+    Events without any hit left have zero counts and charges and no centre or
+    direction.  The cleaned hits feed several summaries, so they are written once.
     """
     merged = pulses.union_pulses(hlc, slc)
     good = pulses.exclude_tanks(merged, bad_tanks)
     cleaned = pulses.seeded_clean(good, tanks, radius, window, keys=keys).filter("kept").drop("kept")
     cleaned = cut_lineage(cleaned)
     located = geometry.locate(cleaned, tanks)
+    none = {c: 0 for c in ("nsta", "nslc", "ntanks", "qtotalhlc", "qtotal", "qmax", "qhillas")}
     return (
-        summary.event_summary(cleaned, keys)
-        .join(summary.centre_of_gravity(located, keys), keys)
-        .join(summary.plane_front(located, keys).drop("n"), keys)
+        events.select(*keys)
+        .join(summary.event_summary(cleaned, keys), keys, "left")
+        .join(summary.centre_of_gravity(located, keys), keys, "left")
+        .join(summary.plane_front(located, keys).drop("n"), keys, "left")
+        .na.fill(none)
     )
 
 
 @query("event_records", f"""
-    WITH {CLEAN_SQL.replace("FROM pulse p JOIN tank k", "FROM good p JOIN tank k").replace(
-        "COUNT(DISTINCT tank) AS n FROM pulse", "COUNT(DISTINCT tank) AS n FROM good")},
+    WITH RECURSIVE hits_in AS (
+        SELECT * FROM pulse p WHERE (hit % 2 = 0 OR charge > 0.8e0)
+        AND NOT EXISTS (SELECT 1 FROM tank b WHERE b.x < -400 AND b.station = p.station
+                        AND b.tank = p.tank)), {CLEAN_SQL},
          st AS (SELECT event_id, station, SUM(charge) AS q, MAX(charge) AS q_max,
                        COUNT(DISTINCT tank) >= 2 AS hlc, COUNT(DISTINCT om) AS n_om
-                FROM k3 WHERE kept GROUP BY event_id, station),
+                FROM clean WHERE kept GROUP BY event_id, station),
          ev AS (SELECT event_id, COUNT(*) FILTER (WHERE hlc) AS nsta,
                        CAST(SUM(CASE WHEN hlc THEN 0 ELSE n_om END) AS BIGINT) AS nslc,
                        SUM(q) AS qtotal, MAX(q_max) AS qmax FROM st GROUP BY event_id),
          cg AS (SELECT event_id, SUM(x * sqrt(charge)) / SUM(sqrt(charge)) AS cogx,
                        SUM(time * sqrt(charge)) / SUM(sqrt(charge)) AS t0
-                FROM k3 WHERE kept GROUP BY event_id)
-    SELECT event_id, nsta, nslc, {R('qtotal')} AS qtotal, {R('qmax')} AS qmax, {R('cogx')} AS cogx,
-           {R('t0')} AS t0 FROM ev JOIN cg USING (event_id)
-    """.replace("WITH \n", "WITH good AS (SELECT * FROM pulse p WHERE (hit % 2 = 0 OR charge > 0.8e0) "
-                "AND NOT EXISTS (SELECT 1 FROM tank b WHERE b.x < -400 AND b.station = p.station "
-                "AND b.tank = p.tank)),\n"), "pulse tank")
+                FROM clean WHERE kept GROUP BY event_id)
+    SELECT o_orderkey AS event_id, coalesce(nsta, 0) AS nsta, coalesce(nslc, 0) AS nslc,
+           coalesce({R('qtotal')}, 0) AS qtotal, coalesce({R('qmax')}, 0) AS qmax, {R('cogx')} AS cogx,
+           {R('t0')} AS t0
+    FROM orders LEFT JOIN ev ON ev.event_id = o_orderkey LEFT JOIN cg ON cg.event_id = o_orderkey
+    """, "pulse tank")
 def records(t):
     hlc, slc = t.pulse.filter(F.col("hit") % 2 == 0), t.pulse.filter(F.col("hit") % 2 == 1)
-    out = event_records(hlc, slc, t.tank.filter("x < -400"), t.tank)
+    out = event_records(t.evt, hlc, slc, t.tank.filter("x < -400"), t.tank)
     return out.select("event_id", "nsta", "nslc", *[r(c).alias(c) for c in (
         "qtotal", "qmax", "cogx", "t0")])
 

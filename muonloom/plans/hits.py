@@ -48,23 +48,27 @@ def j_tank_distance(t):
     return geometry.station_spacing(t.tank).select("station", r("distance").alias("distance"))
 
 
+#: Cleaning to the fixed point; ``clean`` has every hit of ``hits_in`` with its flag.
 CLEAN_SQL = """
     k0 AS (SELECT p.event_id, p.hit, p.station, p.tank, p.om, p.charge, p.time, k.x, k.y,
-                       s.n >= 2 AS kept
-                FROM pulse p JOIN tank k USING (station, tank)
-                JOIN (SELECT event_id, station, COUNT(DISTINCT tank) AS n FROM pulse
-                      GROUP BY event_id, station) s USING (event_id, station)),
-""" + ",\n".join(
-    f"""    r{n} AS (SELECT p.*, p.kept OR EXISTS (SELECT 1 FROM k{n - 1} q
-             WHERE q.kept AND q.event_id = p.event_id
-               AND sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)) <= 180
-               AND abs(p.time - q.time) <= 450) AS nxt FROM k{n - 1} p),
-    k{n} AS (SELECT * EXCLUDE (kept, nxt), nxt AS kept FROM r{n})""" for n in (1, 2, 3))
-
-
-@query("j_seeded_clean", f"WITH {CLEAN_SQL} SELECT event_id, hit, kept FROM k3", "pulse tank")
+                  s.n >= 2 AS seed, row_number() OVER () AS id
+           FROM hits_in p JOIN tank k USING (station, tank)
+           JOIN (SELECT event_id, station, COUNT(DISTINCT tank) AS n FROM hits_in
+                 GROUP BY event_id, station) s USING (event_id, station)),
+    grown AS (SELECT event_id, id, x, y, time FROM k0 WHERE seed
+              UNION
+              SELECT p.event_id, p.id, p.x, p.y, p.time FROM grown q JOIN k0 p USING (event_id)
+              WHERE NOT p.seed AND abs(p.time - q.time) <= 450
+                AND sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)) <= 180),
+    clean AS (SELECT k0.*, g.id IS NOT NULL AS kept FROM k0 LEFT JOIN (SELECT DISTINCT id FROM grown) g
+              USING (id))"""
+
+
+@query("j_seeded_clean", f"""
+    WITH RECURSIVE hits_in AS (SELECT * FROM pulse), {CLEAN_SQL}
+    SELECT event_id, hit, kept FROM clean""", "pulse tank")
 def j_seeded_clean(t):
-    return pulses.seeded_clean(t.pulse, t.tank, 180.0, 450.0, 3, KEY).select(
+    return pulses.seeded_clean(t.pulse, t.tank, 180.0, 450.0, KEY).select(
         "event_id", "hit", "kept")
 
 
@@ -78,9 +82,7 @@ def j_seeded_clean(t):
       AND sqrt((ka.x - kb.x) * (ka.x - kb.x) + (ka.y - kb.y) * (ka.y - kb.y)) <= 130""",
        "pulse_dense tank_dense")
 def two_station_filter(t):
-    spots = t.tank_dense.withColumn("tank_id", F.concat_ws("|", "station", "tank"))
-    pairs = summary.neighbour_stations(geometry.neighbours(spots, "tank_id", 130.0))
-    return summary.two_station(t.pulse_dense, pairs, KEY)
+    return summary.two_station(t.pulse_dense, t.tank_dense, 130.0, KEY)
 
 
 @query("two_station_all", """
@@ -92,9 +94,7 @@ def two_station_filter(t):
       AND sqrt((ka.x - kb.x) * (ka.x - kb.x) + (ka.y - kb.y) * (ka.y - kb.y)) <= 300""",
        "pulse tank")
 def two_station_all(t):
-    spots = t.tank.withColumn("tank_id", F.concat_ws("|", "station", "tank"))
-    pairs = summary.neighbour_stations(geometry.neighbours(spots, "tank_id", 300.0))
-    return summary.two_station(t.pulse, pairs, KEY, F.lit(True))
+    return summary.two_station(t.pulse, t.tank, 300.0, KEY, F.lit(True))
 
 
 @query("event_summary", """
@@ -259,7 +259,7 @@ def _gap_hist(t):
     times = t.raw("events").select(F.col("event_type").alias("run"), (F.expr(
         "timestampdiff(MICROSECOND, TIMESTAMP_NTZ '2024-01-01 00:00:00', "
         "CAST(ts AS TIMESTAMP_NTZ))") / 1e6).alias("t"))
-    gaps = pulses.ordered_gaps(times, ["run"], "t", width=86400.0)
+    gaps = pulses.ordered_gaps(times, ["run"], "t")
     return hist.hist_gaps(gaps, _GAP_EDGES, ["run"])
 
 

@@ -21,16 +21,17 @@ def run_files(spark: SparkSession, path: str, schema: T.StructType,
 
 def book_new_runs(stream: DataFrame, out: str, checkpoint: str,
                   transform: Callable[[DataFrame], DataFrame] = lambda df: df) -> StreamingQuery:
-    """Book every new file once.
+    """Book every new file once, partitioned by run and batch.
 
-    Each batch replaces exactly the run partitions it contains, so a batch that
-    is retried after a failure gives the same folders.  A run must arrive whole
-    within one batch (one file per run does).
+    A run may arrive in any number of batches: each batch adds its own
+    partitions beside those that are there.  A batch that is retried after a
+    failure replaces exactly the partitions it had begun.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        (transform(batch).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(out))
+        (transform(batch).withColumn("batch", F.lit(batch_id).cast("long"))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("run", "batch").parquet(out))
 
     return (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

@@ -125,27 +125,43 @@ def brute_clean(data, where, radius, window, rounds):
     return out
 
 
-@pytest.mark.parametrize("stop_early", [False, True])
-def test_seeded_clean_against_brute_force(spark, grid, stop_early):
+@pytest.mark.parametrize("rounds", [3, None])
+def test_seeded_clean_against_brute_force(spark, grid, rounds):
     rng = np.random.default_rng(5)
     data = sorted({
         (int(e), int(s), int(o), float(t), 1.0)
         for e, s, o, t in zip(rng.integers(0, 6, 260), rng.integers(1, 50, 260),
                               rng.integers(61, 65, 260), rng.integers(0, 5000, 260))})
     where = {(r.station, r.tank): (r.x, r.y) for r in grid.collect()}
-    rounds = 6 if stop_early else 3
-    got = pulses.seeded_clean(hits(spark, data), grid, 120.0, 300.0, rounds, KEY, stop_early)
+    got = pulses.seeded_clean(hits(spark, data), grid, 120.0, 300.0, KEY, rounds)
     found = {(r.event_id, r.station, r.om, r.time, r.charge): r.kept for r in got.collect()}
-    want = brute_clean(data, where, 120.0, 300.0, rounds)
+    want = brute_clean(data, where, 120.0, 300.0, rounds or 20)
     assert found == want and any(want.values()) and not all(want.values())
 
 
+def test_cleaning_follows_a_long_chain(spark):
+    tanks = spark.createDataFrame([(i, t, 100.0 * i, 0.0) for i in range(12) for t in "AB"],
+                                  "station int, tank string, x double, y double")
+    chain = [(1, 0, 61, 0.0, 1.0), (1, 0, 63, 0.0, 1.0)] + [(1, i, 61, 10.0 * i, 1.0) for i in range(1, 10)]
+    lost = [(1, 11, 61, 0.0, 1.0), (2, 5, 61, 0.0, 1.0)]
+    got = pulses.seeded_clean(hits(spark, chain + lost), tanks, 120.0, 300.0, KEY)
+    kept = sorted(r.station for r in got.filter("kept").collect())
+    assert kept == [0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 9] and got.count() == 13
+    short = pulses.seeded_clean(hits(spark, chain), tanks, 120.0, 300.0, KEY, rounds=3)
+    assert short.filter("kept").count() == 5
+
+
+def test_unknown_tanks_are_no_tanks(spark):
+    odd = hits(spark, [(1, 4, 61, 0.0, 1.0), (1, 4, 99, 0.0, 2.0), (2, 4, 61, 0.0, 1.0), (2, 4, 63, 0.0, 1.0)])
+    assert {r.event_id: r.n_tanks for r in pulses.station_multiplicity(odd, KEY).collect()} == {1: 1, 2: 2}
+    s = {r.event_id: r for r in summary.station_summary(odd, KEY).collect()}
+    assert not s[1].hlc and s[1].n_om == 1 and s[1].q == 3.0 and s[2].hlc and s[2].n_om == 2
+
+
 def test_two_station_needs_close_neighbours(spark, grid):
     both = lambda e, s: [(e, s, 61, 0.0, 1.0), (e, s, 63, 0.0, 1.0)]
     data = both(1, 2) + both(1, 3) + both(2, 2) + both(2, 30) + [(3, 2, 61, 0.0, 1.0)] + both(3, 3)
-    spots = grid.withColumn("tank_id", F.concat_ws("|", "station", "tank"))
-    pairs = summary.neighbour_stations(geometry.neighbours(spots, "tank_id", 110.0))
-    found = summary.two_station(hits(spark, data), pairs, KEY, F.lit(True)).collect()
+    found = summary.two_station(hits(spark, data), grid, 110.0, KEY, F.lit(True)).collect()
     assert [r.event_id for r in found] == [1]
 
 
@@ -154,7 +170,7 @@ def test_gaps_match_a_global_sort(spark, rows):
     data = [(int(r), float(t)) for r, t in zip(rng.integers(0, 3, 400), rng.integers(0, 900, 400))]
     df = spark.createDataFrame(data, "run int, t double")
     got = {}
-    for r in pulses.ordered_gaps(df, ["run"], "t", 50.0).collect():
+    for r in pulses.ordered_gaps(df, ["run"], "t", 20).collect():
         got.setdefault(r.run, []).extend([r.gap] * r.n)
     for run in range(3):
         want = np.diff(np.sort([t for q, t in data if q == run]))

@@ -84,9 +84,11 @@ def test_salted_join_equals_a_plain_join(spark, rows, skewed):
     dim = pulses.station_multiplicity(skewed, KEY)
     keys = [*KEY, "station"]
     cols = [*skewed.columns, "n_tanks"]
-    for how, coarse in (("inner", None), ("left", None), ("inner", KEY), ("left", KEY)):
-        small = dim if how == "inner" else dim.filter("station % 2 = 0")
-        a = skew.salted_join(skewed, small, keys, how, coarse, rows_per_task=100).select(cols)
+    counts = dim.select(*keys, F.col("n_hits").alias("_n"))
+    for how, known in (("inner", None), ("left", None), ("inner", counts), ("left", counts)):
+        small = dim.select(*keys, "n_tanks")
+        small = small if how == "inner" else small.filter("station % 2 = 0")
+        a = skew.salted_join(skewed, small, keys, how, known, rows_per_task=100).select(cols)
         assert rows(a.na.fill(-1)) == rows(skewed.join(small, keys, how).select(cols).na.fill(-1))
 
 
@@ -109,15 +111,23 @@ def test_salted_join_spreads_the_hot_event(spark, skewed):
     assert plain >= 20000 and salted < 6000
 
 
-def test_hot_keys_and_their_parts(spark, rows, skewed):
-    assert rows(skew.hot_keys(skewed, KEY, rows_per_task=500)) == [(7, 40)]
-    assert skew.hot_keys(skewed, KEY).count() == 0
-    keys = [*KEY, "station"]
-    want = {(r.event_id, r.station) for r in skewed.groupBy(*keys).count().filter(
-        "count > 100").collect()}
-    got = skew.hot_keys(skewed, keys, KEY, 100).collect()
-    assert want and {(r.event_id, r.station) for r in got} == want
-    assert all(r._parts >= 2 for r in got)
+@pytest.mark.parametrize("name", ["hlc_slc_split", "pulse_triage"])
+def test_few_scans_of_the_hits(spark, name):
+    text = plan(entry.queries()[name](spark, FOLDER), "simple")
+    assert text.count("Scan parquet") - text.count("Scan parquet [s_") <= 4
+
+
+def test_cleaning_ignores_far_tanks(spark):
+    """Tanks that no event has hit add nothing: pairs of tanks exist only within an event."""
+    t = Tables(spark, FOLDER)
+    far = spark.range(3000).select(
+        (10_000 + F.col("id")).cast("int").alias("station"), F.lit("A").alias("tank"),
+        (F.col("id") % 50).cast("double").alias("x"), F.col("id").cast("double").alias("y"))
+    wide = t.tank.select("station", "tank", "x", "y").unionByName(far)
+    a = pulses.seeded_clean(t.pulse, t.tank, keys=KEY)
+    b = pulses.seeded_clean(t.pulse, wide, keys=KEY)
+    key = lambda df: sorted(tuple(r) for r in df.select("event_id", "hit", "kept").collect())
+    assert key(a) == key(b)
 
 
 def test_hot_event_results(spark, skewed):
@@ -133,7 +143,7 @@ def test_hot_event_results(spark, skewed):
 
 def test_gaps_split_a_hot_run(spark, skewed):
     """The window that sorts times is partitioned by time slice too, not by run alone."""
-    gaps = pulses.ordered_gaps(skewed, KEY, "time", 100.0)
+    gaps = pulses.ordered_gaps(skewed, KEY, "time", 100)
     assert re.search(r"Window \[.*lag\(time.*\], \[event_id#\d+L?, _slice", plan(gaps, "simple"))
     n = gaps.groupBy().agg(F.sum("n")).first()[0]
     assert n == 60000 - skewed.select("event_id").distinct().count()

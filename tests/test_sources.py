@@ -94,6 +94,30 @@ def test_runs_are_booked_once(spark, tmp_path, rows):
     assert counts() == {1: 3, 2: 4}
 
 
+def test_a_run_in_two_batches_keeps_all_rows(spark, tmp_path):
+    src, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    fields = schema.PULSE
+    for _ in range(2):
+        spark.createDataFrame([(7, i, 1, 61, 0.0, 1.0) for i in range(5)], fields).coalesce(1) \
+            .write.mode("append").parquet(src)
+    failed = []
+
+    def shaky(df):
+        if len(failed) < 1:
+            failed.append(True)
+            raise RuntimeError("lost")
+        return df
+
+    for transform in (shaky, lambda df: df):
+        stream = incremental.run_files(spark, src, fields, files_per_batch=1)
+        try:
+            incremental.book_new_runs(stream, out, state, transform).awaitTermination()
+        except Exception:
+            assert failed
+    booked = spark.read.parquet(out)
+    assert booked.count() == 10 and booked.select("batch").distinct().count() == 2
+
+
 def test_windowed_histogram_drops_only_open_windows(spark, tmp_path):
     src, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
     rows = [("2024-01-01 01:00:00", 0.5), ("2024-01-01 05:00:00", 1.5), ("2024-01-02 01:00:00", 0.5),
