@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -14,6 +15,22 @@ from muonloom.operators.hist import fill_bins, hist1d, hist2d
 from muonloom.sources.constants import PDG, RESAMPLE_RADIUS
 
 
+@dataclass(frozen=True)
+class ZenithWindow:
+    """Cosine window of an analysis: what selects the events also gives the solid angle."""
+
+    cos_lo: float = 0.8
+    cos_hi: float = 1.0
+
+    def holds(self, zenith: Column | str) -> Column:
+        return F.cos(zenith).between(self.cos_lo, self.cos_hi)
+
+    @property
+    def solid_angle(self) -> float:
+        """Projected solid angle of a flat detector."""
+        return math.pi * (self.cos_hi * self.cos_hi - self.cos_lo * self.cos_lo)
+
+
 def resample_radius(lo: Column) -> Column:
     """Radius in metres of the simulated disc by the decade of the lower bin edge."""
     out = F.when(F.lit(False), F.lit(0.0))
@@ -81,16 +98,14 @@ def composition_weights(events: DataFrame, generated: DataFrame, edges: Sequence
 
 
 def n_generated(generated: DataFrame, edges: Sequence[float], weight: Column,
-                cos_lo: float = 0.9, cos_hi: float = 1.0, by: Sequence[str] = (),
+                window: ZenithWindow = ZenithWindow(), by: Sequence[str] = (),
                 energy: str = "energy", zenith: str = "zenith",
                 legacy_error: bool = False) -> DataFrame:
     """Weighted and raw generated counts per bin inside a zenith window, all particles at once.
 
     ``legacy_error`` returns the sum of squared weights in place of its root.
     """
-    c = F.cos(F.col(zenith))
-    window = generated.filter((c >= cos_lo) & (c <= cos_hi))
-    h = hist1d(window, F.log10(F.col(energy)), edges, weight, by)
+    h = hist1d(generated.filter(window.holds(zenith)), F.log10(F.col(energy)), edges, weight, by)
     err = F.col("err") * F.col("err") if legacy_error else F.col("err")
     return h.withColumn("err", F.when(F.isnan(err) | (F.abs(err) == float("inf")), F.lit(0.0))
                         .otherwise(err))
@@ -114,25 +129,25 @@ def effective_area(eff: DataFrame) -> DataFrame:
 
 
 def flux_from_counts(counts: Column, lo: Column, hi: Column, aeff: Column,
-                     cos1: float = 1.0, cos2: float = 0.9, duration=1.0) -> Column:
-    """counts / (dlnE * Aeff * pi (cos1^2 - cos2^2) * T); NULL without area."""
-    solid = math.pi * (cos1 * cos1 - cos2 * cos2)
-    return F.try_divide(counts, dlne(lo, hi) * aeff * solid * duration)
+                     window: ZenithWindow, duration=1.0) -> Column:
+    """counts / (dlnE * Aeff * solid angle * T); NULL without area.  Counts were selected by ``window``."""
+    return F.try_divide(counts, dlne(lo, hi) * aeff * window.solid_angle * duration)
 
 
-def flux_error(counts, err, aeff, aeff_err, lo, hi, cos1: float = 1.0, cos2: float = 0.9) -> Column:
-    """Error of counts / Aeff, scaled to a flux."""
-    solid = math.pi * (cos1 * cos1 - cos2 * cos2)
-    return ratio_error(counts, aeff, err, aeff_err) / (dlne(lo, hi) * solid)
+def flux_error(counts, err, aeff, aeff_err, lo, hi, window: ZenithWindow, duration=1.0) -> Column:
+    """Error of counts / Aeff in the unit of the flux."""
+    return ratio_error(counts, aeff, err, aeff_err) / (dlne(lo, hi) * window.solid_angle * duration)
 
 
 def response_matrix(df: DataFrame, reco: Column, true: Column, weight: Column,
                     edges: Sequence[float], efficiencies: DataFrame | None = None,
-                    by: Sequence[str] = ()) -> DataFrame:
+                    by: Sequence[str] = (), legacy_error: bool = False) -> DataFrame:
     """P(reconstructed bin = effect | true bin = cause), columns summing to the efficiency.
 
     Without ``efficiencies`` (by..., bin, eff) the efficiency of a cause is the
-    share of its weight that was reconstructed inside the range.
+    share of its weight that was reconstructed inside the range.  ``p_err`` is
+    the standard error; ``legacy_error`` gives the scaled sum of squared weights,
+    as older tables had it.
     """
     cells = hist2d(df, reco, true, edges, edges, weight, by).select(
         *by, F.col("bin_x").alias("effect"), F.col("bin_y").alias("cause"), "sum_w", "sum_w2")
@@ -148,10 +163,11 @@ def response_matrix(df: DataFrame, reco: Column, true: Column, weight: Column,
         cells = cells.join(
             efficiencies.select(*by, F.col("bin").alias("cause"), "eff"), [*by, "cause"])
     norm = ratio(F.col("eff"), F.col("column_sum"))
+    err = F.col("sum_w2") if legacy_error else F.sqrt("sum_w2")
     return cells.select(
         *by, "cause", "effect",
         F.coalesce(F.col("sum_w") * norm, F.lit(0.0)).alias("p"),
-        F.coalesce(F.col("sum_w2") * norm, F.lit(0.0)).alias("p_err"), "eff")
+        F.coalesce(err * norm, F.lit(0.0)).alias("p_err"), "eff")
 
 
 def mean_true_energy(df: DataFrame, log_energy: Column, weight: Column,

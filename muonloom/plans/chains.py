@@ -9,6 +9,7 @@ from muonloom.operators import geometry, hist, pulses, spectrum, summary, system
 from muonloom.plans.hits import CLEAN_SQL
 from muonloom.plans.registry import R, g, query, r
 from muonloom.plans.uncertainty import season_spectra
+from muonloom.plans.spectra import WINDOW
 from muonloom.plans.views import KEY
 from muonloom.session import cut_lineage
 
@@ -84,7 +85,7 @@ def measured_spectrum(mc: DataFrame, data: DataFrame, runs: DataFrame, seasons:
     livetime = summary.exposure(runs).select("duration").scalar()
     lo, hi = edges.edge_at(edges_, F.col("bin")), edges.edge_at(edges_, F.col("bin") + 1)
     scaled = lambda c: spectrum.flux_from_counts(
-        F.col(c), lo, hi, spectrum.generation_area(lo), duration=livetime)
+        F.col(c), lo, hi, spectrum.generation_area(lo), WINDOW, livetime)
     flux = unfolded.select(
         "variant", "bin", edges.centre(lo, hi).alias("log_energy"),
         scaled("unfolded").alias("flux"), scaled("stat_err").alias("stat"),
@@ -96,7 +97,7 @@ def measured_spectrum(mc: DataFrame, data: DataFrame, runs: DataFrame, seasons:
 
 @query("measured_spectrum")
 def spectrum_query(t):
-    events = t.evt.withColumn("variant", F.col("pdg").cast("string"))
+    events = t.evt.filter(WINDOW.holds("zen_p")).withColumn("variant", F.col("pdg").cast("string"))
     out = measured_spectrum(events.filter("sample = 'mc'"), events.filter("sample = 'data'"),
                             t.run_dim, season_spectra(t))
     return out.select("variant", "bin", "log_energy",

@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from muonloom.functions import edges
+from muonloom.functions import cuts, edges
 from muonloom.functions.guards import ratio_or_zero
 from muonloom.functions.shapes import flux as model_flux
 from muonloom.operators import fits, hist, spectrum, summary, unfold
@@ -19,13 +19,22 @@ B = edges_sql(LOGE)
 N_BINS = len(LOGE) - 1
 LN10 = num(math.log(10.0))
 AREA = """(pi() * pow(CASE WHEN lo < 5 THEN 200 WHEN lo < 6 THEN 400 WHEN lo < 7 THEN 600 ELSE 800 END, 2))"""
-SOLID = "(pi() * (1 - 0.9e0 * 0.9e0))"
-CUT = "filt AND qsum2 <= 0.9e0 * qtotal AND cos(zen_p) BETWEEN 0.8e0 AND 1"
+WINDOW = spectrum.ZenithWindow(0.8, 1.0)
+SOLID = f"(pi() * ({num(WINDOW.cos_hi)} * {num(WINDOW.cos_hi)} - {num(WINDOW.cos_lo)} * {num(WINDOW.cos_lo)}))"
+SEEN = f"filt AND cos(zen_p) BETWEEN {num(WINDOW.cos_lo)} AND {num(WINDOW.cos_hi)}"
+#: All quality cuts; the charge of the benchmark events stands for the coincident charge.
+CUT = f"""{SEEN} AND nsta <= 42 AND qtotal BETWEEN {num(10.0 ** -0.2)} AND {num(10.0 ** 3.8)}
+    AND qmax <= 0.75e0 * qtotal AND qsum2 <= 0.9e0 * qtotal"""
+
+
+def seen(t):
+    """Triggered events reconstructed inside the zenith window."""
+    return t.evt.filter(F.col("filt") & WINDOW.holds("zen_p"))
 
 
 def selected(t):
-    ok = F.col("filt") & (F.col("qsum2") <= 0.9 * F.col("qtotal")) & F.cos("zen_p").between(0.8, 1)
-    return t.booked.filter(ok)
+    events = t.booked.withColumn("qtotalhlc", F.col("qtotal"))
+    return events.filter(F.col("filt") & cuts.quality(WINDOW.cos_lo, WINDOW.cos_hi, "zen_p"))
 
 
 _GEN_SQL = f"""
@@ -35,14 +44,14 @@ _GEN_SQL = f"""
 
 
 def _generated(t):
-    return spectrum.n_generated(t.evt, LOGE, F.col("w"), cos_lo=0.8)
+    return spectrum.n_generated(t.evt, LOGE, F.col("w"), WINDOW)
 
 
 @query("n_generated", f"""
     SELECT bin, {G('sw')} AS sum_w, {G('sqrt(sw2)')} AS err, n, {G('sw2')} AS legacy_err FROM ({_GEN_SQL})
     """, "evt")
 def n_generated(t):
-    legacy = spectrum.n_generated(t.evt, LOGE, F.col("w"), cos_lo=0.8, legacy_error=True).select(
+    legacy = spectrum.n_generated(t.evt, LOGE, F.col("w"), WINDOW, legacy_error=True).select(
         "bin", g("err").alias("legacy_err"))
     return _generated(t).select("bin", g("sum_w").alias("sum_w"), g("err").alias("err"), "n").join(
         legacy, "bin")
@@ -82,20 +91,20 @@ def effective_area(t):
          c AS (SELECT bin, COUNT(*) AS n FROM booked JOIN {B} b ON {in_bin('loge_p')}
                WHERE {CUT} GROUP BY bin)
     SELECT bin, n, CASE WHEN aeff > 0 THEN {G(f'n / ((hi - lo) * {LN10} * aeff * {SOLID} * (SELECT SUM(duration) FROM run_dim))')} END AS flux,
-           CASE WHEN aeff > 0 THEN {G(f'sqrt(pow(sqrt(n) / aeff, 2) + pow(n * aeff_err / (aeff * aeff), 2)) / ((hi - lo) * {LN10} * {SOLID})')} END AS err
+           CASE WHEN aeff > 0 THEN {G(f'sqrt(pow(sqrt(n) / aeff, 2) + pow(n * aeff_err / (aeff * aeff), 2)) / ((hi - lo) * {LN10} * {SOLID} * (SELECT SUM(duration) FROM run_dim))')} END AS err
     FROM c JOIN a USING (bin)""", "evt booked run_dim")
 def cr_flux(t):
     counts = hist.hist1d(selected(t), F.col("loge_p"), LOGE, fill=False).select("bin", "n")
     j = counts.join(spectrum.effective_area(efficiencies(t)), "bin")
     duration = summary.exposure(t.run_dim).select("duration").scalar()
     n, lo, hi = F.col("n"), F.col("lo"), F.col("hi")
-    flux = spectrum.flux_from_counts(n, lo, hi, F.col("aeff"), duration=duration)
-    err = spectrum.flux_error(n, F.sqrt(n), F.col("aeff"), F.col("aeff_err"), lo, hi)
+    flux = spectrum.flux_from_counts(n, lo, hi, F.col("aeff"), WINDOW, duration)
+    err = spectrum.flux_error(n, F.sqrt(n), F.col("aeff"), F.col("aeff_err"), lo, hi, WINDOW, duration)
     return j.select("bin", "n", g(flux).alias("flux"), g(err).alias("err"))
 
 
 _RESPONSE_SQL = f"""
-    SELECT variant, cause, effect, sw / tw AS p, sw2 / tw AS p_err,
+    SELECT variant, cause, effect, sw / tw AS p, sqrt(sw2) / tw AS p_err,
            SUM(sw) OVER (PARTITION BY variant, cause) / tw AS eff
     FROM (SELECT CAST(pdg AS VARCHAR) AS variant, c.bin AS cause, b.bin AS effect, SUM(w) AS sw,
                  SUM(w * w) AS sw2
@@ -251,17 +260,16 @@ def _hawc_rows() -> str:
 @query("spectrum_compare", f"""
     WITH f AS (SELECT bin, (lo + hi) * 0.5e0 AS x,
                       COUNT(*) / ((hi - lo) * {LN10} * {AREA} * {SOLID} * (SELECT SUM(duration) FROM run_dim)) AS flux
-               FROM evt JOIN {B} b ON {in_bin('loge_p')} WHERE filt GROUP BY bin, lo, hi),
+               FROM evt JOIN {B} b ON {in_bin('loge_p')} WHERE {SEEN} GROUP BY bin, lo, hi),
     {_HAWC_SQL.format(rows=_hawc_rows())}
     SELECT bin, {G('flux')} AS flux, {G('pow(1e1, y0 + (y1 - y0) / (x1 - x0) * (x - x0))', 8)} AS other,
            {G('100 * (flux / pow(1e1, y0 + (y1 - y0) / (x1 - x0) * (x - x0)) - 1)', 8)} AS difference
     FROM f JOIN tab ON x >= x0 AND x < x1""", "evt run_dim")
 def spectrum_compare(t):
-    h = hist.hist1d(t.evt.filter("filt"), F.col("loge_p"), LOGE, fill=False)
+    h = hist.hist1d(seen(t), F.col("loge_p"), LOGE, fill=False)
     duration = summary.exposure(t.run_dim).select("duration").scalar()
     lo, hi = F.col("lo"), F.col("hi")
-    flux = spectrum.flux_from_counts(F.col("n"), lo, hi, spectrum.generation_area(lo),
-                                     duration=duration)
+    flux = spectrum.flux_from_counts(F.col("n"), lo, hi, spectrum.generation_area(lo), WINDOW, duration)
     ours = h.select("bin", edges.centre(lo, hi).alias("log_energy"), flux.alias("flux"))
     other = outside_spectra(t.spark).filter("name = 'hawc'").select("log_energy", "flux")
     j = spectrum.log_log_interpolate(ours, other, out="other")
@@ -276,7 +284,7 @@ def sigmoid_aeff(t):
 
 def area_bins(t):
     """(variant, bin, log_energy, aeff, aeff_err) of the effective area per particle."""
-    gen = spectrum.n_generated(t.evt, LOGE, F.col("w"), cos_lo=0.8, by=["pdg"])
+    gen = spectrum.n_generated(t.evt, LOGE, F.col("w"), WINDOW, by=["pdg"])
     sel = hist.hist1d(selected(t), F.col("loge"), LOGE, F.col("w"), by=["pdg"], fill=False)
     a = spectrum.effective_area(spectrum.efficiency(sel, gen, ["pdg", "bin"]))
     return a.select(F.col("pdg").cast("string").alias("variant"), "bin",

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from muonloom.functions import edges
 from muonloom.functions.shapes import flux as model_flux
 from muonloom.operators import hist, spectrum, summary, systematics
 from muonloom.plans.booking import WEIGHT_SQL, FINE, flux_sql
-from muonloom.plans.registry import G, R, edges_sql, g, in_bin, query, r
-from muonloom.plans.spectra import AREA, B, CUT, LN10, LOGE, SOLID, area_bins
+from muonloom.plans.registry import G, ORACLES, R, edges_sql, g, in_bin, query, r
+from muonloom.plans.spectra import AREA, B, CUT, LN10, LOGE, SEEN, SOLID, WINDOW, area_bins, seen
 
 _SEASON = "'s' || CAST(run % 3 AS VARCHAR)"
 
@@ -17,12 +19,12 @@ _SEASON = "'s' || CAST(run % 3 AS VARCHAR)"
 def season_spectra(t):
     """(season, bin, flux, stat) of three run seasons."""
     name = F.concat(F.lit("s"), (F.col("run") % 3).cast("string"))
-    h = hist.hist1d(t.evt.filter("filt").withColumn("season", name), F.col("loge_p"), LOGE,
+    h = hist.hist1d(seen(t).withColumn("season", name), F.col("loge_p"), LOGE,
                     by=["season"], fill=False)
     live = summary.exposure(t.run_dim.withColumn("season", name), ["season"])
     lo, hi = F.col("lo"), F.col("hi")
     area = spectrum.generation_area(lo)
-    scaled = lambda c: spectrum.flux_from_counts(c, lo, hi, area, duration=F.col("duration"))
+    scaled = lambda c: spectrum.flux_from_counts(c, lo, hi, area, WINDOW, F.col("duration"))
     return h.join(live, "season").select(
         "season", "bin", scaled(F.col("n")).alias("flux"), scaled(F.sqrt("n")).alias("stat"))
 
@@ -30,7 +32,7 @@ def season_spectra(t):
 _SEASON_SQL = f"""
     spec AS (SELECT season, bin, COUNT(*) / ((hi - lo) * {LN10} * {AREA} * {SOLID} * MAX(d.duration)) AS flux,
                     sqrt(COUNT(*)) / ((hi - lo) * {LN10} * {AREA} * {SOLID} * MAX(d.duration)) AS stat
-             FROM (SELECT *, {_SEASON} AS season FROM evt WHERE filt) e JOIN {B} b ON {in_bin('loge_p')}
+             FROM (SELECT *, {_SEASON} AS season FROM evt WHERE {SEEN}) e JOIN {B} b ON {in_bin('loge_p')}
              JOIN (SELECT {_SEASON} AS season, SUM(duration) AS duration FROM run_dim GROUP BY ALL) d
                USING (season)
              GROUP BY season, bin, lo, hi),
@@ -98,7 +100,7 @@ _FB = edges_sql(FINE)
     WITH w AS ({WEIGHT_SQL}), b AS {_FB},
          s AS (""" + " UNION ALL ".join(f"""
              SELECT '{m}' AS variant, bin, SUM({flux_sql(m, 'energy')} * norm) AS sw
-             FROM (SELECT w.* FROM w JOIN evt USING (event_id) WHERE evt.filt) GROUP BY bin"""
+             FROM (SELECT w.* FROM w JOIN evt USING (event_id) WHERE {SEEN.replace('filt', 'evt.filt').replace('zen_p', 'evt.zen_p')}) GROUP BY bin"""
                                          for m in _MODELS) + f"""),
          d AS (SELECT variant, bin, sw / ((hi - lo) * {LN10} * {AREA} * {SOLID}) AS f,
                       CASE variant """ + " ".join(
@@ -109,7 +111,7 @@ _FB = edges_sql(FINE)
     SELECT bin, {R('-least(MIN(shift), 0)', 8)} AS sys_low, {R('greatest(MAX(shift), 0)', 8)} AS sys_high
     FROM x GROUP BY bin""", "evt")
 def sys_composition(t):
-    w = spectrum.composition_weights(t.evt, t.evt, FINE, _MODELS).filter("filt")
+    w = spectrum.composition_weights(t.evt, t.evt, FINE, _MODELS).filter(F.col("filt") & WINDOW.holds("zen_p"))
     sums = w.groupBy("bin").agg(*[F.sum(f"weight_all_{m}").alias(m) for m in _MODELS])
     long = sums.select("bin", F.inline(F.array(*[
         F.struct(F.lit(m).alias("variant"), F.col(m).alias("sw")) for m in _MODELS])))
@@ -120,7 +122,7 @@ def sys_composition(t):
         model = model.when(F.col("variant") == m, model_flux(m, middle))
     area = spectrum.generation_area(lo)
     fluxes = long.select("variant", "bin",
-                         spectrum.flux_from_counts(F.col("sw"), lo, hi, area).alias("flux"),
+                         spectrum.flux_from_counts(F.col("sw"), lo, hi, area, WINDOW).alias("flux"),
                          model.alias("model"))
     e = systematics.envelope(systematics.composition_shift(fluxes, "h4a"), "shift")
     return e.select("bin", r("sys_low", 8).alias("sys_low"), r("sys_high", 8).alias("sys_high"))
@@ -159,38 +161,41 @@ def sys_aeff(t):
                     r("sys_high", 8).alias("sys_high"))
 
 
-# shares of run groups stand in for four relative uncertainties per bin
-_SOURCES = ("composition", "area", "pressure", "temperature")
-_SOURCE_SQL = f"""
-    src AS (SELECT bin, CASE run % 4 {' '.join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(_SOURCES))} END AS source,
-                   COUNT(*) / MAX(total) AS share
-            FROM (SELECT bin, run, COUNT(*) OVER (PARTITION BY bin) AS total FROM evt JOIN {B} b
-                  ON {in_bin('loge_p')}) GROUP BY ALL),
-    signed AS (SELECT bin, source, CASE WHEN source = 'temperature' THEN -0.05e0 ELSE 0.05e0 END * share AS sys_low,
-                      0.1e0 * share AS sys_high FROM src),
+def _as_sources() -> str:
+    """Sources per bin from the queries above: finer bins and particles by their largest value."""
+    return f"""
+    src AS (SELECT bin // 2 AS bin, 'composition' AS source, MAX(sys_low) AS sys_low, MAX(sys_high) AS sys_high
+            FROM ({ORACLES['sys_composition']}) GROUP BY bin // 2
+            UNION ALL SELECT bin, 'area', MAX(sys_low), MAX(sys_high) FROM ({ORACLES['sys_aeff']}) GROUP BY bin
+            UNION ALL SELECT bin, 'pressure', flux_shift, coalesce(sys, 0) FROM ({ORACLES['sys_pressure']})
+            UNION ALL SELECT bin, 'temperature', sys_low, sys_high FROM ({ORACLES['sys_temperature']})),
     merged AS (SELECT bin, CASE WHEN source IN ('pressure', 'temperature') THEN 'pt' ELSE source END AS s,
                       SUM(CASE WHEN source = 'temperature' THEN -sys_low ELSE sys_low END) AS sys_low,
-                      SUM(sys_high) AS sys_high FROM signed GROUP BY ALL),
+                      SUM(sys_high) AS sys_high FROM src GROUP BY ALL),
     tot AS (SELECT bin, sqrt(SUM(sys_low * sys_low)) AS sys_low, sqrt(SUM(sys_high * sys_high)) AS sys_high
             FROM merged GROUP BY bin)"""
 
 
+_SOURCE_SQL = _as_sources()
+
+
 def _total(t):
-    name = F.element_at(F.array(*[F.lit(s) for s in _SOURCES]), F.col("run") % 4 + 1)
-    h = hist.hist1d(t.evt.withColumn("source", name), F.col("loge_p"), LOGE, by=["source"],
-                    fill=False)
-    whole = h.groupBy("bin").agg(F.sum("n").alias("total"))
-    share = F.col("n") / F.col("total")
-    rows = h.join(whole, "bin").select(
-        "bin", "source",
-        (F.when(F.col("source") == "temperature", -0.05).otherwise(0.05) * share).alias("sys_low"),
-        (0.1 * share).alias("sys_high"))
-    return systematics.total(rows)
+    """Quadrature total of composition, area, pressure and temperature per bin."""
+    most = [F.max("sys_low").alias("sys_low"), F.max("sys_high").alias("sys_high")]
+    parts = {
+        "composition": sys_composition(t).groupBy(F.floor(F.col("bin") / 2).cast("int").alias("bin")).agg(*most),
+        "area": sys_aeff(t).groupBy("bin").agg(*most),
+        "pressure": sys_pressure(t).select("bin", F.col("flux_shift").alias("sys_low"),
+                                           F.coalesce("sys", F.lit(0.0)).alias("sys_high")),
+        "temperature": sys_temperature(t).select("bin", "sys_low", "sys_high"),
+    }
+    rows = [df.select("bin", F.lit(name).alias("source"), "sys_low", "sys_high") for name, df in parts.items()]
+    return systematics.total(functools.reduce(lambda a, b: a.unionByName(b), rows))
 
 
 @query("sys_quadrature", f"""
     WITH {_SOURCE_SQL} SELECT bin, {R('sys_low', 9)} AS sys_low, {R('sys_high', 9)} AS sys_high FROM tot
-    """, "evt")
+    """, "evt run_dim booked")
 def sys_quadrature(t):
     return _total(t).select("bin", r("sys_low", 9).alias("sys_low"),
                             r("sys_high", 9).alias("sys_high"))
@@ -200,7 +205,7 @@ _FLUX_SQL = f"""
     fx AS (SELECT bin, (lo + hi) * 0.5e0 AS x,
                   COUNT(*) / ((hi - lo) * {LN10} * {AREA} * {SOLID} * (SELECT SUM(duration) FROM run_dim)) AS flux,
                   sqrt(COUNT(*)) / ((hi - lo) * {LN10} * {AREA} * {SOLID} * (SELECT SUM(duration) FROM run_dim)) AS stat
-           FROM evt JOIN {B} b ON {in_bin('loge_p')} WHERE filt GROUP BY bin, lo, hi)"""
+           FROM evt JOIN {B} b ON {in_bin('loge_p')} WHERE {SEEN} GROUP BY bin, lo, hi)"""
 
 
 def _flux(t, events):
@@ -208,21 +213,21 @@ def _flux(t, events):
     duration = summary.exposure(t.run_dim).select("duration").scalar()
     lo, hi = F.col("lo"), F.col("hi")
     area = spectrum.generation_area(lo)
-    scaled = lambda c: spectrum.flux_from_counts(c, lo, hi, area, duration=duration)
+    scaled = lambda c: spectrum.flux_from_counts(c, lo, hi, area, WINDOW, duration)
     return h.select("bin", edges.centre(lo, hi).alias("log_energy"),
                     scaled(F.col("n")).alias("flux"), scaled(F.sqrt("n")).alias("stat"))
 
 
 @query("final_spectrum", f"""
     WITH {_FLUX_SQL}, {_SOURCE_SQL},
-         k AS (SELECT *, pow(pow(1e1, x), 1.65e0) AS k FROM fx JOIN tot USING (bin)
+         k AS (SELECT *, pow(pow(1e1, x), 1.65e0) AS k FROM fx JOIN (SELECT bin, sys_low, sys_high FROM tot) USING (bin)
                WHERE x BETWEEN 5.4e0 AND 7.0e0)
     SELECT bin, {R('x')} AS log_energy, {G('k * flux')} AS flux, {G('k * stat')} AS stat,
            {G('k * flux * sqrt(pow(0.03e0, 2) + sys_low * sys_low)')} AS sys_low,
            {G('k * flux * sqrt(pow(0.03e0, 2) + sys_high * sys_high)')} AS sys_high FROM k""",
-       "evt run_dim")
+       "evt run_dim booked")
 def final_spectrum(t):
-    flux = _flux(t, t.evt.filter("filt")).withColumn("unfold_sys", 0.03 * F.col("flux"))
+    flux = _flux(t, seen(t)).withColumn("unfold_sys", 0.03 * F.col("flux"))
     s = systematics.final_spectrum(flux, _total(t))
     return s.select("bin", r("log_energy").alias("log_energy"),
                     *[g(c).alias(c) for c in ("flux", "stat", "sys_low", "sys_high")])
@@ -231,7 +236,7 @@ def final_spectrum(t):
 @query("model_ratio", f"""
     WITH n AS (SELECT bin, COUNT(*) FILTER (WHERE pdg = 2212) AS a,
                       COUNT(*) FILTER (WHERE pdg = 1000260560) AS c
-               FROM evt JOIN {B} b ON {in_bin('loge_p')} WHERE filt GROUP BY bin)
+               FROM evt JOIN {B} b ON {in_bin('loge_p')} WHERE {SEEN} GROUP BY bin)
     SELECT bin, {R('a / c', 8)} AS ratio,
            {R('sqrt(pow(0.05e0 * a / c, 2) + pow(a * 0.05e0 / c, 2))', 8)} AS err_low,
            {R('sqrt(a / (c * c) + a * a * c / (c * c * c * c))', 8)} AS err_high
@@ -239,7 +244,7 @@ def final_spectrum(t):
        "evt")
 def model_ratio(t):
     def one(pdg):
-        s = _flux(t, t.evt.filter(F.col("filt") & (F.col("pdg") == pdg)))
+        s = _flux(t, seen(t).filter(F.col("pdg") == pdg))
         return s.withColumns({"sys_low": 0.05 * F.col("flux"), "sys_high": F.col("stat")})
 
     m = systematics.spectrum_ratio(one(2212), one(1000260560))

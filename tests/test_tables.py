@@ -217,3 +217,28 @@ def test_log_log_interpolation(spark):
     got = {r.log_energy: r.flux_at for r in spectrum.log_log_interpolate(at, tab).collect()}
     assert set(got) == {4.0, 4.29, 5.5}
     assert all(v == pytest.approx(10 ** (-2.7 * x)) for x, v in got.items())
+
+
+def test_flux_and_its_error_by_hand(spark):
+    """100 events, area 1000 m2, cosine 0.8..1, 50 s, one bin of width 0.2."""
+    from muonloom.operators.spectrum import ZenithWindow, flux_error, flux_from_counts
+
+    window = ZenithWindow(0.8, 1.0)
+    assert window.solid_angle == pytest.approx(math.pi * 0.36)
+    n, lo, hi = F.lit(100.0), F.lit(5.0), F.lit(5.2)
+    row = spark.range(1).select(
+        flux_from_counts(n, lo, hi, F.lit(1000.0), window, 50.0).alias("f"),
+        flux_error(n, F.lit(10.0), F.lit(1000.0), F.lit(30.0), lo, hi, window, 50.0).alias("e")).first()
+    flux = 100 / (0.2 * math.log(10) * 1000 * math.pi * 0.36 * 50)
+    assert row.f == pytest.approx(flux)
+    assert row.e == pytest.approx(flux * math.sqrt(0.1 ** 2 + 0.03 ** 2))
+
+
+def test_response_errors_are_standard_errors(spark):
+    from muonloom.operators.spectrum import response_matrix
+
+    df = spark.createDataFrame([(4.1, 4.1, 2.0), (4.1, 4.1, 4.0), (4.3, 4.1, 4.0)], "r double, t double, w double")
+    cells = lambda **k: {(c.cause, c.effect): (c.p, c.p_err) for c in response_matrix(
+        df, F.col("r"), F.col("t"), F.col("w"), [4.0, 4.2, 4.4], **k).filter("p > 0").collect()}
+    assert np.allclose([cells()[0, 0], cells()[0, 1]], [[0.6, math.sqrt(20) / 10], [0.4, 0.4]])
+    assert np.allclose(cells(legacy_error=True)[0, 1], [0.4, 1.6])
