@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from muonloom.functions.features import log_array
 from muonloom.functions.guards import log10_feature, ratio
 from muonloom.operators.hist import metrics
-from muonloom.operators.ranking import permute, shuffle_bucket, shuffle_key
+from muonloom.operators.ranking import permute, shuffle_key
 from muonloom.schema import N_SLOTS
 from muonloom.session import cut_lineage
 
@@ -96,12 +96,6 @@ def feature_block(df: DataFrame, layout: Layout, label: Column, keys: Sequence[s
     return df.select(*cols, layout.vector().alias("features"))
 
 
-def assemble(df: DataFrame, columns: Sequence[str], out: str = "features") -> DataFrame:
-    """Scalar columns (or vectors) to one feature vector."""
-    return VectorAssembler(inputCols=list(columns), outputCol=out,
-                           handleInvalid="keep").transform(df)
-
-
 @dataclass(frozen=True)
 class ForestSettings:
     trees: int = 1000
@@ -258,7 +252,7 @@ def permutation_importance(model: PipelineModel, held_out: DataFrame, keys: Sequ
     """
     base = held_out.select(*keys, "label", vector_to_array("features").alias("x"))
     a, b = shuffle_key(keys, seed), shuffle_key(keys, seed + 1)
-    pairs = permute(base, ["x"], [a, *keys], shuffle_bucket(a), [b, *keys], shuffle_bucket(b))
+    pairs = permute(base, ["x"], [a, *keys], [b, *keys])
     j = F.col("position")
     swapped = F.when(j < 0, F.col("x")).otherwise(
         F.transform("x", lambda v, i: F.when(i == j, F.get(F.col("x_perm"), i)).otherwise(v)))

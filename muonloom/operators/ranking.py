@@ -6,16 +6,17 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-N_BUCKETS = 256
+from muonloom.session import cut_lineage
 
+ROWS_PER_BUCKET = 1_000_000
 
-def quantile_bucket(df: DataFrame, col: str, buckets: int = N_BUCKETS) -> Column:
+
+def quantile_bucket(df: DataFrame, col: str, buckets: int) -> Column:
     """Bucket number that grows with ``col`` and holds about the same number of rows each.
 
     The boundaries are approximate quantiles (``buckets`` numbers on the
-    driver, a fixed amount).  Any boundaries give exact ranks; good ones give
-    balanced tasks.  Meant for keys that are (nearly) unique; more buckets give
-    smaller tasks on larger tables.
+    driver), found by a job over the key column alone.  Meant for keys that are
+    (nearly) unique; the caller takes as many buckets as its rows ask for.
     """
     bounds = df.approxQuantile(col, [i / buckets for i in range(1, buckets)], 0.25 / buckets)
     bounds = sorted(set(bounds))
@@ -29,17 +30,20 @@ def quantile_bucket(df: DataFrame, col: str, buckets: int = N_BUCKETS) -> Column
     return pick(0, len(bounds))
 
 
-def with_rank(df: DataFrame, order: Sequence[Column], bucket: Column,
-              rank: str = "rank", total: str = "total") -> DataFrame:
+def with_rank(df: DataFrame, order: Sequence[Column], rank: str = "rank", total: str = "total",
+              rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Add the 1-based global rank and the row count.
 
-    ``bucket`` must not decrease along ``order``.  Ranks are counted inside
-    buckets in parallel and shifted by the number of rows in earlier buckets;
-    the only single-task step handles one row per bucket.
+    Rows are range-partitioned on the whole order, ties broken by its later
+    columns, into as many buckets as their number asks for, and written with
+    their bucket.  Ranks are counted inside buckets in parallel and shifted by
+    the rows of earlier buckets; the only single-task step handles one row per
+    bucket.
     """
-    tagged = df.withColumn("_bucket", bucket)
+    buckets = max(1, -(-df.count() // rows_per_bucket))
+    tagged = cut_lineage(df.repartitionByRange(buckets, *order)
+                         .withColumn("_bucket", F.spark_partition_id()))
     sizes = tagged.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    # one row per bucket: a few hundred rows whatever the size of df
     running = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.orderBy("_bucket").rowsBetween(
         Window.unboundedPreceding, Window.unboundedFollowing)
@@ -51,7 +55,7 @@ def with_rank(df: DataFrame, order: Sequence[Column], bucket: Column,
     inside = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
     return (
         tagged.withColumn("_inside", inside)
-        .join(F.broadcast(offsets), "_bucket")
+        .join(offsets, "_bucket")
         .withColumn(rank, (F.col("_inside") + F.col("_before")).cast("long"))
         .drop("_bucket", "_inside", "_before")
     )
@@ -62,15 +66,10 @@ def shuffle_key(keys: Sequence[str], seed: int) -> Column:
     return F.xxhash64(*[F.col(k) for k in keys], F.lit(seed))
 
 
-def shuffle_bucket(key: Column, buckets: int = N_BUCKETS) -> Column:
-    """Bucket of a 64-bit hash that keeps the order of its signed value."""
-    return F.shiftright(key, 64 - (buckets - 1).bit_length())
-
-
 def contiguous_folds(df: DataFrame, key: str, k: int = 3, fold: str = "fold",
-                     buckets: int = N_BUCKETS) -> DataFrame:
+                     rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """k contiguous folds in key order, 0-based; the first n mod k folds get one row more."""
-    ranked = with_rank(df, [F.col(key)], quantile_bucket(df, key, buckets), "_r", "_t")
+    ranked = with_rank(df, [F.col(key)], "_r", "_t", rows_per_bucket)
     size = F.floor(F.col("_t") / k)
     extra = F.col("_t") % k
     edge = extra * (size + 1)
@@ -86,24 +85,20 @@ def hashed_folds(df: DataFrame, keys: Sequence[str], k: int = 3, seed: int = 1,
     return df.withColumn(fold, F.pmod(shuffle_key(keys, seed), F.lit(k)).cast("int"))
 
 
-def split_half(df: DataFrame, order: Sequence[Column], bucket: Column,
-               half: str = "half") -> DataFrame:
+def split_half(df: DataFrame, order: Sequence[Column], half: str = "half",
+               rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Exact halves in a shuffled order: floor(n/2) rows in half 1, the rest in half 2."""
-    ranked = with_rank(df, order, bucket, "_r", "_t")
+    ranked = with_rank(df, order, "_r", "_t", rows_per_bucket)
     return ranked.withColumn(
         half, F.when(F.col("_r") <= F.floor(F.col("_t") / 2), F.lit(1)).otherwise(F.lit(2))
     ).drop("_r", "_t")
 
 
-def permute(df: DataFrame, columns: Sequence[str], order_a: Sequence[Column], bucket_a: Column,
-            order_b: Sequence[Column], bucket_b: Column, suffix: str = "_perm") -> DataFrame:
+def permute(df: DataFrame, columns: Sequence[str], order_a: Sequence[Column],
+            order_b: Sequence[Column], suffix: str = "_perm",
+            rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Give every row the ``columns`` of another row: rank in order a meets rank in order b."""
-    left = with_rank(df, order_a, bucket_a, "_r", "_t").drop("_t")
-    right = with_rank(df, order_b, bucket_b, "_r", "_t").select(
+    left = with_rank(df, order_a, "_r", "_t", rows_per_bucket).drop("_t")
+    right = with_rank(df, order_b, "_r", "_t", rows_per_bucket).select(
         "_r", *[F.col(c).alias(c + suffix) for c in columns])
     return left.join(right, "_r").drop("_r")
-
-
-def random_order(df: DataFrame, seed: int) -> DataFrame:
-    """Rows in a random order (MLlib forests do not need it)."""
-    return df.orderBy(F.rand(seed))

@@ -289,8 +289,7 @@ _DRAW = "(event_id * 7919 + 104729) % 1000003"
 
 def _halves(t):
     draw = F.expr(_DRAW)
-    return ranking.split_half(t.evt.select("event_id", "energy"), [draw, F.col("event_id")],
-                              F.floor(draw / 4096))
+    return ranking.split_half(t.evt.select("event_id", "energy"), [draw, F.col("event_id")])
 
 
 _HALVES_SQL = f"""
@@ -327,5 +326,4 @@ _DRAW2 = "(event_id * 104723 + 7907) % 999983"
 def permute_column(t):
     a, b = F.expr(_DRAW), F.expr(_DRAW2)
     return ranking.permute(t.evt.select("event_id", "energy"), ["energy"],
-                           [a, F.col("event_id")], F.floor(a / 4096),
-                           [b, F.col("event_id")], F.floor(b / 4096))
+                           [a, F.col("event_id")], [b, F.col("event_id")])

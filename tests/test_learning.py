@@ -61,7 +61,7 @@ def test_permutation_importance_ranks_the_signal(signal):
 
 def test_cross_half_and_ensemble(signal):
     key = ranking.shuffle_key(KEY, 5)
-    halves = ml.staged(ranking.split_half(signal, [key, F.col("event_id")], ranking.shuffle_bucket(key)))
+    halves = ml.staged(ranking.split_half(signal, [key, F.col("event_id")]))
     scored = ml.cross_half(halves, S, KEY)
     pairs = {(r.half, r.model_id) for r in scored.select("half", "model_id").distinct().collect()}
     assert pairs == {(2, "half1"), (1, "half2")}
