@@ -66,33 +66,42 @@ def hist2d(df: DataFrame, x: Column, y: Column, edges_x: Sequence[float],
 Variables = Mapping[str, tuple[Column, Sequence[float]]]
 
 
+def _names(names: Sequence[str], number: str) -> Column:
+    return F.element_at(F.array(*[F.lit(n) for n in names]), F.col(number) + 1)
+
+
 def hist_many(df: DataFrame, variables: Variables, weight: Column | None = None,
-              by: Sequence[str] = ()) -> DataFrame:
+              by: Sequence[str] = (), arrays: Variables | None = None) -> DataFrame:
     """Histograms of many variables in one pass: (by..., var, bin, lo, hi, sum_w, err, n).
 
-    Each row is binned in every variable first and only then spread to
-    (var, bin) pairs, which combine before the shuffle.
+    ``arrays`` are variables with an array of values per row, all of the row's
+    weight; null values are left out.  Each row is binned in every variable
+    first, arrays inside the array, and only then spread to pairs of a variable's
+    number and bin, which combine before the shuffle.  Names and edges are
+    attached to the finished bins.
     """
+    every = {**variables, **(arrays or {})}
+    number = {v: F.lit(i) for i, v in enumerate(every)}
     w = F.lit(1.0) if weight is None else weight.cast("double")
-    cells = F.array(*[
-        F.struct(F.lit(v).alias("var"), bin_index(x, e).alias("bin"))
-        for v, (x, e) in variables.items()
-    ])
+    cell = lambda v, x, e: F.struct(number[v].alias("number"), bin_index(x, e).cast("int").alias("bin"))
+    cells = F.array(*[cell(v, x, e) for v, (x, e) in variables.items()])
+    inside = lambda v, e: lambda value: cell(v, value, e)
+    none = F.array().cast("array<struct<number:int,bin:int>>")
+    for v, (x, e) in (arrays or {}).items():
+        slots = F.transform(F.filter(x, lambda value: value.isNotNull()), inside(v, e))
+        cells = F.concat(cells, F.coalesce(slots, none))
     summed = (
         df.select(*by, w.alias("_w"), F.inline(cells))
         .filter(F.col("bin").isNotNull())
-        .groupBy(*by, "var", "bin")
+        .groupBy(*by, "number", "bin")
         .agg(F.sum("_w").alias("sum_w"), F.sum(F.col("_w") * F.col("_w")).alias("_w2"),
              F.count(F.lit(1)).alias("n"))
     )
-    edges = F.create_map(*[
-        part for v, (_, e) in variables.items()
-        for part in (F.lit(v), F.array(*[F.lit(float(b)) for b in e]))
-    ])
-    at = lambda i: F.element_at(F.element_at(edges, F.col("var")), (i + 1).cast("int"))
+    edges = F.array(*[F.array(*[F.lit(float(b)) for b in e]) for _, e in every.values()])
+    at = lambda i: F.element_at(F.element_at(edges, F.col("number") + 1), (i + 1).cast("int"))
     return summed.select(
-        *by, "var", "bin", at(F.col("bin")).alias("lo"), at(F.col("bin") + 1).alias("hi"),
-        "sum_w", F.sqrt("_w2").alias("err"), "n")
+        *by, _names(list(every), "number").alias("var"), "bin", at(F.col("bin")).alias("lo"),
+        at(F.col("bin") + 1).alias("hi"), "sum_w", F.sqrt("_w2").alias("err"), "n")
 
 
 def hist2d_pairs(df: DataFrame, variables: Variables, weight: Column | None = None,
@@ -103,17 +112,19 @@ def hist2d_pairs(df: DataFrame, variables: Variables, weight: Column | None = No
     binned = df.select(
         *by, w.alias("_w"),
         *[bin_index(x, e).alias(f"_b_{v}") for v, (x, e) in variables.items()])
+    both = [(a, b) for i, a in enumerate(names) for b in names[i + 1:]]
     pairs = F.array(*[
-        F.struct(F.lit(a).alias("var_x"), F.lit(b).alias("var_y"),
-                 F.col(f"_b_{a}").alias("bin_x"), F.col(f"_b_{b}").alias("bin_y"))
-        for i, a in enumerate(names) for b in names[i + 1:]
+        F.struct(F.lit(i).alias("pair"), F.col(f"_b_{a}").alias("bin_x"), F.col(f"_b_{b}").alias("bin_y"))
+        for i, (a, b) in enumerate(both)
     ])
     return (
         binned.select(*by, "_w", F.inline(pairs))
         .filter(F.col("bin_x").isNotNull() & F.col("bin_y").isNotNull())
-        .groupBy(*by, "var_x", "var_y", "bin_x", "bin_y")
+        .groupBy(*by, "pair", "bin_x", "bin_y")
         .agg(F.sum("_w").alias("sum_w"), F.sum(F.col("_w") * F.col("_w")).alias("sum_w2"),
              F.count(F.lit(1)).alias("n"))
+        .withColumns({"var_x": _names([a for a, _ in both], "pair"),
+                      "var_y": _names([b for _, b in both], "pair")}).drop("pair")
     )
 
 
@@ -189,18 +200,23 @@ def weighted_spread(df: DataFrame, by: Sequence[str], value: Column, weight: Col
                     more_than: int = 5) -> DataFrame:
     """Weighted mean and standard deviation (divided by the sum of weights) per group.
 
-    One pass with three moments, so that no group is gathered in one task; the
-    values are residuals, where the moment form loses no precision that matters.
-    Groups with ``more_than`` rows or fewer are dropped.
+    Moments are taken around the middle of the group's values, found by a first
+    aggregate, so a spread far smaller than the values keeps its digits.  Both
+    aggregates combine on the map side.  Groups with ``more_than`` rows or fewer
+    are dropped.
     """
-    m = df.select(*by, value.alias("_v"), weight.alias("_w")).groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("_w").alias("_s0"),
-        F.sum(F.col("_w") * F.col("_v")).alias("_s1"),
-        F.sum(F.col("_w") * F.col("_v") * F.col("_v")).alias("_s2"))
+    rows = df.select(*by, value.cast("double").alias("_v"), weight.cast("double").alias("_w"))
+    middle = rows.groupBy(*by).agg(((F.min("_v") + F.max("_v")) / 2).alias("_c"))
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in by]
+    moved = rows.alias("l").join(middle.alias("r"), same)
+    v = F.col("_v") - F.col("_c")
+    m = moved.groupBy(*[F.col(f"l.{c}").alias(c) for c in by]).agg(
+        F.count(F.lit(1)).alias("n"), F.first("_c").alias("_c"), F.sum("_w").alias("_s0"),
+        F.sum(F.col("_w") * v).alias("_s1"), F.sum(F.col("_w") * v * v).alias("_s2"))
     mean = ratio(F.col("_s1"), F.col("_s0"))
     var = ratio(F.col("_s2"), F.col("_s0")) - mean * mean
     return m.filter(F.col("n") > more_than).select(
-        *by, "n", mean.alias("mean"), F.sqrt(F.greatest(var, F.lit(0.0))).alias("sigma"))
+        *by, "n", (F.col("_c") + mean).alias("mean"), F.sqrt(F.greatest(var, F.lit(0.0))).alias("sigma"))
 
 
 def resolution(df: DataFrame, log_energy: Column, residual: Column, weight: Column,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from muonloom.functions import directions, edges
 from muonloom.operators import fits, hist, ml, pulses, spectrum
 from muonloom.plans.registry import G, R, edges_sql, g, in_bin, query, r
-from muonloom.plans.views import KEY
+from muonloom.plans.views import KEY, TIES
 
 LOGE = edges.LOGE_EDGES
 _B = edges_sql(LOGE)
@@ -60,22 +60,55 @@ _VARS = {
 }
 
 
-def _variables(names=tuple(_VARS)):
-    return {v: (F.expr(_VARS[v][1]), _VARS[v][2]) for v in names}
+#: Variables of the comparison only; pairs leave them out.
+_MORE = {
+    "zenith": ("degrees(zen_p)", "degrees(zen_p)", edges.linspace(-5, 90, 20)),
+    "nsta": ("CAST(nsta AS DOUBLE)", "CAST(nsta AS DOUBLE)", edges.linspace(0, 80, 81)),
+    "qtotalhlc": ("log10(CASE WHEN qtotalhlc > 0 THEN qtotalhlc END)",
+                  "log10(CASE WHEN qtotalhlc > 0 THEN qtotalhlc END)", edges.linspace(-3, 5, 41)),
+}
+#: Variables of the 35 slots of an event, for slots of enough charge.
+_SLOTS = {
+    "tankx": ("k.x", lambda s: s["tank_x"], edges.linspace(-600, 600, 81)),
+    "tanky": ("k.y", lambda s: s["tank_y"], edges.linspace(-600, 600, 81)),
+    "radius": ("sqrt(k.x * k.x + k.y * k.y)",
+               lambda s: F.sqrt(s["tank_x"] * s["tank_x"] + s["tank_y"] * s["tank_y"]), edges.linspace(0, 800, 81)),
+    "pulse": ("log10(charge)", lambda s: F.log10(s["pulses"]), edges.linspace(-3, 5, 81)),
+}
+
+
+def _variables(of=_VARS):
+    return {v: (F.expr(x), e) for v, (_, x, e) in of.items()}
+
+
+def _slots():
+    filled = F.filter(F.arrays_zip("pulses", "tank_x", "tank_y"), lambda s: s["pulses"] >= 0.1)
+    return {v: (F.transform(filled, x), e) for v, (_, x, e) in _SLOTS.items()}
+
+
+def _compared(t):
+    """The comparison batch: scalars and the 35 slots of every booked event, in one pass."""
+    events = t.booked.join(pulses.pulse_arrays(t.pulse, t.tank, KEY, ties=TIES), KEY, "left")
+    return hist.hist_many(events, _variables({**_VARS, **_MORE}), F.col("sw"), ["sample"], _slots())
 
 
 _MANY_SQL = "\nUNION ALL\n".join(f"""
     SELECT sample, '{v}' AS var, bin, lo, hi, SUM(sw) AS sum_w, sqrt(SUM(sw * sw)) AS err, COUNT(*) AS n
     FROM booked JOIN {edges_sql(e)} b ON {in_bin(x)} GROUP BY sample, bin, lo, hi"""
-                                 for v, (x, _, e) in _VARS.items())
+                                 for v, (x, _, e) in {**_VARS, **_MORE}.items())
+_MANY_SQL += "".join(f"""
+    UNION ALL
+    SELECT sample, '{v}' AS var, bin, lo, hi, SUM(sw) AS sum_w, sqrt(SUM(sw * sw)) AS err, COUNT(*) AS n
+    FROM booked JOIN top35 USING (event_id) JOIN tank k USING (station, tank)
+      JOIN {edges_sql(e)} b ON {in_bin(x)}
+    WHERE charge >= 0.1e0 GROUP BY sample, bin, lo, hi""" for v, (x, _, e) in _SLOTS.items())
 
 
 @query("hist_many", f"""
     SELECT sample, var, bin, lo, hi, {G('sum_w')} AS sum_w, {G('err')} AS err, n FROM ({_MANY_SQL})
-    """, "booked")
+    """, "booked top35 tank")
 def hist_many(t):
-    h = hist.hist_many(t.booked, _variables(), F.col("sw"), ["sample"])
-    return h.select("sample", "var", "bin", "lo", "hi", g("sum_w").alias("sum_w"),
+    return _compared(t).select("sample", "var", "bin", "lo", "hi", g("sum_w").alias("sum_w"),
                     g("err").alias("err"), "n")
 
 
@@ -86,15 +119,14 @@ def hist_many(t):
     SELECT var, bin, {G('d.norm')} AS data, {G('m.norm')} AS mc, {G('d.norm / m.norm')} AS ratio,
            {G('sqrt(pow(d.norm_err / m.norm, 2) + pow(d.norm * m.norm_err / (m.norm * m.norm), 2))')}
            AS ratio_err
-    FROM d FULL JOIN m USING (var, bin)""", "booked")
+    FROM d FULL JOIN m USING (var, bin)""", "booked top35 tank")
 def data_mc_ratio(t):
-    h = hist.normalise(hist.hist_many(t.booked, _variables(), F.col("sw"), ["sample"]),
-                       ["sample", "var"])
+    h = hist.normalise(_compared(t), ["sample", "var"])
     c = hist.compare_samples(h, ["var", "bin"], "sample")
     return c.select("var", "bin", *[g(x).alias(x) for x in ("data", "mc", "ratio", "ratio_err")])
 
 
-_PAIR_VARS = ("czenith", "qsum2", "qtotal", "energy")
+_PAIR_VARS = tuple(_VARS)
 _PAIR_SQL = "\nUNION ALL\n".join(f"""
     SELECT sample, '{a}' AS var_x, '{c}' AS var_y, b.bin AS bin_x, b2.bin AS bin_y, SUM(sw) AS sum_w
     FROM booked JOIN {edges_sql(_VARS[a][2])} b ON {in_bin(_VARS[a][0])}
@@ -109,7 +141,7 @@ _PAIR_SQL = "\nUNION ALL\n".join(f"""
                - coalesce(MAX(CASE WHEN sample = 'mc' THEN sum_w END), 0))''')} AS difference
     FROM ({_PAIR_SQL}) GROUP BY var_x, var_y, bin_x, bin_y""", "booked")
 def hist2d_pairs(t):
-    cells = hist.hist2d_pairs(t.booked, _variables(_PAIR_VARS), F.col("sw"), ["sample"])
+    cells = hist.hist2d_pairs(t.booked, _variables(), F.col("sw"), ["sample"])
     d = hist.absolute_difference(cells, ["var_x", "var_y", "bin_x", "bin_y"], "sample")
     return d.withColumn("difference", g("difference"))
 

@@ -242,3 +242,20 @@ def test_response_errors_are_standard_errors(spark):
         df, F.col("r"), F.col("t"), F.col("w"), [4.0, 4.2, 4.4], **k).filter("p > 0").collect()}
     assert np.allclose([cells()[0, 0], cells()[0, 1]], [[0.6, math.sqrt(20) / 10], [0.4, 0.4]])
     assert np.allclose(cells(legacy_error=True)[0, 1], [0.4, 1.6])
+
+
+def test_spread_of_large_values(spark):
+    df = spark.createDataFrame([(1, 1e9 + i, 1.0 + i % 2) for i in range(10)], "g int, v double, w double")
+    r = hist.weighted_spread(df, ["g"], F.col("v"), F.col("w")).first()
+    v, w = np.arange(10.0), 1.0 + np.arange(10) % 2
+    mean = (v * w).sum() / w.sum()
+    assert r.mean == pytest.approx(1e9 + mean, rel=1e-15)
+    assert r.sigma == pytest.approx(math.sqrt((w * (v - mean) ** 2).sum() / w.sum()), rel=1e-9)
+
+
+def test_array_variables(spark):
+    df = spark.createDataFrame([(0.5, [0.5, 1.5, None], 2.0), (1.5, [], 3.0), (9.0, None, 1.0)],
+                               "x double, a array<double>, w double")
+    h = hist.hist_many(df, {"x": (F.col("x"), E4)}, F.col("w"), arrays={"a": (F.col("a"), E4)})
+    got = sorted((r["var"], r.bin, r.lo, r.sum_w, r.n) for r in h.collect())
+    assert got == [("a", 0, 0.0, 2.0, 1), ("a", 1, 1.0, 2.0, 1), ("x", 0, 0.0, 2.0, 1), ("x", 1, 1.0, 3.0, 1)]
