@@ -24,7 +24,7 @@ BEGINNINGS = (3, 4, 5, 6, 7)
 #: What is stripped from a word before it is looked at.
 MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~0123456789"
 #: Labelled documents that the chain is fitted on, at most; the first by a hash of their id.
-FIT_DOCUMENTS = 8_000
+FIT_DOCUMENTS = 6_000
 #: A document is toxic from this probability on.
 TOXIC = 0.3
 #: A word's features are remembered, for so many words per task.
@@ -51,15 +51,15 @@ def features(text: bytes) -> np.ndarray:
     return np.array(sorted(found), np.int32)
 
 
-def telling(rows: np.ndarray, columns: np.ndarray, label: np.ndarray, most: int,
-            least: float = 15.0) -> np.ndarray:
-    """The ``most`` columns that depend most on the label, of chi-square ``least`` and more."""
+def telling(lists: list[np.ndarray], label: np.ndarray, most: int, least: float = 15.0) -> np.ndarray:
+    """The ``most`` columns that depend most on the label, of chi-square ``least`` and more in 2 documents or more."""
     n, ones = len(label), label.sum()
-    both = np.bincount(columns, label[rows], COLUMNS)
-    seen = np.bincount(columns, minlength=COLUMNS).astype(float)
+    count = lambda chosen: np.bincount(np.concatenate(chosen), minlength=COLUMNS) if chosen else np.zeros(COLUMNS)
+    both = count([x for x, y in zip(lists, label) if y]).astype(float)
+    seen = count(lists).astype(float)
     spread = seen * (n - seen) * ones * (n - ones)
     off = both * n - seen * ones
-    chi = off * off * n / np.maximum(spread, 1e-9)
+    chi = np.where(seen > 1, off * off * n / np.maximum(spread, 1e-9), 0.0)
     best = np.argsort(-chi, kind="stable")[:most]
     return np.sort(best[chi[best] >= least])
 
@@ -97,13 +97,14 @@ def fit_linear(x: np.ndarray, label: np.ndarray, columns: np.ndarray, rounds: in
     return Linear(columns, w[:k].astype(float), w[k:-1].astype(float), float(w[-1]))
 
 
-def dense(rows: np.ndarray, columns: np.ndarray, n: int, chosen: np.ndarray) -> np.ndarray:
+def dense(lists: list[np.ndarray], chosen: np.ndarray) -> np.ndarray:
     """0/1 matrix of documents and chosen columns."""
     place = np.full(COLUMNS, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
-    at = place[columns]
-    x = np.zeros((n, len(chosen)), np.float32)
-    x[rows[at >= 0], at[at >= 0]] = 1
+    x = np.zeros((len(lists), len(chosen)), np.float32)
+    for i, columns in enumerate(lists):
+        at = place[columns]
+        x[i, at[at >= 0]] = 1
     return x
 
 
@@ -123,16 +124,12 @@ def fit_chain(lists: list[np.ndarray], labels: np.ndarray, names: list[str], fol
     in every fold, so a held-out document has no part in its own probability.
     """
     n = len(lists)
-    rows = np.repeat(np.arange(n), [len(x) for x in lists])
-    columns = np.concatenate(lists) if n else np.empty(0, np.int32)
     fold = np.arange(n) % folds
     chain, earlier = Chain(names), np.zeros((n, 0), np.float32)
 
     def model(seen: np.ndarray, y: np.ndarray) -> tuple[Linear, np.ndarray]:
-        use = seen[rows]
-        place = np.cumsum(seen) - 1
-        chosen = telling(place[rows[use]], columns[use], y[seen], most)
-        x = np.column_stack([dense(rows, columns, n, chosen), earlier])
+        chosen = telling([x for x, use in zip(lists, seen) if use], y[seen], most)
+        x = np.column_stack([dense(lists, chosen), earlier])
         return fit_linear(x[seen], y[seen], chosen), x
 
     for k in range(len(names)):
