@@ -5,7 +5,7 @@ for each bucket of c(v).  The weights are learned by expectation-maximisation
 on documents that are deleted from the counts meanwhile.
 
 Counts meet texts by hashes in packed form.  Documents are taken in batches of
-about a million tokens; a batch asks for the counts of its distinct words and
+some hundred thousand tokens; a batch asks for the counts of its distinct words and
 bigrams, so a pair of words that stands in every document is asked for once per
 batch.  Requests are cut by hash into partitions, as many as the text asks for;
 a partition adds up its keys over all batches and answers each batch with
@@ -29,7 +29,7 @@ from muonloom.llm.common import arrow_schema, as_bytes, words_of
 from muonloom.session import cut_lineage
 
 #: Tokens of a batch, and bytes of text for each partition of the counts.
-BATCH_TOKENS, PARTITION_BYTES = 1_000_000, 24 << 20
+BATCH_TOKENS, PARTITION_BYTES = 700_000, 14 << 20
 #: One of so many training documents is deleted from the counts to learn the weights.
 DELETED = 20
 #: Rounds of expectation-maximisation at most, and the change of weights that ends it.
