@@ -78,7 +78,7 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit_linear(x: np.ndarray, label: np.ndarray, columns: np.ndarray, rounds: int = 400,
+def fit_linear(x: np.ndarray, label: np.ndarray, columns: np.ndarray, rounds: int = 250,
                rate: float = 0.5, l2: float = 1e-4) -> Linear:
     """Logistic regression by adaptive gradient steps.
 
@@ -117,7 +117,7 @@ class Chain:
 
 
 def fit_chain(lists: list[np.ndarray], labels: np.ndarray, names: list[str], folds: int = 3,
-              most: int = 600) -> Chain:
+              most: int = 300) -> Chain:
     """One model per category over its ``most`` most telling columns.
 
     ``labels`` has a column of 0 and 1 per category.  Columns are chosen anew
@@ -215,7 +215,7 @@ def score(docs: DataFrame, chain: Chain, carry: tuple[str, ...] = ("doc_id",)) -
 
     Null and empty texts have no features; their probabilities come from the
     biases alone.  Null ids and repeated rows stay.  Other columns are ignored.
-    The models (at most 600 weights per category) go to the workers as a broadcast.
+    The models (at most 300 weights per category) go to the workers as a broadcast.
     """
     sent = docs.sparkSession.sparkContext.broadcast({"chain": chain})
     names = [f"p_{n}" for n in chain.names]
