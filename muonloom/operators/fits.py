@@ -48,7 +48,10 @@ def log_parabola(hist: DataFrame, by: Sequence[str], x: Column, counts: Column)
 
 def exponential_livetime(gaps: DataFrame, by: Sequence[str] = (), t: str = "lo",
                          n: str = "n") -> DataFrame:
-    """Livetime N * tau from a gap histogram, tau from ln(counts) = ln I0 - t / tau."""
+    """Livetime N * tau from a gap histogram, tau from ln(counts) = ln I0 - t / tau.
+
+    The errors are those of the weighted line: ln(counts) has variance 1 / counts.
+    """
     w, x, y = F.col(n).cast("double"), F.col(t), F.log(n)
     m = gaps.filter(F.col(n) > 0).groupBy(*by).agg(
         F.sum(w).alias("s0"), F.sum(w * x).alias("s1"), F.sum(w * x * x).alias("s2"),
@@ -57,8 +60,10 @@ def exponential_livetime(gaps: DataFrame, by: Sequence[str] = (), t: str = "lo",
                   F.col("s0") * F.col("s2") - F.col("s1") * F.col("s1"))
     m = m.withColumn("slope", slope)
     tau = ratio(F.lit(-1.0), F.col("slope"))
+    slope_err = F.sqrt(ratio(F.col("s0"), F.col("s0") * F.col("s2") - F.col("s1") * F.col("s1")))
     return m.select(*by, F.col("s0").alias("n_gaps"), tau.alias("tau"),
-                    (F.col("s0") * tau).alias("livetime"))
+                    (tau * tau * slope_err).alias("tau_err"), (F.col("s0") * tau).alias("livetime"),
+                    (F.col("s0") * tau * tau * slope_err).alias("livetime_err"))
 
 
 def least_squares(model, jacobian, x, y, p, weight=None, steps: int = 200):

@@ -20,6 +20,7 @@ from muonloom.functions.guards import ratio
 # group functions travel to the workers whole, so these need no installed copy
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+MATRIX = "variant string, cause int, effect int, share double"
 RESULT = ("variant string, bin int, unfolded double, stat_err double, sys_err double, "
           "iterations int, ks double")
 HISTORY = "variant string, iteration int, bin int, unfolded double, ks double"
@@ -97,6 +98,24 @@ def iterate(response, eff, data, prior, tol: float, max_iter: int,
         n = smoother(new) if smoother is not None else new
 
 
+def unfolding_matrix(cells: DataFrame, bins: DataFrame, tol: float = 1e-3,
+                     max_iter: int = 100) -> DataFrame:
+    """(variant, cause, effect, share): the last iteration's share of each effect credited to each cause."""
+
+    def solve(key: tuple, c: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if b.empty:
+            return pd.DataFrame()
+        response, _, eff, data, _, prior, b = _matrices(c, b)
+        for _, _, m, _ in iterate(response, eff, data, prior, _settings(b, tol), max_iter):
+            pass
+        cause, effect = np.nonzero(m)
+        names = b["bin"].to_numpy()
+        return pd.DataFrame({"variant": key[0], "cause": names[cause], "effect": names[effect],
+                             "share": m[cause, effect]})
+
+    return _pair(cells, bins).applyInPandas(solve, MATRIX)
+
+
 def _matrices(cells: pd.DataFrame, bins: pd.DataFrame):
     bins = bins.sort_values("bin")
     k = len(bins)
@@ -125,7 +144,8 @@ def unfold(cells: DataFrame, bins: DataFrame, tol: float = 1e-3, max_iter: int =
     """Unfold every variant.
 
     ``cells``: (variant, cause, effect, p, p_err).  ``bins``: (variant, bin,
-    data, data_err, prior, eff) and optionally ``tol``.  With ``degree`` each
+    data, data_err, prior, eff) and optionally ``tol`` and ``eff_err``, which adds
+    the efficiency's relative error to ``sys_err``.  With ``degree`` each
     estimate but the last is smoothed by a polynomial in log counts, per value
     of the ``groups`` column.
     """
@@ -152,6 +172,8 @@ def unfold(cells: DataFrame, bins: DataFrame, tol: float = 1e-3, max_iter: int =
         through = (var @ (last_input ** 2))[:, None] * shared ** 2
         own = (direct ** 2 - 2 * direct * shared * last_input) * var
         sys = np.sqrt(np.clip((own + through).sum(axis=0), 0, None))
+        if "eff_err" in b:
+            sys = np.hypot(sys, n * _divide(b["eff_err"].to_numpy(float), eff))
         return pd.DataFrame({
             "variant": key[0], "bin": b["bin"].to_numpy(), "unfolded": n, "stat_err": stat,
             "sys_err": sys, "iterations": it, "ks": ks})
@@ -176,8 +198,7 @@ def unfold_history(cells: DataFrame, bins: DataFrame, tol: float = 1e-3,
 
 
 def tolerance_variants(table: DataFrame, tolerances) -> DataFrame:
-    """One copy of a (small, binned) variant per stopping tolerance."""
+    """One copy of a (small, binned) variant per stopping tolerance, named by its number."""
     options = F.array(*[F.lit(float(t)) for t in tolerances])
-    out = table.withColumn("tol", F.explode(options))
-    return out.withColumn("variant", F.format_string("%s|%.0e", "variant", "tol"))
-
+    out = table.select("*", F.posexplode(options).alias("_number", "tol"))
+    return out.withColumn("variant", F.concat_ws("|", "variant", "_number")).drop("_number")

@@ -268,14 +268,23 @@ def event_gaps(t):
     return _gap_hist(t).select("run", "bin", "n")
 
 
-@query("livetime", _GAPS_SQL + f""",
+LIVETIME_SQL = _GAPS_SQL + """,
     m AS (SELECT run, SUM(n) AS s0, SUM(n * lo) AS s1, SUM(n * lo * lo) AS s2, SUM(n * ln(n)) AS t0,
                  SUM(n * lo * ln(n)) AS t1 FROM h GROUP BY run),
-    f AS (SELECT run, s0, -(s0 * s2 - s1 * s1) / (s0 * t1 - s1 * t0) AS tau FROM m)
-    SELECT run, CAST(s0 AS DOUBLE) AS n_gaps, {G('tau', 8)} AS tau, {G('s0 * tau', 8)} AS livetime FROM f""")
+    f AS (SELECT run, s0, -(s0 * s2 - s1 * s1) / (s0 * t1 - s1 * t0) AS tau,
+                 sqrt(s0 / (s0 * s2 - s1 * s1)) AS slope_err FROM m)"""
+
+
+def livetimes(t):
+    """Livetime per run with its error, from the gaps between events."""
+    return fits.exponential_livetime(_gap_hist(t), ["run"])
+
+
+@query("livetime", LIVETIME_SQL + f"""
+    SELECT run, CAST(s0 AS DOUBLE) AS n_gaps, {G('tau', 8)} AS tau, {G('tau * tau * slope_err', 8)} AS tau_err,
+           {G('s0 * tau', 8)} AS livetime FROM f""")
 def livetime(t):
-    f = fits.exponential_livetime(_gap_hist(t), ["run"])
-    return f.select("run", "n_gaps", g("tau", 8).alias("tau"), g("livetime", 8).alias("livetime"))
+    return livetimes(t).select("run", "n_gaps", *[g(c, 8).alias(c) for c in ("tau", "tau_err", "livetime")])
 
 
 @query("kfold", """

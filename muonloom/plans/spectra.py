@@ -197,17 +197,58 @@ def unfold_three(t):
                       r("stat_err").alias("stat_err"))
 
 
+def _iterated_sql(data: str, prior: str, runs: str, most: int) -> str:
+    """Unfolding to a stopping rule: one row per run with lists over the bins.
+
+    ``data``: (variant, bin, n); ``prior``: an expression of lo and hi; ``runs``:
+    (run, tol).  Ends with ``done`` (variant, run, k, n, ks).
+    """
+    bins = f"range({N_BINS})"
+    each = f"range(1, {N_BINS + 1})"
+    return f"""
+    resp AS ({_RESPONSE_SQL}), obs AS ({data}),
+    grid AS (SELECT v.variant, e.b AS effect, c.b AS cause, coalesce(r.p, 0) AS p
+             FROM (SELECT DISTINCT variant FROM obs) v, {bins} e(b), {bins} c(b)
+             LEFT JOIN resp r ON r.variant = v.variant AND r.effect = e.b AND r.cause = c.b),
+    m AS (SELECT * FROM
+        (SELECT variant, list(l ORDER BY effect) AS by_effect FROM
+            (SELECT variant, effect, list(p ORDER BY cause) AS l FROM grid GROUP BY ALL) GROUP BY variant)
+        JOIN (SELECT variant, list(l ORDER BY cause) AS by_cause, list(e ORDER BY cause) AS eff FROM
+            (SELECT variant, cause, list(p ORDER BY effect) AS l, SUM(p) AS e FROM grid GROUP BY ALL)
+            GROUP BY variant) USING (variant)
+        JOIN (SELECT variant, list(CAST(n AS DOUBLE) ORDER BY bin) AS data,
+                     list({prior} ORDER BY bin) AS prior FROM obs JOIN {B} b USING (bin) GROUP BY variant)
+            USING (variant)),
+    it AS (SELECT variant, run, tol, 0 AS k, 1e9 AS ks,
+                  list_transform(prior, lambda x: x / list_sum(prior) * list_sum(data)) AS n
+           FROM m, ({runs})
+           UNION ALL
+           SELECT variant, run, tol, k + 1, list_max(list_transform({each}, lambda i:
+                      abs(list_sum(new[1:i]) / list_sum(new) - list_sum(n[1:i]) / list_sum(n)))), new
+           FROM (SELECT *, list_transform({each}, lambda i: CASE WHEN eff[i] = 0 THEN 0e0
+                            ELSE n[i] / eff[i] * list_dot_product(by_cause[i], pull) END) AS new
+                 FROM (SELECT *, list_transform({each}, lambda j:
+                              CASE WHEN list_dot_product(by_effect[j], n) = 0 THEN 0e0
+                                   ELSE data[j] / list_dot_product(by_effect[j], n) END) AS pull
+                       FROM it JOIN m USING (variant) WHERE ks >= tol AND k < {most}))),
+    done AS (SELECT * FROM it QUALIFY k = MAX(k) OVER (PARTITION BY variant, run))"""
+
+
 TOLERANCES = (1e-2, 5e-3, 3e-3, 2e-3, 1e-3, 5e-4, 1e-4, 1e-5)
+_RUNS = "SELECT * FROM (VALUES " + ", ".join(f"({i}, {num(x)})" for i, x in enumerate(TOLERANCES)) + ") r(run, tol)"
 
 
-@query("unfold_tol_scan")
+@query("unfold_tol_scan", f"""
+    WITH RECURSIVE {_iterated_sql("SELECT variant, bin, n FROM (" + _SEEN_SQL + ")", "2 / (lo + hi)", _RUNS, 100)}
+    SELECT variant || '|' || CAST(run AS VARCHAR) AS variant, k AS iterations, {R('ks', 9)} AS ks
+    FROM done""", "evt")
 def unfold_tol_scan(t):
     cells = response_cells(t)
     bins = unfolding_bins(t, cells, prior="jeffreys")
     out = unfold.unfold(unfold.tolerance_variants(cells, TOLERANCES),
                         unfold.tolerance_variants(bins, TOLERANCES))
     return out.groupBy("variant").agg(F.max("iterations").alias("iterations"),
-                                      F.max("ks").alias("ks"))
+                                      r(F.max("ks"), 9).alias("ks"))
 
 
 @query("unfold_regularised")
@@ -216,7 +257,22 @@ def unfold_regularised(t):
     return unfold.unfold(cells, unfolding_bins(t, cells, prior="jeffreys"), degree=3)
 
 
-@query("unfold_closure")
+_MC_SEEN_SQL = f"""
+    SELECT v.variant, b.bin, coalesce(d.n, 0) AS n
+    FROM (SELECT DISTINCT CAST(pdg AS VARCHAR) AS variant FROM evt WHERE sample = 'mc') v, ({B}) b
+    LEFT JOIN (SELECT CAST(pdg AS VARCHAR) AS variant, b.bin, SUM(w) AS n FROM evt JOIN {B} b
+               ON {in_bin('loge_p')} WHERE sample = 'mc' GROUP BY pdg, b.bin) d
+      ON d.variant = v.variant AND d.bin = b.bin"""
+
+
+@query("unfold_closure", f"""
+    WITH RECURSIVE {_iterated_sql(_MC_SEEN_SQL, "1e0", "SELECT 0 AS run, 1e-6 AS tol", 200)},
+    u AS (SELECT variant, unnest(range({N_BINS})) AS bin, unnest(n) AS unfolded FROM done),
+    truth AS (SELECT CAST(pdg AS VARCHAR) AS variant, bin, SUM(w) AS truth FROM evt JOIN {B} b
+              ON {in_bin('loge')} WHERE sample = 'mc' GROUP BY pdg, bin)
+    SELECT variant, CAST(bin AS INTEGER) AS bin, {G('unfolded', 6)} AS unfolded, {G('coalesce(truth, 0)', 6)} AS truth,
+           CASE WHEN coalesce(truth, 0) > 0 THEN {G('unfolded / truth', 6)} ELSE 0 END AS closure
+    FROM u LEFT JOIN truth USING (variant, bin)""", "evt")
 def unfold_closure(t):
     """Unfold the simulated reconstruction and compare with the simulated truth."""
     mc = t.evt.filter("sample = 'mc'")
@@ -227,8 +283,8 @@ def unfold_closure(t):
                         LOGE, F.col("w"), by=["variant"])
     return out.join(truth.select("variant", "bin", F.col("sum_w").alias("truth")),
                     ["variant", "bin"]).select(
-        "variant", "bin", "unfolded", "stat_err", "sys_err", "truth",
-        ratio_or_zero(F.col("unfolded"), F.col("truth")).alias("closure"))
+        "variant", "bin", g("unfolded", 6).alias("unfolded"), g("truth", 6).alias("truth"),
+        g(ratio_or_zero(F.col("unfolded"), F.col("truth")), 6).alias("closure"))
 
 
 # --- spectra as tables -----------------------------------------------------------

@@ -10,6 +10,7 @@ from muonloom.functions import edges
 from muonloom.functions.shapes import flux as model_flux
 from muonloom.operators import hist, spectrum, summary, systematics
 from muonloom.plans.booking import WEIGHT_SQL, FINE, flux_sql
+from muonloom.plans.hits import LIVETIME_SQL, livetimes
 from muonloom.plans.registry import G, ORACLES, R, edges_sql, g, in_bin, query, r
 from muonloom.plans.spectra import AREA, B, CUT, LN10, LOGE, SEEN, SOLID, WINDOW, area_bins, seen
 
@@ -81,15 +82,15 @@ def sys_envelope(t):
     return e.select("bin", r("sys_low", 8).alias("sys_low"), r("sys_high", 8).alias("sys_high"))
 
 
-@query("sys_duration", f"""
-    SELECT run, n, {R('(1 / (duration * 0.99e0) - 1 / duration) * duration', 9)} AS sys_low,
-           {R('(1 / duration - 1 / (duration + sqrt(n))) * duration', 9)} AS sys_high
-    FROM run_dim JOIN (SELECT run, COUNT(*) AS n FROM evt GROUP BY run) USING (run)""", "evt run_dim")
+@query("sys_duration", LIVETIME_SQL + f"""
+    , moved AS (SELECT run, s0 * tau AS t, s0 * tau * tau * slope_err AS e FROM f)
+    SELECT run, {G('(1 / (t - e) - 1 / t) * t', 7)} AS sys_low, {G('(1 / t - 1 / (t + e)) * t', 7)} AS sys_high
+    FROM moved""")
 def sys_duration(t):
-    runs = t.run_dim.join(t.evt.groupBy("run").agg(F.count("*").alias("n")), "run")
-    d = F.col("duration")
-    low, high = systematics.duration_shift(d, d * 0.99, d + F.sqrt("n"))
-    return runs.select("run", "n", r(low, 9).alias("sys_low"), r(high, 9).alias("sys_high"))
+    """Change of the flux when the fitted livetime moves by its error."""
+    live, err = F.col("livetime"), F.col("livetime_err")
+    low, high = systematics.duration_shift(live, live - err, live + err)
+    return livetimes(t).select("run", g(low, 7).alias("sys_low"), g(high, 7).alias("sys_high"))
 
 
 _MODELS = ("h4a", "h3a", "poly")
