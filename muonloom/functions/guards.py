@@ -47,10 +47,6 @@ def log10_floor(x: Column, floor: float = 1e-5) -> Column:
     return F.log10(F.when(x == 0, F.lit(floor)).otherwise(x))
 
 
-def nan_as(x: Column, value: float) -> Column:
-    return F.nanvl(x, F.lit(float(value)))
-
-
 def failed_zenith(zenith: Column) -> Column:
     """A NaN zenith becomes 1.9 pi (342 degrees), outside every zenith histogram.
 

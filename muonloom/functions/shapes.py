@@ -10,18 +10,10 @@ from pyspark.sql import Column, functions as F
 from muonloom.sources.constants import FLUX_MODELS
 
 
-def gaussian(x: Column, a, mean, sigma) -> Column:
-    return a * F.exp(-F.pow(x - mean, 2) / (2 * sigma * sigma))
-
-
 def sigmoid(x: Column, p0, p1, p2) -> Column:
     return p0 / (1 + F.exp(-p1 * (x - p2)))
 
 
-def decay(t: Column, i0, tau) -> Column:
-    return i0 * F.exp(-t / tau)
-
-
 def lateral_profile(r: Column, s60, beta) -> Column:
     """Signal at distance r from the axis, normalised to r = 60 m."""
     u = r / 60.0

@@ -1,4 +1,4 @@
-"""The detector geometry as a table: positions, distances, neighbours."""
+"""The detector geometry as a table: positions and distances."""
 
 from __future__ import annotations
 
@@ -54,41 +54,7 @@ def station_centres(tanks: DataFrame) -> DataFrame:
 
 def station_distance(tanks: DataFrame, station_a: int, station_b: int) -> DataFrame:
     """Distance between the mid points of two stations."""
-    centres = station_centres(tanks.filter(F.col("station").isin(station_a, station_b)))
-    return centres.agg(
-        distance(F.max("x"), F.max("y"), F.min("x"), F.min("y")).alias("distance")
-    )
-
-
-def neighbours(points: DataFrame, key: str, radius: float) -> DataFrame:
-    """Pairs (key, other) of different points at most ``radius`` apart.
-
-    A square grid of cell size ``radius`` turns the distance condition into an
-    equi-join on cells: each point looks into its own and the 8 cells around.
-    """
-    cell = lambda c: F.floor(F.col(c) / radius).cast("long")
-    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"))
-                      for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    left = (
-        points.select(key, "x", "y", cell("x").alias("cx"), cell("y").alias("cy"))
-        .withColumn("step", F.explode(steps))
-        .select(key, "x", "y", (F.col("cx") + F.col("step.i")).alias("cx"),
-                (F.col("cy") + F.col("step.j")).alias("cy"))
-    )
-    right = points.select(
-        F.col(key).alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"),
-        cell("x").alias("cx"), cell("y").alias("cy"))
-    apart = distance(*[F.col(c) for c in ("x", "y", "ox", "oy")])
-    return (
-        left.join(right, ["cx", "cy"])
-        .withColumn("distance", apart)
-        .filter((F.col(key) != F.col("other")) & (F.col("distance") <= radius))
-        .select(key, "other", "distance")
-    )
-
-
-def grid_index(station: Column, pitch_x: float = 125.0, pitch_y: float = 108.0) -> tuple[Column, Column]:
-    """Position on a regular 9-wide grid, for tests without a surveyed geometry."""
-    i = F.pmod(station - 1, F.lit(9)) - 4
-    j = F.floor((station - 1) / 9) - 4
-    return i * pitch_x, j * pitch_y
+    centre = lambda c, s: F.avg(F.when(F.col("station") == s, F.col(c)))
+    return tanks.agg(
+        distance(centre("x", station_a), centre("y", station_a),
+                 centre("x", station_b), centre("y", station_b)).alias("distance"))

@@ -48,6 +48,14 @@ def j_tank_distance(t):
     return geometry.station_spacing(t.tank).select("station", r("distance").alias("distance"))
 
 
+@query("j_station_distance", """
+    WITH c AS (SELECT station, AVG(x) AS x, AVG(y) AS y FROM tank GROUP BY station)
+    SELECT """ + R("sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))") + """ AS distance
+    FROM c a JOIN c b ON a.station = 1 AND b.station = 4""", "tank")
+def j_station_distance(t):
+    return geometry.station_distance(t.tank, 1, 4).select(r("distance").alias("distance"))
+
+
 #: Cleaning to the fixed point; ``clean`` has every hit of ``hits_in`` with its flag.
 CLEAN_SQL = """
     k0 AS (SELECT p.event_id, p.hit, p.station, p.tank, p.om, p.charge, p.time, k.x, k.y,

@@ -43,23 +43,6 @@ EVENT = T.StructType([
     *[T.StructField(n, T.IntegerType()) for n in ("nsta", "nslc", "ntanks")],
 ])
 
-MC_TRUTH = T.StructType([
-    T.StructField("run", T.IntegerType()),
-    T.StructField("event_id", T.LongType()),
-    T.StructField("pdg", T.LongType()),
-    *[T.StructField(n, T.DoubleType())
-      for n in ("energy", "x", "y", "z", "zenith", "azimuth")],
-])
-
-PREDICTION = T.StructType([
-    T.StructField("run", T.IntegerType()),
-    T.StructField("event_id", T.LongType()),
-    T.StructField("target", T.StringType()),
-    T.StructField("model_id", T.StringType()),
-    T.StructField("fold", T.IntegerType()),
-    T.StructField("value", T.DoubleType()),
-])
-
 RUN_DIM = T.StructType([
     T.StructField("run", T.IntegerType()),
     T.StructField("duration", T.DoubleType()),

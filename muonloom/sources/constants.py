@@ -21,14 +21,6 @@ INFILL_TANKS = (
     (77.40999984741211, 37.6150016784668), (87.19000244140625, 39.84000015258789),
 )
 
-INFILL_BOUNDARY = (
-    (-6.53999996, -149.35499573), (-9.11999989, -87.69499969), (67.07500076, 95.39500046),
-    (170.77000427, -11.06499958), (154.95999908, -128.70999908),
-)
-NEARBY_INFILL_BOUNDARY = (
-    (-6.53999996, -149.35499573), (-9.11999989, -87.69499969), (67.07500076, 95.39500046),
-    (125.0, 40.0), (75.0, -140.0),
-)
 OUTSIDE_BOUNDARY = (
     (-260.61499786, -496.98249817), (361.40750122, -398.25500488), (600.44999695, 144.05749893),
     (365.70500183, 428.20500183), (120.08250237, 397.2124939), (4.49999869e-02, 4.99107498e+02),
@@ -99,11 +91,6 @@ HAWC_FLUX = (
 )
 
 # --- fixed values: analysis ---------------------------------------------------
-LIVETIME_SECONDS = 28548809.85074771
-LIVETIME_PLUS = 28609806.45698332
-LIVETIME_MINUS = 28487813.24451206
-
-
 def literal_table(spark: SparkSession, rows, names) -> DataFrame:
     """A fixed table as literals of the plan: no Python worker and no file."""
     cells = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in rows]

@@ -177,16 +177,6 @@ def test_gaps_match_a_global_sort(spark, rows):
         assert sorted(got[run]) == sorted(want)
 
 
-def test_geometry_neighbours_against_brute_force(spark):
-    rng = np.random.default_rng(1)
-    pts = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(-300, 300, (80, 2)))]
-    df = spark.createDataFrame(pts, "k int, x double, y double")
-    got = {(r.k, r.other) for r in geometry.neighbours(df, "k", 90.0).collect()}
-    want = {(a[0], b[0]) for a in pts for b in pts
-            if a[0] != b[0] and math.dist(a[1:], b[1:]) <= 90.0}
-    assert got == want
-
-
 def test_union_and_exclusion(spark, rows):
     hlc = hits(spark, [(1, 1, 61, 0.0, 0.1)])
     slc = hits(spark, [(1, 1, 61, 1.0, 0.9), (1, 2, 61, 1.0, 0.8)])

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from muonloom import schema
+from muonloom.operators import geometry
 from muonloom.sources import book, constants, sinks
 from muonloom.streaming import incremental
 
@@ -148,3 +149,24 @@ def test_shared_folder_is_required_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(RuntimeError):
         session.shared_dir(Away)
+
+
+def test_tables_read_what_was_written(spark, tmp_path, rows):
+    tanks = spark.createDataFrame([(1, "A", 0, 1.0, 2.0, 3.0), (4, "B", 7, 4.0, 6.0, 3.0)], schema.TANK)
+    tanks.write.parquet(str(tmp_path / "tanks"))
+    back = geometry.read_geometry(spark, str(tmp_path / "tanks"))
+    assert rows(back) == rows(tanks) and back.schema == tanks.schema
+    assert geometry.station_distance(back, 1, 4).first().distance == 5.0
+    spark.createDataFrame([(7, *[1.5] * (len(schema.RUN_DIM) - 1))], ",".join(
+        ["run int"] + [f"{f.name} double" for f in schema.RUN_DIM[1:]])).select(
+        *[F.col(f.name).cast(f.dataType) for f in schema.RUN_DIM]).write.parquet(str(tmp_path / "runs"))
+    assert book.read_runs(spark, str(tmp_path / "runs")).first().run == 7
+    (tmp_path / "spectra.csv").write_text("name,log_energy,flux,err,sys_low,sys_high\na,5.0,1e-3,1e-4,,2e-4\n")
+    assert tuple(book.read_spectra(spark, str(tmp_path / "spectra.csv")).first()) == ("a", 5.0, 1e-3, 1e-4, None, 2e-4)
+
+
+def test_a_run_written_again_replaces_itself(spark, tmp_path):
+    path = str(tmp_path / "events")
+    for run, n in ((1, 3), (2, 4), (1, 5)):
+        sinks.write_events(spark.range(n).withColumn("run", F.lit(run)), path)
+    assert {r.run: r["count"] for r in spark.read.parquet(path).groupBy("run").count().collect()} == {1: 5, 2: 4}

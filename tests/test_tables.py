@@ -108,7 +108,7 @@ def test_closure_and_tolerance_order(spark):
     tols = [1e-2, 1e-3, 1e-4, 1e-5]
     scan = unfold.unfold(unfold.tolerance_variants(cells, tols), unfold.tolerance_variants(bins, tols))
     its = {r.variant: r.iterations for r in scan.collect()}
-    ordered = [its[f"v|{t:.0e}"] for t in tols]
+    ordered = [its[f"v|{i}"] for i in range(len(tols))]
     assert ordered == sorted(ordered) and ordered[0] < ordered[-1]
     history = unfold.unfold_history(cells, bins, tol=0.0, max_iter=4)
     assert history.select("iteration").distinct().count() == 4
@@ -259,3 +259,21 @@ def test_array_variables(spark):
     h = hist.hist_many(df, {"x": (F.col("x"), E4)}, F.col("w"), arrays={"a": (F.col("a"), E4)})
     got = sorted((r["var"], r.bin, r.lo, r.sum_w, r.n) for r in h.collect())
     assert got == [("a", 0, 0.0, 2.0, 1), ("a", 1, 1.0, 2.0, 1), ("x", 0, 0.0, 2.0, 1), ("x", 1, 1.0, 3.0, 1)]
+
+
+def test_unfolding_matrix_and_efficiency_error(spark):
+    cells = spark.createDataFrame([("v", i, i, 0.5, 0.0) for i in range(3)],
+                                  "variant string, cause int, effect int, p double, p_err double")
+    bins = spark.createDataFrame([("v", i, 10.0 * (i + 1), 1.0, 1 / 3, 0.5, 0.05) for i in range(3)],
+                                 "variant string, bin int, data double, data_err double, prior double, eff double, "
+                                 "eff_err double")
+    m = {(r.cause, r.effect): r.share for r in unfold.unfolding_matrix(cells, bins).collect()}
+    assert m == {(i, i): pytest.approx(2.0) for i in range(3)}
+    out = {r.bin: r for r in unfold.unfold(cells, bins).collect()}
+    assert [out[i].unfolded for i in range(3)] == pytest.approx([20.0, 40.0, 60.0])
+    assert [out[i].sys_err for i in range(3)] == pytest.approx([2.0, 4.0, 6.0])
+
+
+def test_tolerances_keep_apart(spark):
+    names = unfold.tolerance_variants(spark.createDataFrame([("a",)], "variant string"), (1.5e-3, 2e-3))
+    assert names.select("variant").distinct().count() == 2
