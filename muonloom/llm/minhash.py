@@ -154,7 +154,8 @@ def confirm_blocks(members: DataFrame, full: DataFrame, component: DataFrame) ->
                                       F.max("n").alias("most")).filter("parts > 1")
              .select("hub", "largest", F.ceil((F.col("members") - F.col("most")) / BLOCK).alias("rows"),
                      F.ceil(F.col("members") / AGAINST).alias("columns")))
-    open_ = found.join(lists.hint("merge"), "hub")
+    # written, so that the join has its own exchanges and a hub with many members is split
+    open_ = found.join(cut_lineage(lists).hint("merge"), "hub")
     number = F.xxhash64("node")
     outside = open_.filter("component != largest").select(
         "hub", F.lit(True).alias("outside"), F.pmod(number, F.col("rows")).alias("i"),
