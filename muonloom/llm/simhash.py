@@ -161,6 +161,7 @@ def close_fingerprints(prints: DataFrame, every: int = 50, radius: int = 3) -> D
     asked = prints.filter(F.col("doc_id") % every == 0).select(F.col("fingerprint").alias("code"))
     found = (within_radius(asked, counts, radius).join(counts.hint("merge"), "code")
              .groupBy("query").agg(F.sum("_rows").alias("_n")))
-    joined = prints.join(found.hint("merge"), (F.col("fingerprint") == F.col("query"))
+    # written, so that the join has its own exchanges and a frequent fingerprint is split
+    joined = prints.join(cut_lineage(found).hint("merge"), (F.col("fingerprint") == F.col("query"))
                          & (F.col("doc_id") % every == 0), "left")
     return joined.withColumn("n_close", F.col("_n") - 1).drop("query", "_n")
