@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from muonloom.functions import edges
 from muonloom.operators import geometry, hist, pulses, spectrum, summary, systematics, unfold
+from muonloom.plans.booking import FINE
 from muonloom.plans.hits import CLEAN_SQL
 from muonloom.plans.registry import R, g, query, r
-from muonloom.plans.uncertainty import season_spectra
-from muonloom.plans.spectra import WINDOW
+from muonloom.plans.spectra import WINDOW, selected
+from muonloom.plans.uncertainty import sys_pressure, total_systematics
 from muonloom.plans.views import KEY
 from muonloom.session import cut_lineage
 
@@ -64,41 +65,57 @@ def records(t):
         "qtotal", "qmax", "cogx", "t0")])
 
 
-def measured_spectrum(mc: DataFrame, data: DataFrame, runs: DataFrame, seasons: DataFrame,
+def measured_spectrum(generated: DataFrame, mc: DataFrame, data: DataFrame, livetime: float,
+                      correction: DataFrame, sources: DataFrame, window: spectrum.ZenithWindow,
                       weight: str = "w", edges_: list[float] = LOGE) -> DataFrame:
-    """Simulation and data to the final spectrum, per analysis variant.
+    """Generated, selected simulated and selected measured events to the final spectrum, per variant.
 
-    Response and efficiency from the simulation, unfolding of the data,
-    flux over the generation area and livetime, and the temperature envelope of
-    the seasons as the systematic error besides that of the unfolding.
+    Efficiency with its error from generated and selected simulation, response
+    from the selected, unfolding of the data with both, flux over the
+    generation area and livetime, corrected per bin (bin, correction), with the
+    systematic total of ``sources`` (bin, sys_low, sys_high).  All variants are
+    unfolded in one job.
     """
     true, reco, w = F.col("loge"), F.col("loge_p"), F.col(weight)
-    # binned tables from here on; the scans of mc and data end with them
-    cells = spectrum.response_matrix(mc, reco, true, w, edges_, by=["variant"])
-    seen = hist.hist1d(data, reco, edges_, by=["variant"])
-    eff = cells.groupBy("variant", F.col("cause").alias("bin")).agg(F.max("eff").alias("eff"))
-    bins = seen.join(eff, ["variant", "bin"], "left").select(
-        "variant", "bin", "lo", "hi", F.col("sum_w").alias("data"),
-        F.col("err").alias("data_err"), F.coalesce("eff", F.lit(0.0)).alias("eff"))
+    on = ["variant", "bin"]
+    # binned tables of a few kilobytes from here on, written once: the scans end with them
+    eff = cut_lineage(spectrum.efficiency(
+        hist.hist1d(mc, true, edges_, w, by=["variant"], fill=False),
+        spectrum.n_generated(generated, edges_, w, window, by=["variant"]), on))
+    cells = cut_lineage(spectrum.response_matrix(mc, reco, true, w, edges_, eff, by=["variant"]))
+    seen = cut_lineage(hist.hist1d(data, reco, edges_, by=["variant"]))
+    bins = seen.join(eff.drop("lo", "hi"), on).select(
+        *on, "lo", "hi", F.col("sum_w").alias("data"), F.col("err").alias("data_err"), "eff", "eff_err")
     bins = unfold.with_prior(bins, unfold.prior_column("jeffreys", F.col("lo"), F.col("hi")))
     unfolded = unfold.unfold(cells, bins, degree=3)
-    livetime = summary.exposure(runs).select("duration").scalar()
     lo, hi = edges.edge_at(edges_, F.col("bin")), edges.edge_at(edges_, F.col("bin") + 1)
-    scaled = lambda c: spectrum.flux_from_counts(
-        F.col(c), lo, hi, spectrum.generation_area(lo), WINDOW, livetime)
-    flux = unfolded.select(
-        "variant", "bin", edges.centre(lo, hi).alias("log_energy"),
+    scaled = lambda c: F.coalesce("correction", F.lit(1.0)) * spectrum.flux_from_counts(
+        F.col(c), lo, hi, spectrum.generation_area(lo), window, livetime)
+    flux = unfolded.join(correction.select("bin", "correction"), "bin", "left").select(
+        *on, edges.centre(lo, hi).alias("log_energy"),
         scaled("unfolded").alias("flux"), scaled("stat_err").alias("stat"),
         scaled("sys_err").alias("unfold_sys"))
-    sys = systematics.temperature(seasons, ["s0", "s1", "s2"])
-    per_variant = flux.select("variant", "bin").join(sys, "bin", "left")
-    return systematics.final_spectrum(flux, per_variant, on=["variant", "bin"])
+    per_variant = flux.select(*on).join(sources, "bin", "left")
+    return systematics.final_spectrum(flux, per_variant, on=on)
+
+
+def by_model(events: DataFrame, models=("h4a", "poly")) -> DataFrame:
+    """Events once per flux model, with the variant model|particle; simulated ones with the model's weight."""
+    names = [F.struct(F.lit(m).alias("model"), F.col(f"weight_{m}").alias("w_model")) for m in models]
+    return events.select("*", F.inline(F.array(*names))).withColumn(
+        "variant", F.concat_ws("|", "model", F.col("pdg").cast("string")))
 
 
 @query("measured_spectrum")
 def spectrum_query(t):
-    events = t.evt.filter(WINDOW.holds("zen_p")).withColumn("variant", F.col("pdg").cast("string"))
-    out = measured_spectrum(events.filter("sample = 'mc'"), events.filter("sample = 'data'"),
-                            t.run_dim, season_spectra(t))
+    mc_only = F.col("sample") == "mc"
+    generated = t.evt.filter(mc_only)
+    weights = spectrum.composition_weights(generated, generated, FINE, ("h4a", "poly"))
+    chosen = selected(t)
+    mc = chosen.filter(mc_only).join(weights.select("event_id", "weight_h4a", "weight_poly"), "event_id")
+    data = chosen.filter(~mc_only).withColumns({"weight_h4a": F.lit(1.0), "weight_poly": F.lit(1.0)})
+    livetime = summary.exposure(t.run_dim).select("duration").scalar()
+    out = measured_spectrum(by_model(weights), by_model(mc), by_model(data), livetime, sys_pressure(t),
+                            cut_lineage(total_systematics(t)), WINDOW, "w_model")
     return out.select("variant", "bin", "log_energy",
                       *[g(c).alias(c) for c in ("flux", "stat", "sys_low", "sys_high")])

@@ -180,7 +180,7 @@ def _as_sources() -> str:
 _SOURCE_SQL = _as_sources()
 
 
-def _total(t):
+def total_systematics(t):
     """Quadrature total of composition, area, pressure and temperature per bin."""
     most = [F.max("sys_low").alias("sys_low"), F.max("sys_high").alias("sys_high")]
     parts = {
@@ -198,7 +198,7 @@ def _total(t):
     WITH {_SOURCE_SQL} SELECT bin, {R('sys_low', 9)} AS sys_low, {R('sys_high', 9)} AS sys_high FROM tot
     """, "evt run_dim booked")
 def sys_quadrature(t):
-    return _total(t).select("bin", r("sys_low", 9).alias("sys_low"),
+    return total_systematics(t).select("bin", r("sys_low", 9).alias("sys_low"),
                             r("sys_high", 9).alias("sys_high"))
 
 
@@ -229,7 +229,7 @@ def _flux(t, events):
        "evt run_dim booked")
 def final_spectrum(t):
     flux = _flux(t, seen(t)).withColumn("unfold_sys", 0.03 * F.col("flux"))
-    s = systematics.final_spectrum(flux, _total(t))
+    s = systematics.final_spectrum(flux, total_systematics(t))
     return s.select("bin", r("log_energy").alias("log_energy"),
                     *[g(c).alias(c) for c in ("flux", "stat", "sys_low", "sys_high")])
 
