@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 from muonloom.llm.common import as_bytes, map_rows
 
 #: The first so many words and pre-tokens of at most CACHED_CHARS characters are remembered per worker.
-CACHED_CHARS, CACHED_WORDS, CACHED_PIECES = 40, 400_000, 1_000_000
+CACHED_CHARS, CACHED_WORDS, CACHED_PIECES = 40, 300_000, 800_000
 
 
 def read_ranks(path: str) -> list[tuple[bytes, int]]:

@@ -24,11 +24,11 @@ BEGINNINGS = (3, 4, 5, 6, 7)
 #: What is stripped from a word before it is looked at.
 MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~0123456789"
 #: Labelled documents that the chain is fitted on, at most; the first by a hash of their id.
-FIT_DOCUMENTS = 6_000
+FIT_DOCUMENTS = 4_000
 #: A document is toxic from this probability on.
 TOXIC = 0.3
 #: A word's features are remembered, for so many words per task.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 200_000
 
 
 def columns_of(word: bytes) -> list[int]:
