@@ -50,6 +50,13 @@ def _header(r):
     return _named(r, r.choice(["header", "header", "div"]), 1, inside)
 
 
+def _plain_links(r):
+    """Links in an element that does not say what it is."""
+    inside = r.choice([f"<ul>{_links(r, r.randint(2, 7))}</ul>",
+                       " ".join(f'<a href="/{i}">{_label(r)}</a>' for i in range(r.randint(2, 6)))])
+    return f'<div class="z{r.randint(1, 99)}">{inside}</div>'
+
+
 def _footer(r):
     inside = r.choice(["&copy; 2021 ", "Copyright &middot; ", ""]) + _prose(r, 2)
     inside = r.choice([inside, f"<p>{inside}</p>", f"<p>{inside}</p><ul>{_links(r, 4)}</ul>"])
@@ -123,18 +130,26 @@ def _page(r: random.Random) -> str:
             parts.append(r.choice(within)(r))
     inside = "".join(parts)
     tag = r.choice(["article", "article", "article", "main", "div", "div", "section", "td"])
-    if tag in ("article", "main") and r.random() < 0.6:
+    if r.random() < 0.2:  # nothing says where the article is
+        tag = r.choice(["div", "div", "section", "td", "body"])
+        name = r.choice(["", f' class="c{r.randint(1, 99)}"', ' class="left"', ' id="a1"'])
+        body = inside if tag == "body" else f"<{tag}{name}>{inside}</{tag}>"
+    elif tag in ("article", "main") and r.random() < 0.6:
         body = f"<{tag}>{inside}</{tag}>"
     else:
         body = _named(r, tag, 10, inside, 0.5)
     if tag == "td":
-        body = f"<table><tr>{body}<td class=\"sidebar\">{_side(r)}</td></tr></table>"
+        left = r.choice(["", f"<td>{_plain_links(r)}</td>", "<td>" + "<br>".join(
+            f'<a href="/{i}">{_label(r)}</a>' for i in range(r.randint(2, 6))) + "</td>"])
+        right = r.choice(["", f'<td class="sidebar">{_side(r)}</td>'])
+        body = f"<table><tr>{left}{body}{right}</tr></table>"
     if r.random() < 0.3:
         body = f"<div class=\"{r.choice(['wrap', 'container', 'content', 'row', 'x1'])}\">{body}{r.choice(['', _side(r)])}</div>"
     pick = lambda chance, part: part(r) if r.random() < chance else ""
     after = [pick(0.35, _comments), pick(0.25, _side), pick(0.15, _form), pick(0.15, _share), pick(0.15, _advert)]
     r.shuffle(after)
-    before = [pick(0.45, _header), pick(0.75, _menu), pick(0.25, _notice), pick(0.4, _advert), pick(0.15, _form),
+    after.append(pick(0.2, _plain_links))
+    before = [pick(0.2, _plain_links), pick(0.45, _header), pick(0.75, _menu), pick(0.25, _notice), pick(0.4, _advert), pick(0.15, _form),
               pick(0.15, _side)]
     head = f"<head><title>{_sentence(r)}</title><script>var a = '<p>';</script></head>"
     return (f"<!DOCTYPE html><html>{head}<body>{''.join(before)}{body}{''.join(after)}{pick(0.8, _footer)}"
