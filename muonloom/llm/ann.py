@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from muonloom.llm.common import arrow_schema
+from muonloom.llm.common import arrow_schema, hash_sample
 from muonloom.session import cut_lineage
 
 #: Bits of a code are this multiple of the dimensions, rounded up to bytes.
@@ -66,7 +66,7 @@ def index(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
     rows = cut_lineage(rows.select("vec_id", F.size("embedding").alias("dims"),
                                    F.col("embedding").cast("array<double>").alias("v")))
     n = rows.count()
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE)
+    sample = hash_sample(rows, "vec_id", SAMPLE)
     sums = sample.select("dims", F.posexplode("v").alias("at", "x")).groupBy("dims", "at").agg(F.avg("x").alias("x"))
     centres = sums.groupBy("dims").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))),
                                                    lambda s: s["x"]).alias("centre"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from muonloom.llm import labelled_pages
-from muonloom.llm.common import arrow_schema
+from muonloom.llm.common import arrow_schema, hash_sample
 from muonloom.llm.dom import N_FEATURES, N_LINKS, Forest, Page, parse
 
 #: Pages of the table that the model is fitted on besides generated ones, at most: the first by a hash of their id.
@@ -111,8 +111,7 @@ def main_texts(pages: list[Page], model: Model) -> list[str]:
 
 def fitted(pages: DataFrame, limit: int = FIT_PAGES) -> Model:
     """A model from generated labelled pages and at most ``limit`` pages of the table, labelled by their markup."""
-    sample = (pages.select("page_id", "html").filter("html IS NOT NULL").orderBy(F.xxhash64("page_id"), "page_id")
-              .limit(limit).collect())
+    sample = hash_sample(pages.select("page_id", "html").filter("html IS NOT NULL"), "page_id", limit).collect()
     known = labelled_pages.generated()
     known += [x for x in (labelled_pages.by_markup(parse(r["html"])) for r in sample) if x]
     return fit([p for p, _ in known], [c for _, c in known])

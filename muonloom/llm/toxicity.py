@@ -15,7 +15,8 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from muonloom.llm.common import as_bytes, map_rows, words_of
+from muonloom.llm.common import as_bytes, hash_sample, map_rows, words_of
+from muonloom.session import cut_lineage
 
 #: Features of a word are hashed to so many columns.
 COLUMNS = 1 << 18
@@ -185,7 +186,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, names: list[str], limit:
     """
     marks = (labels.select("doc_id", *[F.col(n).cast("int").alias(n) for n in names]).dropna().distinct())
     marks = marks.groupBy("doc_id").agg(F.count("*").alias("_n"), *[F.min(n).alias(n) for n in names])
-    marks = (marks.filter("_n = 1").drop("_n").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit))
+    marks = hash_sample(cut_lineage(marks.filter("_n = 1").drop("_n")), "doc_id", limit)
     texts = docs.select("doc_id", as_bytes("text").alias("text"))
     rows = texts.join(marks, "doc_id").select("doc_id", "text", *names)
 
