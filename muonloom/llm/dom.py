@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from html import unescape
 
@@ -16,9 +17,12 @@ NAMED = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 # fixed values: kinds of elements
-#: Elements whose content is never text of the page.
-HIDDEN = frozenset("script style title textarea noscript template iframe svg math object select button canvas "
-                   "audio video".split())
+#: Elements whose content is never text of the page: raw text up to the end tag, and markup.
+RAW = frozenset("script style title textarea iframe".split())
+HIDDEN = frozenset("noscript template svg object select button canvas audio video".split())
+#: Hidden elements that a start tag of the same name ends.
+SINGLE = frozenset("select button".split())
+HIDDEN_START = re.compile(rf"<(?:{'|'.join(sorted(HIDDEN))})[\s/>]", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset "
                    "figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav "
@@ -92,12 +96,63 @@ def hints_of(attrs: str) -> tuple[int, ...]:
     return tuple(sorted(found))
 
 
+def after_raw(html: str, tag: str, at: int) -> int:
+    """Where the raw text of an element ends whose start tag ends at ``at``; without an end tag, with the page."""
+    stop = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(html, at)
+    close_at = html.find(">", stop.start()) if stop else -1
+    return close_at + 1 if close_at >= 0 else len(html)
+
+
+def hidden_ends(html: str) -> dict[int, int]:
+    """Where the hidden elements end that have an end tag inside their parent block, by where they start."""
+    ends: dict[int, int] = {}
+    open_: list[tuple[str, int]] = []  # open blocks and hidden elements
+    depth: Counter[str] = Counter()  # how many of each are open
+
+    def close(tag: str) -> int:
+        while True:
+            name, start = open_.pop()
+            depth[name] -= 1
+            if name == tag:
+                return start
+
+    first = HIDDEN_START.search(html)
+    at, n = 0 if first else len(html), len(html)
+    while at < n and (m := TOKEN.search(html, at)):
+        at = m.end()
+        tag = (m["tag"] or m["tag2"] or "").lower()
+        if m["end"] or m["end2"]:
+            if depth[tag]:
+                start = close(tag)
+                if tag in HIDDEN:
+                    ends[start] = at
+            continue
+        # a slash ends an element in svg only
+        empty = (tag == "svg" or depth["svg"] > 0) and (m["attrs"] or m["attrs2"] or "").endswith("/")
+        if empty or tag == "hr":
+            continue
+        if tag in RAW:
+            at = after_raw(html, tag, at)
+        elif tag in HIDDEN or tag in BLOCKS:
+            if tag in SINGLE and depth[tag]:
+                open_.pop(max(i for i, (name, _) in enumerate(open_) if name == tag))
+                depth[tag] -= 1
+            open_.append((tag, m.start()))
+            depth[tag] += 1
+    return ends
+
+
 def parse(html: str) -> Page:
-    """The tree of a page; broken markup closes what it can, unknown end tags are ignored."""
+    """The tree of a page; broken markup closes what it can, unknown end tags are ignored.
+
+    A hidden element without an end tag in its parent block hides what stands
+    before the next block-level tag.
+    """
     page = Page()
     open_ = [0]  # open block elements, by node
     run: list[str] = []
     in_link = linked = 0
+    ends, muted = hidden_ends(html), ""  # muted: an open hidden element without an end tag
 
     def flush() -> None:
         nonlocal linked
@@ -121,7 +176,7 @@ def parse(html: str) -> Page:
     while at < n:
         m = TOKEN.search(html, at)
         end = m.start() if m else n
-        if end > at:
+        if end > at and not muted:
             piece = unescape(html[at:end])
             run.append(piece)
             if in_link:
@@ -133,6 +188,9 @@ def parse(html: str) -> Page:
         if not tag:
             continue
         tag = tag.lower()
+        attrs = m["attrs"] or m["attrs2"] or ""
+        if tag in BLOCKS:
+            muted = ""
         if m["end"] or m["end2"]:
             if tag == "a":
                 in_link = 0
@@ -145,10 +203,16 @@ def parse(html: str) -> Page:
             elif tag == "br":
                 run.append(" ")
             continue
+        if (tag == "svg" or muted == "svg") and attrs.endswith("/"):
+            continue
+        if tag in RAW:
+            at = after_raw(html, tag, at)
+            continue
         if tag in HIDDEN:
-            stop = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(html, at)
-            close_at = html.find(">", stop.start()) if stop else -1
-            at = close_at + 1 if close_at >= 0 else n
+            if m.start() in ends:
+                at = ends[m.start()]
+            else:
+                muted = tag
             continue
         if tag == "a":
             in_link = 1
@@ -162,7 +226,7 @@ def parse(html: str) -> Page:
                 close(*CLOSES[tag])
             in_link = 0
             if tag != "html":
-                open_.append(page.add(open_[-1], tag, hints_of(m["attrs"] or m["attrs2"] or "")))
+                open_.append(page.add(open_[-1], tag, hints_of(attrs)))
         elif tag in VOID or tag == "br":
             run.append(" " if tag in ("br", "img", "wbr", "input") and tag != "wbr" else "")
     flush()

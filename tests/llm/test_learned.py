@@ -38,6 +38,39 @@ def test_marginals_are_exact():
     assert np.allclose(extract.marginals(forest, model)[0], on / total)
 
 
+BODY = "<p>It was a long day, and nobody spoke a word.</p><p>Later they all went home again.</p>"
+
+
+@pytest.mark.parametrize("open_", [
+    '<svg class="i"/>', "<svg/>", "<math/>", "<svg><use href='#i'/><title/></svg>", "<button>", "<select><option>x",
+    "<object>", "<audio>", "<video>", "<canvas>", "<noscript>", "<template>", "<svg><path d='M0 0'>"])
+def test_open_or_empty_elements_hide_no_blocks(open_):
+    tag = open_[1:].split("<")[0].split(">")[0].split()[0].rstrip("/")
+    whole = ["T", "It was a long day, and nobody spoke a word.", "Later they all went home again."]
+    for html in (f"<article><h1>T</h1>{open_}{BODY}</article>",
+                 f"<body><div>{open_}</div><article><h1>T</h1>{BODY}</article><div><{tag}></{tag}></div></body>",
+                 f"<article><h1>T</h1>{open_}{BODY}<{tag}></{tag}></article>"):
+        assert [t for t in parse(html).text if t] == whole, html
+
+
+def test_closed_elements_hide_their_blocks():
+    for inner in ("<button><div>no</div></button>", "<template><ul><li>no<li>no</ul><template>no</template>no</template>",
+                  "<svg><title>no</title><svg>no</svg><text>no</text></svg>", "<noscript><p>no</p></noscript>",
+                  "<object><p>no<script>'</object>'</script></object>", "<select><option>no</select>"):
+        assert [t for t in parse(f"<div>a{inner}b<p>c</p></div>").text if t] == ["ab", "c"], inner
+
+
+def test_text_of_math_is_kept(model):
+    html = f"<article><h1>A long day</h1>{BODY}<p>The sum is <math><mi>x</mi><mo>+</mo><mn>1</mn></math> today.</p></article>"
+    assert "The sum is x+1 today." in text_of(model, html)
+
+
+def test_article_after_empty_svg_and_open_button(model):
+    for html in (f'<body>{CHROME}<article><h1>A long day</h1><svg class="i"/>{BODY}</article></body>',
+                 f"<body>{CHROME}<div><button>Share</div><article><h1>A long day</h1>{BODY}</article></body>"):
+        assert "Later they all went home again." in text_of(model, html)
+
+
 def test_held_out_pages(model):
     right = wrong = 0
     for page, labels in labelled_pages.generated(200, seed=77):
