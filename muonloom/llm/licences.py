@@ -6,8 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from muonloom.llm.known_licences import LICENCES, NOTICES, SPELLINGS
 
+#: What follows "copyright" in prose, where a wrapped line may begin with it: nothing, or no name of an owner.
+PROSE = (r"[,;.]?[ \t\r]*$|[\p{L}-]|[,;.]?[ \t]+(?:notices?|holders?|owners?|laws?|licen[sc]es?|interests?|patents?"
+         r"|trademarks?|permissions?|statements?|disclaimers?|rights?|protection|claims?|grants?|infringements?|and|or|in"
+         r"|on|under|that|which)(?![\p{L}\p{N}])")
 #: A line that only says whose copyright it is.
-COPYRIGHT_LINE = r"(?m)^[ \t]*(portions )?(copyright|\(c\)|©)[^\n]*$"
+COPYRIGHT_LINE = rf"(?m)^[ \t]*(portions )?(copyright(?!{PROSE})|\(c\)|©)[^\n]*$"
 RESERVED_LINE = r"(?m)^[ \t]*all rights reserved[^\w\n]*$"
 
 

@@ -1,12 +1,13 @@
 """Mixing and licences: hand-made cases; whole tables are compared with SQL in test_queries."""
 
+import textwrap
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from muonloom.llm import licences, mixing
-from muonloom.llm.known_licences import LICENCES, MIT
+from muonloom.llm.known_licences import ISC, LICENCES, MIT
 
 
 def sources(spark, rows):
@@ -80,6 +81,23 @@ def test_licences_whatever_their_dress(spark):
         (100 + i, a) for i, (a, _) in enumerate(LICENCES)]
 
 
+def test_licences_at_every_width(spark):
+    owners = ["Copyright (c) 2020 A. Person", "Copyright 2019-2021 The Authors. All rights reserved.", "(c) 2020 Firm",
+              "Copyright Some Firm, Inc. and other contributors", "Copyright by A. Person", "© A. Person"]
+    rows = []
+    for licence, text in LICENCES:
+        for width in (1, 12, 20, 30, 40, 50, 57, 60, 66, 72, 76, 80, 100, 1000):
+            body = "\n\n".join(textwrap.fill(p, width, break_long_words=False, break_on_hyphens=False)
+                               for p in text.split("\n\n"))
+            rows.append((len(rows), owners[len(rows) % len(owners)] + "\n\n" + body, licence))
+    rows.append((len(rows), "Copyright (c) 2020 A. Person\n\n" + ISC.replace(
+        "above copyright notice and this", "above\ncopyright notice and this"), "ISC"))
+    assert any(line.lower().startswith("copyright") for _, text, _ in rows for line in text.split("\n")[1:])
+    df = spark.createDataFrame(rows, "doc_id long, text string, want string")
+    got = {r.doc_id: r.licence for r in licences.scan(df).collect()}
+    assert [(i, got[i], w) for i, _, w in rows if got[i] != w] == []
+
+
 def test_licences_of_edge_rows(edge, nothing):
     assert licences.scan(edge).count() == edge.count() and licences.scan(nothing).count() == 0
 
