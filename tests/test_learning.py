@@ -4,10 +4,12 @@ import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from muonloom.operators import ml, ranking
 from muonloom.plans import learning
 from muonloom.plans.views import KEY, Tables
 from muonloom.sources import sinks
+from tools.check_queries import canonical, connect
 
 FOLDER = "/root/testdata/sf0.001"
 S = ml.ForestSettings(trees=8, depth=6, min_leaf=5, bins=32)
@@ -71,6 +73,31 @@ def test_cross_half_and_ensemble(signal):
     assert all(v == pytest.approx((a[k] + b[k]) / 2) for k, v in mean.items())
 
 
+@pytest.mark.parametrize("name", ["rf_core", "rf_core_y", "rf_zenith", "rf_energy", "ensemble_mean"])
+def test_forest_queries_score_every_event(spark, name):
+    t = Tables(spark, FOLDER)
+    events = learning.vectors(t) if name == "ensemble_mean" else t.booked
+    want = {r.event_id: r.n for r in events.groupBy("event_id").agg(F.count("*").alias("n")).collect()}
+    scored = entry.queries()[name](spark, FOLDER)
+    got = scored.groupBy("event_id").agg(F.count("*").alias("n"), F.min("in_range").alias("ok")).collect()
+    assert {r.event_id: r.n for r in got} == want and all(r.ok for r in got)
+    # the rows that the SQL gives, and those of the other folds
+    sql = canonical((c := connect(FOLDER).execute(entry.oracle_sql()[name])).fetchall(), [d[0] for d in c.description])
+    assert set(sql) <= set(canonical([tuple(r) for r in scored.collect()], scored.columns))
+
+
+def test_cross_fitting_trains_on_the_other_folds(signal):
+    calls = []
+
+    def one(others, fold):
+        calls.append(([r.fold for r in others.select("fold").distinct().orderBy("fold").collect()],
+                      [r.fold for r in fold.select("fold").distinct().collect()]))
+        return fold
+
+    assert learning.cross_fitted(signal, one).count() == signal.count()
+    assert calls == [([1, 2], [0]), ([0, 2], [1]), ([0, 1], [2])]
+
+
 def test_cv_picks_the_lowest_rmse_and_weights_matter(signal):
     model, rmse = ml.train_cv(signal, S, {"maxDepth": [1, 6]}, fold_col="fold")
     assert rmse[1] < rmse[0] and model.stages[-1].getOrDefault("maxDepth") == 6
