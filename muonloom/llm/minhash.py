@@ -30,8 +30,8 @@ from muonloom.session import cut_lineage
 
 WORDS = 5
 #: Coordinates of a signature, and collisions from which a pair is checked.  A pair of similarity
-#: 0.75 has fewer with probability below 1e-5, one of 0.8 below 1e-9.
-COORDINATES, MATCHES = 96, 54
+#: 0.75 has fewer with probability below 1.1e-6, one of 0.8 below 1e-9.
+COORDINATES, MATCHES = 96, 51
 #: Percentage of the union that two sets must share to be linked.
 SIMILAR = 75
 #: Members of a block on either side in step 4.

@@ -2,6 +2,7 @@
 
 import random
 from collections import Counter
+from math import comb
 
 import numpy as np
 import pytest
@@ -9,6 +10,22 @@ import pytest
 from muonloom.llm import ann, components, minhash
 
 
+def test_few_pairs_miss_the_collisions():
+    """The stated chance that a pair of a similarity has fewer collisions than are checked."""
+    n = minhash.COORDINATES
+    for similarity, bound in ((0.75, 1.1e-6), (0.8, 1e-9)):
+        assert sum(comb(n, i) * similarity ** i * (1 - similarity) ** (n - i) for i in range(minhash.MATCHES)) < bound
+
+
+def test_pairs_with_51_collisions_are_checked(spark):
+    whole = np.arange(40, dtype=np.uint64)
+    rows = [(node, [at if at < 51 else 1000 * node + at for at in range(minhash.COORDINATES)], bytearray(whole.tobytes()))
+            for node in (1, 2)]
+    full = spark.createDataFrame(rows, "node long, sig array<int>, set binary")
+    members = minhash.hub_members(full)
+    assert [tuple(r) for r in minhash.confirm_hubs(members, full).collect()] == [(2, 1)]
+
+
 def plain_components(rows):
     """(id, shingles, smallest id reachable) of every row; rows are (id, text)."""
     sets = []
