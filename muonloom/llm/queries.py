@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from muonloom.llm import ann, bpe, extract, licences, lines, minhash, mixing, ngram, simhash, toxicity
+from muonloom.llm import ann, bpe, divergence, extract, licences, lines, minhash, mixing, ngram, simhash, toxicity
 from muonloom.llm.common import table
 from muonloom.llm.known_licences import LICENCES, NOTICES, SPELLINGS
 
@@ -192,3 +192,39 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_lm_score")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return ngram.score(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+DIVERGENCE_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+w AS (SELECT doc, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS lang_n FROM w GROUP BY 1, 2 HAVING count(DISTINCT doc) >= 10),
+v AS (SELECT lang, count(*) AS terms, sum(lang_n) AS lang_total FROM k GROUP BY lang),
+c AS (SELECT w.lang, w.source, w.term, count(*) AS n FROM w JOIN k ON k.lang = w.lang AND k.term = w.term GROUP BY 1, 2, 3),
+t AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY 1, 2),
+g AS (SELECT x.lang, x.source, coalesce(t.total, 0) AS total FROM (SELECT DISTINCT lang, source FROM d) x
+      LEFT JOIN t ON t.lang = x.lang AND t.source = x.source),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+    1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (g.total + 2 * v.terms)::HUGEINT AS p,
+    1 + (1000000000::HUGEINT * (k.lang_n + 2)) // (v.lang_total + 2 * v.terms)::HUGEINT AS q
+  FROM g JOIN k ON k.lang = g.lang JOIN v ON v.lang = g.lang
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+s AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY 1, 2, 3),
+r AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+  FROM g a JOIN g b ON b.lang = a.lang AND b.source <> a.source
+  LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p WHERE n > 0 AND p > q),
+z AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM z WHERE part = 'pair' OR rank <= 10
+"""
+
+
+@query("op12_divergence", DIVERGENCE_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.divergences(table(spark, folder, "documents"))
