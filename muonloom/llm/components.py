@@ -33,8 +33,8 @@ def components(links: DataFrame) -> DataFrame:
         drop_table(edges)
         drop_table(stars)
         edges = after
-        # sums of hashes modulo 2^64 tell whether the set of links has changed
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
+        # the count and the whole sum of 64-bit hashes tell whether the set of links has changed
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if now == state:
             break
         state = now

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from muonloom.llm import ann, bpe, divergence, extract, licences, lines, minhash, mixing, ngram, simhash, toxicity
+from muonloom.llm import ann, bpe, divergence, epsilon, extract, licences, lines, minhash, mixing, ngram, simhash, toxicity
 from muonloom.llm.common import table
 from muonloom.llm.known_licences import LICENCES, NOTICES, SPELLINGS
 
@@ -228,3 +228,25 @@ SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank F
 @query("op12_divergence", DIVERGENCE_SQL)
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return divergence.divergences(table(spark, folder, "documents"))
+
+
+VECTORS_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.95),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a AS vec_id, min(b) AS other FROM r GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
+SELECT x.vec_id, coalesce(n.n, 0) AS n_links, least(x.vec_id, coalesce(c.other, x.vec_id)) AS component_id,
+  x.vec_id = least(x.vec_id, coalesce(c.other, x.vec_id)) AS kept
+FROM embeddings x LEFT JOIN n ON n.vec_id = x.vec_id LEFT JOIN c ON c.vec_id = x.vec_id
+"""
+
+
+@query("op11_near_vectors", VECTORS_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return epsilon.near_vectors(table(spark, folder, "embeddings"))
