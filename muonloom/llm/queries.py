@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from muonloom.llm import ann, bpe, divergence, epsilon, extract, licences, lines, minhash, mixing, ngram, simhash, toxicity
+from muonloom.llm import (ann, bpe, divergence, epsilon, extract, licences, lines, minhash, mixing, ngram, prefixes,
+                          simhash, toxicity)
 from muonloom.llm.common import table
 from muonloom.llm.known_licences import LICENCES, NOTICES, SPELLINGS
 
@@ -250,3 +251,8 @@ FROM embeddings x LEFT JOIN n ON n.vec_id = x.vec_id LEFT JOIN c ON c.vec_id = x
 @query("op11_near_vectors", VECTORS_SQL)
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     return epsilon.near_vectors(table(spark, folder, "embeddings"))
+
+
+@query("op13_prefix_trie")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return prefixes.prefix_trie(table(spark, folder, "conversations"))
