@@ -34,7 +34,7 @@ TOP_TERMS = 10
 #: Terms of a shard, and sources on either side of it.
 SHARD, BLOCK = 4096, 128
 #: Bytes of text tokenized at once, and partial rows a task holds before it lets them go.
-BATCH_BYTES, HOLD_ROWS = 8 << 20, 400_000
+BATCH_BYTES, HOLD_ROWS = 8 << 20, 200_000
 
 _PART = "lang string, source string, term string, n long, docs long"
 
@@ -166,10 +166,11 @@ def source_pairs(found: DataFrame, groups: DataFrame) -> DataFrame:
         counts[pc.index_in(entry["source"], value_set=sources).to_numpy(), code.indices.to_numpy()] = entry["n"].to_numpy()
         terms = tile["terms"][0].as_py()
         p = _shares(counts, total[:, None], terms)
-        low, high = np.flatnonzero(block == tile["i"][0].as_py()), np.flatnonzero(block == tile["j"][0].as_py())
+        i, j = tile["i"][0].as_py(), tile["j"][0].as_py()
+        low, high = np.flatnonzero(block == i), np.flatnonzero(block == j)  # a block may be without sources
         left, right, value = [], [], []
         for a in low:
-            b = high[high > a] if block[low[0]] == block[high[0]] else high
+            b = high[high > a] if i == j else high
             d = p[b] - p[a]
             left.append(np.full(len(b), a))
             right.append(b)
