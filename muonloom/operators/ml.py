@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -267,6 +271,121 @@ def permutation_importance(model: PipelineModel, held_out: DataFrame, keys: Sequ
     return drop.select("position", F.coalesce(share, F.lit(0.0)).alias("value"))
 
 
+def donors(block: DataFrame, keys: Sequence[str], columns: Sequence[str], order_a: Sequence[Column],
+           order_b: Sequence[Column], fold: str = "fold") -> DataFrame:
+    """Give every row ``columns`` and keys of a donor row of its own fold, as ``<name>_perm``.
+
+    Both orders begin with the fold, so equal global ranks lie in the same fold
+    at the same place: one exact permutation per fold without a window per fold.
+    """
+    f = F.col(fold)
+    return permute(block, [*columns, *keys], [f, *order_a], [f, *order_b])
+
+
+def fold_importance(models: Sequence[PipelineModel], block: DataFrame, keys: Sequence[str], n_features: int,
+                    order_a: Sequence[Column] | None = None, order_b: Sequence[Column] | None = None,
+                    fold: str = "fold") -> DataFrame:
+    """(fold, position, value): permutation importance of every fold for the model that did not see it.
+
+    Value is the drop in R2 when the feature comes from a donor row, cut at 0
+    and normalised per fold.  Rows are exploded over the features once and all
+    folds meet in one aggregate by (fold, position).
+    """
+    a = order_a or [shuffle_key(keys, 1), *[F.col(k) for k in keys]]
+    b = order_b or [shuffle_key(keys, 2), *[F.col(k) for k in keys]]
+    base = block.select(*keys, fold, "label", vector_to_array("features").alias("x"))
+    j = F.col("position")
+    swapped = F.when(j < 0, F.col("x")).otherwise(
+        F.transform("x", lambda v, i: F.when(i == j, F.get(F.col("x_perm"), i)).otherwise(v)))
+    rows = donors(base, keys, ["x"], a, b, fold).withColumn(
+        "position", F.explode(F.sequence(F.lit(-1), F.lit(n_features - 1)))
+    ).select(fold, "position", "label", array_to_vector(swapped).alias("features"))
+    scored = None
+    for k, model in enumerate(models):
+        part = model.transform(rows.filter(F.col(fold) == k)).select(fold, "position", "label", "prediction")
+        scored = part if scored is None else scored.unionByName(part)
+    scores = metrics(scored, "label", "prediction", by=[fold, "position"])
+    whole = Window.partitionBy(fold)  # n_features + 1 rows of a fold
+    base_r2 = F.max(F.when(j < 0, F.col("r2"))).over(whole)
+    drop = scores.withColumn("value", F.greatest(base_r2 - F.col("r2"), F.lit(0.0))).filter(j >= 0)
+    share = ratio(F.col("value"), F.sum("value").over(whole))
+    return drop.select(fold, "position", F.coalesce(share, F.lit(0.0)).alias("value"))
+
+
+#: How often a row is drawn into a bag: Poisson with mean 1, up to this many times.
+MOST_DRAWS = 8
+POISSON = [sum(math.exp(-1.0) / math.factorial(i) for i in range(n + 1)) for n in range(MOST_DRAWS)]
+
+
+def bag_weight(keys: Sequence[str], tree: int | Column, seed: int = 0) -> Column:
+    """How often a row is in the bag of a tree: a Poisson draw from a digest of seed, tree and key.
+
+    The draw depends on nothing else, so a bag is the same in every rerun and
+    no list of drawn rows is kept.
+    """
+    number = F.lit(tree) if isinstance(tree, int) else tree
+    name = F.concat_ws("|", F.lit(f"bag-{seed}"), number.cast("string"), *[F.col(k).cast("string") for k in keys])
+    u = F.conv(F.substring(F.md5(name.cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
+    out = F.lit(MOST_DRAWS)
+    for n in reversed(range(MOST_DRAWS)):
+        out = F.when(u < POISSON[n], F.lit(n)).otherwise(out)
+    return out.cast("double")
+
+
+def fit_bags(block: DataFrame, s: ForestSettings, keys: Sequence[str], weighted: bool = False,
+             parallelism: int = 3) -> list[PipelineModel]:
+    """One tree per bag, trained on the rows drawn into it, each as often as it was drawn.
+
+    A third of the features is tried at each split.  Trees are independent jobs
+    over the staged block; ``parallelism`` of them run at once.
+    """
+
+    def one(tree: int) -> PipelineModel:
+        w = bag_weight(keys, tree, s.seed) * (F.col("weight") if weighted else F.lit(1.0))
+        drawn = block.withColumn("weight", w).filter("weight > 0")
+        single = forest(replace(s, trees=1, seed=s.seed + tree), True)
+        return Pipeline(stages=[single.setBootstrap(False).setFeatureSubsetStrategy("onethird")]).fit(drawn)
+
+    with ThreadPool(parallelism) as pool:
+        return pool.map(inheritable_thread_target(block.sparkSession)(one), range(s.trees))
+
+
+def out_of_bag(block: DataFrame, models: Sequence[PipelineModel], keys: Sequence[str], seed: int,
+               at_once: int = 50) -> DataFrame:
+    """keys, label, n_bag (draws into all bags), n_oob (trees that never saw the row), prediction (their mean).
+
+    The prediction is NULL for a row in every bag.  Trees score rows side by
+    side, ``at_once`` per pass; one aggregate by row joins the passes.
+    """
+    parts = []
+    for start in range(0, len(models), at_once):
+        out, unseen, bag = block, [], F.lit(0.0)
+        for i, model in enumerate(models[start:start + at_once]):
+            out = model.transform(out).withColumnRenamed("prediction", f"_p{i}")
+            drawn = bag_weight(keys, start + i, seed)
+            bag = bag + drawn
+            unseen.append(F.when(drawn == 0, F.col(f"_p{i}")))
+        left = F.filter(F.array(*unseen), lambda p: p.isNotNull())
+        parts.append(out.select(*keys, "label", bag.alias("n_bag"), F.size(left).alias("n_oob"),
+                                F.aggregate(left, F.lit(0.0), lambda a, p: a + p).alias("_sum")))
+    rows = functools.reduce(DataFrame.unionByName, parts)
+    if len(parts) > 1:
+        rows = rows.groupBy(*keys, "label").agg(*[F.sum(c).alias(c) for c in ("n_bag", "n_oob", "_sum")])
+    return rows.select(*keys, "label", F.col("n_bag").cast("long").alias("n_bag"), F.col("n_oob").cast("long").alias("n_oob"),
+                       ratio(F.col("_sum"), F.col("n_oob")).alias("prediction"))
+
+
+def mean_baseline(block: DataFrame, fold: str = "fold") -> DataFrame:
+    """(fold, n, mean_rmse): error of predicting each fold by the mean label of the other folds."""
+    f = block.groupBy(fold).agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("_s"),
+                                F.sum(F.col("label") * F.col("label")).alias("_q"))
+    whole = Window.partitionBy(F.lit(0))  # one row per fold
+    mean = ratio(F.sum("_s").over(whole) - F.col("_s"), F.sum("n").over(whole) - F.col("n"))
+    f = f.withColumn("_m", mean)
+    square = (F.col("_q") - 2 * F.col("_m") * F.col("_s")) / F.col("n") + F.col("_m") * F.col("_m")
+    return f.select(fold, "n", F.sqrt(F.greatest(square, F.lit(0.0))).alias("mean_rmse"))
+
+
 def evaluate(scored: DataFrame, label: str = "label", prediction: str = "prediction",
              by: Sequence[str] = ()) -> DataFrame:
     return metrics(scored, label, prediction, by)

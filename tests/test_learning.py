@@ -81,9 +81,58 @@ def test_forest_queries_score_every_event(spark, name):
     scored = entry.queries()[name](spark, FOLDER)
     got = scored.groupBy("event_id").agg(F.count("*").alias("n"), F.min("in_range").alias("ok")).collect()
     assert {r.event_id: r.n for r in got} == want and all(r.ok for r in got)
-    # the rows that the SQL gives, and those of the other folds
     sql = canonical((c := connect(FOLDER).execute(entry.oracle_sql()[name])).fetchall(), [d[0] for d in c.description])
-    assert set(sql) <= set(canonical([tuple(r) for r in scored.collect()], scored.columns))
+    assert sql == canonical([tuple(r) for r in scored.collect()], scored.columns)
+
+
+def test_energy_forest_needs_training_rows(spark):
+    with pytest.raises(ValueError, match="training mask"):
+        learning.rf_energy(Tables(spark, FOLDER), mask=F.lit(False))
+
+
+def test_out_of_bag_beats_the_mean_and_uses_unseen_trees_only(signal):
+    block = ml.staged(signal)
+    settings = ml.ForestSettings(trees=8, depth=5, min_leaf=5, bins=32)
+    models = ml.fit_bags(block, settings, KEY)
+    scored = ml.out_of_bag(block, models, KEY, settings.seed)
+    rows = scored.collect()
+    few = ml.out_of_bag(block, models, KEY, settings.seed, at_once=3).collect()
+    same = lambda rs: sorted((r.event_id, r.n_bag, r.n_oob, round(r.prediction or 0, 9)) for r in rs)
+    assert same(rows) == same(few) and len(rows) == signal.count()
+    share = sum(r.n_oob for r in rows) / (8 * len(rows))
+    assert abs(share - 0.368) < 0.05 and abs(sum(r.n_bag for r in rows) / (8 * len(rows)) - 1) < 0.1
+    assert all((r.prediction is None) == (r.n_oob == 0) for r in rows)
+    assert ml.evaluate(scored.filter("prediction IS NOT NULL")).first().r2 > 0.5
+    # a row's prediction is the mean of the trees whose bag lacks it
+    one = next(r for r in rows if 0 < r.n_oob < 8)
+    each = [m.transform(signal.filter(F.col("event_id") == one.event_id)).select(
+        "prediction", ml.bag_weight(KEY, k, settings.seed).alias("w")).first() for k, m in enumerate(models)]
+    left = [p for p, w in each if w == 0]
+    assert one.prediction == pytest.approx(sum(left) / len(left)) and one.n_oob == len(left)
+
+
+def test_importance_uses_every_fold_and_donors_of_the_same_fold(signal):
+    block = ml.staged(signal)
+    values = ml.fold_importance(ml.fit_folds(block, S), block, KEY, 3)
+    found = {(r.fold, r.position): r.value for r in values.collect()}
+    folds = {r.fold for r in signal.select("fold").distinct().collect()}
+    assert {f for f, _ in found} == folds and len(found) == 3 * len(folds)
+    for f in folds:
+        assert found[f, 0] > found[f, 1] >= 0
+        assert sum(found[f, j] for j in range(3)) == pytest.approx(1.0)
+    key = [ranking.shuffle_key(KEY, 1)]
+    pairs = ml.donors(block, KEY, ["fold"], key, [F.col("event_id")]).collect()
+    assert all(r.fold == r.fold_perm for r in pairs)
+    assert sorted(r.event_id for r in pairs) == sorted(r.event_id_perm for r in pairs)
+
+
+def test_mean_baseline(signal):
+    rows = [(r.fold, r.label) for r in signal.select("fold", "label").collect()]
+    for r in ml.mean_baseline(signal).collect():
+        others = [x for f, x in rows if f != r.fold]
+        mine = [x for f, x in rows if f == r.fold]
+        m = sum(others) / len(others)
+        assert r.mean_rmse == pytest.approx((sum((x - m) ** 2 for x in mine) / len(mine)) ** 0.5)
 
 
 def test_cross_fitting_trains_on_the_other_folds(signal):
