@@ -9,9 +9,11 @@
    with the hubs of its postings: that many comparisons grow with the postings,
    not with pairs.  Classes linked so far are joined to components.
 4. What is left are pairs in one hub's list but in different components.  Only
-   members outside the list's largest component are compared with the rest, in
-   blocks of bounded size; collisions are counted on whole signatures, and only
-   links leave the task.
+   members outside the list's largest component are compared: first with one
+   another inside blocks, which joins most of what belongs together, then, with
+   the components that are left, with the whole list, in cells of bounded rows
+   and bytes.  A cell joins components as it goes, passes over pairs that are
+   joined already and returns one link per join, never all links.
 Candidates with at least T collisions are confirmed on the full shingle sets.
 """
 
@@ -21,6 +23,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -34,8 +37,8 @@ WORDS = 5
 COORDINATES, MATCHES = 96, 51
 #: Percentage of the union that two sets must share to be linked.
 SIMILAR = 75
-#: Members of a block on either side in step 4.
-BLOCK, AGAINST = 256, 2048
+#: Members of a block on either side in step 4, and bytes of sets on either side.
+BLOCK, AGAINST, CELL_BYTES = 256, 2048, 16 << 20
 #: Row keys (8 bytes each) of the texts read again are broadcast up to so many.
 BROADCAST_KEYS = 2_000_000
 #: Shingles hashed at once.
@@ -144,51 +147,89 @@ def confirm_hubs(members: DataFrame, full: DataFrame) -> DataFrame:
     return map_rows(pairs, "a long, b long", start)
 
 
-def confirm_blocks(members: DataFrame, full: DataFrame, component: DataFrame) -> DataFrame:
-    """Links between different components of one hub's list; step 4."""
-    found = members.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    found = cut_lineage(found)
-    sizes = found.groupBy("hub", "component").agg(F.count("*").alias("n"))
-    lists = (sizes.groupBy("hub").agg(F.max_by("component", F.struct("n", "component")).alias("largest"),
-                                      F.sum("n").alias("members"), F.count("*").alias("parts"),
-                                      F.max("n").alias("most")).filter("parts > 1")
-             .select("hub", "largest", F.ceil((F.col("members") - F.col("most")) / BLOCK).alias("rows"),
-                     F.ceil(F.col("members") / AGAINST).alias("columns")))
+def join_cell(nodes: np.ndarray, home: np.ndarray, outside: np.ndarray, sigs: np.ndarray,
+              sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links (a, b) that join the components ``home`` of a cell: those of a spanning forest."""
+    links, home = [], home.copy()
+    sizes = np.array([len(s) for s in sets])
+    for i in np.flatnonzero(outside):
+        at = np.flatnonzero((home != home[i]) & (100 * np.minimum(sizes, sizes[i]) >= SIMILAR * np.maximum(sizes, sizes[i])))
+        at = at[(sigs[at] == sigs[i]).sum(axis=1) >= MATCHES]
+        for k in at:
+            if home[k] != home[i] and linked(sets[i], sets[k]):
+                links.append((int(nodes[i]), int(nodes[k])))
+                home[home == home[k]] = home[i]
+    return links
+
+
+def confirm_blocks(members: DataFrame, full: DataFrame, component: DataFrame, inside: bool) -> DataFrame:
+    """Links between different components of one hub's list; step 4.
+
+    ``inside`` compares the members outside the list's largest component with
+    one another, block by block, where they fill more than one block; otherwise
+    they meet the whole list.
+    """
+    node = (full.select("node", "bytes").join(component, "node", "left")
+            .withColumn("component", F.coalesce("component", "node")))
+    found = cut_lineage(members.join(node.hint("merge"), "node"))
+    sizes = found.groupBy("hub", "component").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    blocks = lambda n, bytes_, most: F.ceil(F.greatest(n / most, bytes_ / CELL_BYTES)).cast("long")
+    n, size, most = F.sum("n"), F.sum("bytes"), F.max(F.struct("n", "component", "bytes"))
+    lists = (sizes.groupBy("hub").agg(n.alias("n"), size.alias("bytes"), most.alias("most"), F.count("*").alias("parts"))
+             .filter("parts > 1")
+             .select("hub", F.col("most")["component"].alias("largest"),
+                     blocks(F.col("n") - F.col("most")["n"], F.col("bytes") - F.col("most")["bytes"], BLOCK).alias("rows"),
+                     blocks(F.col("n"), F.col("bytes"), AGAINST).alias("columns")))
+    if inside:
+        lists = lists.filter("rows > 1")
     # written, so that the join has its own exchanges and a hub with many members is split
     open_ = found.join(cut_lineage(lists).hint("merge"), "hub")
     number = F.xxhash64("node")
-    outside = open_.filter("component != largest").select(
-        "hub", F.lit(True).alias("outside"), F.pmod(number, F.col("rows")).alias("i"),
-        F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("j"), "node", "component")
-    everyone = open_.select(
-        "hub", F.lit(False).alias("outside"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"),
-        F.pmod(number, F.col("columns")).alias("j"), "node", "component")
-    cells = outside.unionByName(everyone).join(full.hint("merge"), "node")
+    zero = F.lit(0).cast("long")
+    outer = open_.filter("component != largest").withColumns(
+        {"outside": F.lit(True), "i": F.pmod(number, F.col("rows"))})
+    names = ["hub", "i", "j", "outside", "node", "component"]
+    if inside:
+        cells = outer.withColumn("j", zero).select(names)
+    else:
+        outer = outer.withColumn("j", F.explode(F.sequence(zero, F.col("columns") - 1)))
+        others = open_.withColumns({"outside": F.lit(False), "j": F.pmod(number, F.col("columns")),
+                                    "i": F.explode(F.sequence(zero, F.col("rows") - 1))})
+        cells = outer.select(names).unionByName(others.select(names))
     to = arrow_schema(full.sparkSession, "a long, b long")
 
     def compare(cell: pa.Table) -> pa.Table:
-        rows = cell.to_pylist()
-        left, right = [r for r in rows if r["outside"]], [r for r in rows if not r["outside"]]
+        cell = cell.combine_chunks()
         links = []
-        if left and right:
-            sigs = np.array([r["sig"] for r in right], np.int32)
-            homes = np.array([r["component"] for r in right], np.int64)
-            counts = np.array([len(r["set"]) for r in right])
-            sets = [np.frombuffer(r["set"], np.uint64) for r in right]
-            for r in left:
-                mine, size = np.frombuffer(r["set"], np.uint64), len(r["set"])
-                near = (homes != r["component"]) & (100 * np.minimum(counts, size)
-                                                    >= SIMILAR * np.maximum(counts, size))
-                at = np.flatnonzero(near)
-                at = at[(sigs[at] == np.array(r["sig"], np.int32)).sum(axis=1) >= MATCHES]
-                links += [{"a": r["node"], "b": right[k]["node"]} for k in at if linked(mine, sets[k])]
-        return pa.Table.from_pylist(links, schema=to)
-
-    return cells.groupBy("hub", "i", "j").applyInArrow(compare, "a long, b long")
+        if cell.num_rows > 1 and pc.any(cell["outside"]).as_py():
+            column = lambda name: cell[name].combine_chunks()
+            links = join_cell(
+                column("node").to_numpy(), column("component").to_numpy(),
+                column("outside").to_numpy(zero_copy_only=False),
+                column("sig").flatten().to_numpy().reshape(-1, COORDINATES),
+                [np.frombuffer(s.as_buffer(), np.uint64) for s in column("set")])
+        a, b = zip(*links) if links else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())}).cast(to)
+
+    return cells.join(full.drop("bytes").hint("merge"), "node").groupBy("hub", "i", "j").applyInArrow(compare, "a long, b long")
+
+
+def join_components(first: DataFrame, more: DataFrame) -> DataFrame:
+    """(node, component) of ``first`` after the links ``more``; every node of either has a row."""
+    home = first.select(F.col("node").alias("a"), F.col("component").alias("home"))
+    links = more.join(home.hint("merge"), "a", "left").select(F.coalesce("home", "a").alias("a"), "b")
+    home = home.withColumnRenamed("a", "b")
+    links = links.join(home.hint("merge"), "b", "left").select("a", F.coalesce("home", "b").alias("b"))
+    joined = components(links.distinct()).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    # nodes of the first round by their component, and nodes that only the second round has linked
+    nodes = first.unionByName(joined.select(F.col("component").alias("node"), "component")
+                              .join(first, "node", "anti"))
+    return nodes.join(joined.hint("merge"), "component", "left").select(
+        "node", F.coalesce("whole", "component").alias("component"))
 
 
 def full_sets(docs: DataFrame, classes: DataFrame, members: DataFrame) -> DataFrame:
-    """(node, sig, set) of the classes in ``members``: sorted shingle hashes, from one text of each class."""
+    """(node, sig, set, bytes) of the classes in ``members``: sorted shingle hashes, from one text of each class."""
     wanted = cut_lineage(classes.join(members.select("node").distinct().hint("merge"), "node")
                          .select("node", "sig", "row_key"))
     keys = wanted.select("row_key")
@@ -203,7 +244,7 @@ def full_sets(docs: DataFrame, classes: DataFrame, members: DataFrame) -> DataFr
         return one
 
     sets = map_rows(texts, "row_key long, set binary", start)
-    return sets.join(wanted.hint("merge"), "row_key").select("node", "sig", "set")
+    return sets.join(wanted.hint("merge"), "row_key").select("node", "sig", "set", F.octet_length("set").alias("bytes"))
 
 
 def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -211,19 +252,11 @@ def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     members = cut_lineage(hub_members(classes))
     full = cut_lineage(full_sets(docs, classes, members))
     first = cut_lineage(components(confirm_hubs(members, full)))
-    more = cut_lineage(confirm_blocks(members, full, first))
-    if more.isEmpty():
-        return first
-    home = first.select(F.col("node").alias("a"), F.col("component").alias("home"))
-    links = more.join(home.hint("merge"), "a", "left").select(F.coalesce("home", "a").alias("a"), "b")
-    home = home.withColumnRenamed("a", "b")
-    links = links.join(home.hint("merge"), "b", "left").select("a", F.coalesce("home", "b").alias("b"))
-    joined = components(links.distinct()).select(F.col("node").alias("component"), F.col("component").alias("whole"))
-    # nodes of the first round by their component, and nodes that only the second round has linked
-    nodes = first.unionByName(joined.select(F.col("component").alias("node"), "component")
-                              .join(first, "node", "anti"))
-    return nodes.join(joined.hint("merge"), "component", "left").select(
-        "node", F.coalesce("whole", "component").alias("component"))
+    for inside in (True, False):
+        more = cut_lineage(confirm_blocks(members, full, first, inside))
+        if not more.isEmpty():
+            first = cut_lineage(join_components(first, more))
+    return first
 
 
 def near_components(docs: DataFrame) -> DataFrame:

@@ -113,6 +113,28 @@ def test_corpus(corpus):
     check(corpus[0], [r[:2] for r in corpus[1]])
 
 
+def test_a_cell_returns_a_spanning_forest():
+    texts = near_copies(6, 60, [1, 2, 3, 4] * 30)
+    sets = [minhash.shingle_set(t.encode()) for t in texts]
+    nodes = np.arange(len(sets)) + 7
+    links = minhash.join_cell(nodes, nodes.copy(), np.ones(len(sets), bool),
+                              np.array([minhash.signature(s) for s in sets]), sets)
+    root = {int(n): int(n) for n in nodes}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a, b in links:
+        assert find(a) != find(b)  # no link within a component
+        root[find(b)] = find(a)
+    for i, s in enumerate(sets):
+        for j in range(i):
+            if minhash.linked(s, sets[j]):
+                assert find(int(nodes[i])) == find(int(nodes[j]))
+
+
 def test_signatures_agree_as_often_as_sets():
     r = np.random.default_rng(2)
     shared = r.integers(0, 2 ** 63, 600, dtype=np.uint64)
