@@ -1,20 +1,19 @@
-"""Curve fits to binned spectra, one small fit per group."""
+"""Curve fits to binned spectra: aggregates and expressions, no Python on the workers.
+
+A linear fit is one aggregate of moment sums.  A non-linear one is iterated:
+each step sums the normal equations per variant in one aggregate over the bins
+and solves three equations as an expression.  The bins of all variants move
+together, so a fit costs as many small jobs as steps, however many variants.
+"""
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from muonloom.functions.guards import ratio
-
-
-# group functions travel to the workers whole, so these need no installed copy
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from muonloom.functions.linear import invert3, solve3
 
 
 def log_parabola(hist: DataFrame, by: Sequence[str], x: Column, counts: Column) -> DataFrame:
@@ -66,91 +65,101 @@ def exponential_livetime(gaps: DataFrame, by: Sequence[str] = (), t: str = "lo",
                     (F.col("s0") * tau * tau * slope_err).alias("livetime_err"))
 
 
-def least_squares(model, jacobian, x, y, p, weight=None, steps: int = 200):
-    """Damped Gauss-Newton; returns the parameters and their covariance."""
-    w = np.ones_like(y) if weight is None else weight
-    p = np.asarray(p, float)
-    damp = 1e-3
-    cost = float((w * (y - model(x, *p)) ** 2).sum())
-    for _ in range(steps):
-        r = y - model(x, *p)
-        j = jacobian(x, *p)
-        normal = j.T @ (w[:, None] * j)
-        grad = j.T @ (w * r)
-        move = np.linalg.lstsq(normal + damp * np.diag(np.diag(normal) + 1e-30), grad,
-                               rcond=None)[0]
-        trial = float((w * (y - model(x, *(p + move))) ** 2).sum())
-        if np.isfinite(trial) and trial <= cost:
-            done = cost - trial <= 1e-14 * max(cost, 1e-300)
-            p, cost, damp = p + move, trial, max(damp / 10, 1e-12)
-            if done:
-                break
-        else:
-            damp *= 10
-            if damp > 1e12:
-                break
-    j = jacobian(x, *p)
-    dof = max(len(x) - len(p), 1)
-    cov = np.linalg.pinv(j.T @ (w[:, None] * j)) * cost / dof
-    return p, cov
-
-
-def _gauss(x, a, m, s):
-    return a * np.exp(-((x - m) ** 2) / (2 * s * s))
-
-
-def _gauss_jacobian(x, a, m, s):
-    g = np.exp(-((x - m) ** 2) / (2 * s * s))
-    return np.column_stack([g, a * g * (x - m) / s ** 2, a * g * (x - m) ** 2 / s ** 3])
-
-
-def _sigmoid(x, p0, p1, p2):
-    return p0 / (1 + np.exp(np.clip(-p1 * (x - p2), -700, 700)))
-
-
-def _sigmoid_jacobian(x, p0, p1, p2):
-    s = 1 / (1 + np.exp(np.clip(-p1 * (x - p2), -700, 700)))
-    return np.column_stack([s, p0 * s * (1 - s) * (x - p2), -p0 * s * (1 - s) * p1])
-
-
-def gaussian_fit(hist: DataFrame, key: str, x: str, counts: str) -> DataFrame:
-    """Least-squares Gaussian per group of filled bins: mean and sigma."""
-    schema = f"{key} {dict(hist.dtypes)[key]}, amplitude double, mean double, sigma double"
-
-    def fit(k: tuple, b: pd.DataFrame) -> pd.DataFrame:
-        b = b[b[counts] > 0]
-        if len(b) < 3:
-            return pd.DataFrame({key: [k[0]], "amplitude": [None], "mean": [None],
-                                 "sigma": [None]})
-        xs, ys = b[x].to_numpy(float), b[counts].to_numpy(float)
-        mean = float(np.average(xs, weights=ys))
-        sigma = float(np.sqrt(np.average((xs - mean) ** 2, weights=ys))) or 1.0
-        p, _ = least_squares(_gauss, _gauss_jacobian, xs, ys, [ys.max(), mean, sigma])
-        return pd.DataFrame({key: [k[0]], "amplitude": [p[0]], "mean": [p[1]],
-                             "sigma": [abs(p[2])]})
-
-    return hist.groupBy(key).applyInPandas(fit, schema)
-
-
-def sigmoid_fit(bins: DataFrame, lo: float = 5.4, hi: float = 7.0) -> DataFrame:
-    """Sigmoid through the effective area of each variant, with parameter errors.
-
-    ``bins``: (variant, log_energy, aeff, aeff_err).
+#: Steps of a fit, damping at its start, and the factors it changes by after a worse and a better step.
+STEPS, DAMP, UP, DOWN = 60, 1e-3, 10.0, 0.1
+
+#: A curve of x and three parameters: its value and its three derivatives.
+Curve = Callable[[Column, Column, Column, Column], tuple[Column, Column, Column, Column]]
+
+
+def gauss_curve(x: Column, a: Column, m: Column, s: Column):
+    z = (x - m) / s
+    e = F.exp(-z * z / 2.0)
+    return a * e, e, a * e * z / s, a * e * z * z / s
+
+
+def sigmoid_curve(x: Column, p0: Column, p1: Column, p2: Column):
+    e = 1.0 / (1.0 + F.exp(F.least(F.lit(700.0), F.greatest(F.lit(-700.0), -p1 * (x - p2)))))
+    slope = p0 * e * (1.0 - e)
+    return p0 * e, e, slope * (x - p2), -slope * p1
+
+
+def least_squares(points: DataFrame, start: DataFrame, curve: Curve, by: str, steps: int = STEPS) -> DataFrame:
+    """Damped least squares of a three-parameter curve, one fit per value of ``by``.
+
+    ``points``: (by, x, y, w), a few bins per variant; ``start``: (by, p0, p1, p2).
+    Returns by, n, cost, p0..p2 and their standard errors e0..e2 and covariances
+    c01, c02, c12 from the curvature at the end, scaled by cost / (n - 3).
+
+    The bins of a variant are packed into one array, so a step is arithmetic in
+    one row: the sums of J'J and J'r run over the array, the three equations
+    are solved with their diagonal raised by the damping, and the step is taken
+    if the cost does not rise.  Steps are folded in ``aggregate``: there is one
+    shuffle for the whole fit.  A variant with fewer points than parameters has
+    NULL results.
+    """
+    packed = points.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.array_sort(
+        F.collect_list(F.struct("x", "y", "w"))).alias("points")).join(start, by)
+
+    def normal(p: Sequence[Column]):
+        """Array of cost, J'J (upper triangle by rows) and J'r."""
+
+        def add(s, q):
+            f, *j = curve(q["x"], *p)
+            r, w = q["y"] - f, q["w"]
+            terms = [w * r * r] + [w * j[a] * j[b] for a in range(3) for b in range(a, 3)] + [w * j[a] * r for a in range(3)]
+            return F.array(*[s[i] + t for i, t in enumerate(terms)])
+
+        return F.aggregate("points", F.array(*[F.lit(0.0)] * 10), add)
+
+    # state: p0..p2, damping, then the sums at p (10 numbers)
+    first = F.concat(F.array("p0", "p1", "p2", F.lit(DAMP)), normal([F.col(f"p{i}") for i in range(3)]))
+
+    def step(s, _):
+        damp = s[3]
+        a = [s[5] * (1.0 + damp), s[6], s[7], s[8] * (1.0 + damp), s[9], s[10] * (1.0 + damp)]
+        move = solve3(a, [s[11], s[12], s[13]])
+        tried = F.array(*[s[i] + move[i] for i in range(3)])
+        # a let-binding: the trial point is computed once and its sums from it
+        both = F.transform(F.array(tried), lambda p: F.struct(p.alias("p"), normal([p[i] for i in range(3)]).alias("n")))
+        return F.transform(both, lambda t: F.when(
+            t["n"][0] <= s[4], F.concat(t["p"], F.array(F.greatest(damp * DOWN, F.lit(1e-12))), t["n"])).otherwise(
+            F.concat(F.slice(s, 1, 3), F.array(F.least(damp * UP, F.lit(1e12))), F.slice(s, 5, 10))))[0]
+
+    last = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), first, step)
+    fitted = packed.withColumn("s", F.when(F.col("n") >= 3, last))
+    s = [F.col("s")[i] for i in range(14)]
+    inverse = invert3(s[5:11])
+    scale = ratio(s[4], F.greatest(F.col("n") - 3, F.lit(1)).cast("double"))
+    error = lambda v: F.when(v.isNotNull(), F.sqrt(F.greatest(v * scale, F.lit(0.0))))
+    return fitted.select(by, "n", s[4].alias("cost"), *[s[i].alias(f"p{i}") for i in range(3)],
+                         *[error(inverse[k]).alias(f"e{i}") for i, k in enumerate((0, 3, 5))],
+                         *[(inverse[k] * scale).alias(name) for name, k in (("c01", 1), ("c02", 2), ("c12", 4))])
+
+
+def gaussian_fit(hist: DataFrame, key: str, x: str, counts: str, steps: int = STEPS) -> DataFrame:
+    """Least-squares Gaussian per group of filled bins: amplitude, mean, sigma and their errors."""
+    use = hist.filter(F.col(counts) > 0).select(
+        key, F.col(x).cast("double").alias("x"), F.col(counts).cast("double").alias("y"), F.lit(1.0).alias("w"))
+    m = use.groupBy(key).agg(F.max("y").alias("p0"), F.sum("y").alias("_n"), F.sum(F.col("x") * F.col("y")).alias("_x"),
+                             F.sum(F.col("x") * F.col("x") * F.col("y")).alias("_xx"))
+    mean = F.col("_x") / F.col("_n")
+    spread = F.sqrt(F.greatest(F.col("_xx") / F.col("_n") - mean * mean, F.lit(0.0)))
+    start = m.select(key, "p0", mean.alias("p1"), F.when(spread > 0, spread).otherwise(F.lit(1.0)).alias("p2"))
+    f = least_squares(use, start, gauss_curve, key, steps)
+    return f.select(key, F.col("p0").alias("amplitude"), F.col("p1").alias("mean"), F.abs("p2").alias("sigma"),
+                    F.col("e0").alias("amplitude_err"), F.col("e1").alias("mean_err"), F.col("e2").alias("sigma_err"))
+
+
+def sigmoid_fit(bins: DataFrame, lo: float = 5.4, hi: float = 7.0, steps: int = STEPS) -> DataFrame:
+    """Sigmoid through the effective area of each variant, with parameter errors and covariances.
+
+    ``bins``: (variant, log_energy, aeff, aeff_err); bins without an error and
+    those outside [lo, hi] are not fitted.  The fit starts at the largest area.
     """
-    schema = ("variant string, p0 double, p1 double, p2 double, "
-              "e0 double, e1 double, e2 double")
-
-    def fit(k: tuple, b: pd.DataFrame) -> pd.DataFrame:
-        top = float(b["aeff"].max())
-        use = b[(b["log_energy"] >= lo) & (b["log_energy"] <= hi) & (b["aeff_err"] > 0)]
-        if len(use) < 3:
-            return pd.DataFrame({"variant": [k[0]]}).reindex(
-                columns=["variant", "p0", "p1", "p2", "e0", "e1", "e2"])
-        x, y = use["log_energy"].to_numpy(float), use["aeff"].to_numpy(float)
-        w = 1.0 / use["aeff_err"].to_numpy(float) ** 2
-        p, cov = least_squares(_sigmoid, _sigmoid_jacobian, x, y, [top, 5.0, 5.0], w)
-        e = np.sqrt(np.clip(np.diag(cov), 0, None))
-        return pd.DataFrame([[k[0], *map(float, p), *map(float, e)]],
-                            columns=["variant", "p0", "p1", "p2", "e0", "e1", "e2"])
-
-    return bins.groupBy("variant").applyInPandas(fit, schema)
+    good = F.col("log_energy").between(lo, hi) & (F.col("aeff_err") > 0)
+    use = bins.filter(good).select("variant", F.col("log_energy").alias("x"), F.col("aeff").alias("y"),
+                                   (1.0 / (F.col("aeff_err") * F.col("aeff_err"))).alias("w"))
+    start = bins.groupBy("variant").agg(F.max("aeff").alias("p0")).select(
+        "variant", "p0", F.lit(5.0).alias("p1"), F.lit(5.0).alias("p2"))
+    return least_squares(use, start, sigmoid_curve, "variant", steps).drop("cost")

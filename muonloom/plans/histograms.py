@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from muonloom.functions import directions, edges
 from muonloom.operators import fits, hist, ml, pulses, spectrum
-from muonloom.plans.registry import G, R, edges_sql, g, in_bin, query, r
+from muonloom.plans.fit_sql import GAUSS, fit_ctes
+from muonloom.plans.registry import edges_sql, G, g, in_bin, query, R, r
 from muonloom.plans.views import KEY, TIES
 
 LOGE = edges.LOGE_EDGES
@@ -318,6 +319,20 @@ def gauss_bias(t):
     return f.select("bin_x", "n_bins", r("mean").alias("mean"), r("sigma").alias("sigma"))
 
 
-@query("gauss_fit")
+@query("gauss_fit", f"""
+    WITH RECURSIVE b AS {_B}, c AS {edges_sql(_RES_EDGES)},
+         v AS (SELECT loge, w, {_RESIDUAL.format('20.0e0', '40.0e0')} AS v FROM evt),
+         h AS (SELECT b.bin AS bin_x, (c.lo + c.hi) * 0.5e0 AS x, SUM(w) AS y, 1.0e0 AS w
+               FROM v JOIN b ON {in_bin('loge')} JOIN c ON {in_bin('v', 'c')}
+               GROUP BY b.bin, c.lo, c.hi HAVING SUM(w) > 0),
+    {fit_ctes('bin_x', 'SELECT * FROM h', """
+        SELECT bin_x, MAX(y) AS p0, SUM(x * y) / SUM(y) AS p1,
+               CASE WHEN SUM(x * x * y) / SUM(y) - pow(SUM(x * y) / SUM(y), 2) > 0
+                    THEN sqrt(SUM(x * x * y) / SUM(y) - pow(SUM(x * y) / SUM(y), 2)) ELSE 1 END AS p2
+        FROM h GROUP BY bin_x""", GAUSS)}
+    SELECT bin_x, {G('p0', 6)} AS amplitude, {R('p1', 5)} AS mean, {R('abs(p2)', 5)} AS sigma,
+           {G('e0', 5)} AS amplitude_err, {G('e1', 5)} AS mean_err, {G('e2', 5)} AS sigma_err FROM fit""", "evt")
 def gauss_fit(t):
-    return fits.gaussian_fit(_slices(t), "bin_x", "mid", "sum_w")
+    f = fits.gaussian_fit(_slices(t), "bin_x", "mid", "sum_w")
+    return f.select("bin_x", g("amplitude", 6).alias("amplitude"), r("mean", 5).alias("mean"), r("sigma", 5).alias("sigma"),
+                    *[g(c, 5).alias(c) for c in ("amplitude_err", "mean_err", "sigma_err")])

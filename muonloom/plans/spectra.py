@@ -11,6 +11,7 @@ from muonloom.functions.guards import ratio_or_zero
 from muonloom.functions.shapes import flux as model_flux
 from muonloom.operators import fits, hist, spectrum, summary, unfold
 from muonloom.plans.booking import flux_sql
+from muonloom.plans.fit_sql import SIGMOID, fit_ctes
 from muonloom.plans.registry import G, R, edges_sql, g, in_bin, num, query, r
 from muonloom.sources.constants import HAWC_FLUX, outside_spectra
 
@@ -197,43 +198,91 @@ def unfold_three(t):
                       r("stat_err").alias("stat_err"))
 
 
-def _iterated_sql(data: str, prior: str, runs: str, most: int) -> str:
+def _smooth_sql(degree: int) -> str:
+    """Aliases up to ``smooth``: log10 of the list ``new`` replaced by a polynomial in the bin number."""
+    middle = (N_BINS - 1) / 2
+    x, size = f"((i - 1 - {num(middle)}) / {num(middle)})", degree + 1
+    each = f"range(1, {N_BINS + 1})"
+    moment = lambda k, y: (f"list_sum(list_transform({each}, lambda i: CASE WHEN new[i] > 0 "
+                           f"THEN pow({x}, {k}){y} ELSE 0e0 END))")
+    out = [f"{moment(k, '')} AS m{k}" for k in range(2 * degree + 1)]
+    out += [f"{moment(k, ' * log10(new[i])')} AS t{k}" for k in range(size)]
+    for j in range(size):  # a = l d l'
+        inner = "".join(f" - l{j}_{k} * l{j}_{k} * d{k}" for k in range(j))
+        out.append(f"m{2 * j}{inner} AS d{j}")
+        for i in range(j + 1, size):
+            inner = "".join(f" - l{i}_{k} * l{j}_{k} * d{k}" for k in range(j))
+            out.append(f"(m{i + j}{inner}) / nullif(d{j}, 0) AS l{i}_{j}")
+    for j in range(size):
+        out.append(f"t{j}{''.join(f' - l{j}_{k} * z{k}' for k in range(j))} AS z{j}")
+    for j in reversed(range(size)):
+        out.append(f"z{j} / nullif(d{j}, 0){''.join(f' - l{k}_{j} * c{k}' for k in range(j + 1, size))} AS c{j}")
+    value = " + ".join(f"c{k} * pow({x}, {k})" for k in range(size))
+    out.append(f"list_transform({each}, lambda i: CASE WHEN m0 > {degree} AND new[i] > 0 THEN pow(1e1, {value}) "
+               "ELSE new[i] END) AS smooth")
+    return ", ".join(out)
+
+
+def _iterated_sql(data: str, prior: str, runs: str, most: int, degree: int | None = None,
+                  resp: str = _RESPONSE_SQL) -> str:
     """Unfolding to a stopping rule: one row per run with lists over the bins.
 
     ``data``: (variant, bin, n); ``prior``: an expression of lo and hi; ``runs``:
-    (run, tol).  Ends with ``done`` (variant, run, k, n, ks).
+    (run, tol).  Ends with ``done`` (variant, run, k, n, ks, est, last): what goes into
+    the next iteration, the estimate, and what went into this one.
     """
     bins = f"range({N_BINS})"
     each = f"range(1, {N_BINS + 1})"
+    lists = lambda outer, inner: f"""(SELECT variant, list(l ORDER BY {outer}) AS by_{outer}, list(q ORDER BY {outer}) AS err_by_{outer},
+                list(e ORDER BY {outer}) AS sum_by_{outer} FROM
+            (SELECT variant, {outer}, list(p ORDER BY {inner}) AS l, list(p_err ORDER BY {inner}) AS q, SUM(p) AS e
+             FROM grid GROUP BY ALL) GROUP BY variant)"""
+    new = f"""(SELECT *, list_transform({each}, lambda i: CASE WHEN eff[i] = 0 THEN 0e0
+                            ELSE n[i] / eff[i] * list_dot_product(by_cause[i], pull) END) AS new
+                 FROM (SELECT *, list_transform({each}, lambda j:
+                              CASE WHEN list_dot_product(by_effect[j], n) = 0 THEN 0e0
+                                   ELSE data[j] / list_dot_product(by_effect[j], n) END) AS pull
+                       FROM it JOIN m USING (variant) WHERE ks >= tol AND k < {most}))"""
+    if degree is not None:
+        new = f"(SELECT *, {_smooth_sql(degree)} FROM {new})"
     return f"""
-    resp AS ({_RESPONSE_SQL}), obs AS ({data}),
-    grid AS (SELECT v.variant, e.b AS effect, c.b AS cause, coalesce(r.p, 0) AS p
+    resp AS ({resp}), obs AS ({data}),
+    grid AS (SELECT v.variant, e.b AS effect, c.b AS cause, coalesce(r.p, 0) AS p, coalesce(r.p_err, 0) AS p_err
              FROM (SELECT DISTINCT variant FROM obs) v, {bins} e(b), {bins} c(b)
              LEFT JOIN resp r ON r.variant = v.variant AND r.effect = e.b AND r.cause = c.b),
-    m AS (SELECT * FROM
-        (SELECT variant, list(l ORDER BY effect) AS by_effect FROM
-            (SELECT variant, effect, list(p ORDER BY cause) AS l FROM grid GROUP BY ALL) GROUP BY variant)
-        JOIN (SELECT variant, list(l ORDER BY cause) AS by_cause, list(e ORDER BY cause) AS eff FROM
-            (SELECT variant, cause, list(p ORDER BY effect) AS l, SUM(p) AS e FROM grid GROUP BY ALL)
-            GROUP BY variant) USING (variant)
+    m AS (SELECT *, sum_by_cause AS eff FROM {lists('effect', 'cause')} JOIN {lists('cause', 'effect')} USING (variant)
         JOIN (SELECT variant, list(CAST(n AS DOUBLE) ORDER BY bin) AS data,
                      list({prior} ORDER BY bin) AS prior FROM obs JOIN {B} b USING (bin) GROUP BY variant)
             USING (variant)),
     it AS (SELECT variant, run, tol, 0 AS k, 1e9 AS ks,
-                  list_transform(prior, lambda x: x / list_sum(prior) * list_sum(data)) AS n
+                  list_transform(prior, lambda x: x / list_sum(prior) * list_sum(data)) AS n, n AS est, n AS last
            FROM m, ({runs})
            UNION ALL
            SELECT variant, run, tol, k + 1, list_max(list_transform({each}, lambda i:
-                      abs(list_sum(new[1:i]) / list_sum(new) - list_sum(n[1:i]) / list_sum(n)))), new
-           FROM (SELECT *, list_transform({each}, lambda i: CASE WHEN eff[i] = 0 THEN 0e0
-                            ELSE n[i] / eff[i] * list_dot_product(by_cause[i], pull) END) AS new
-                 FROM (SELECT *, list_transform({each}, lambda j:
-                              CASE WHEN list_dot_product(by_effect[j], n) = 0 THEN 0e0
-                                   ELSE data[j] / list_dot_product(by_effect[j], n) END) AS pull
-                       FROM it JOIN m USING (variant) WHERE ks >= tol AND k < {most}))),
+                      abs(list_sum(new[1:i]) / list_sum(new) - list_sum(n[1:i]) / list_sum(n)))),
+                  {'new' if degree is None else 'smooth'}, new, n
+           FROM {new}),
     done AS (SELECT * FROM it QUALIFY k = MAX(k) OVER (PARTITION BY variant, run))"""
 
 
+def _unfolded_sql(eff_err: str = "0e0") -> str:
+    """SELECT of variant, bin, unfolded, stat_err, sys_err, iterations, ks after ``_iterated_sql``."""
+    each = f"range(1, {N_BINS + 1})"
+    div = lambda a, b: f"(CASE WHEN {b} = 0 THEN 0e0 ELSE {a} / ({b}) END)"
+    sh = f"(by_cause[i][j] * {div(div('data[j]', 'seen[j]'), 'seen[j]')} * {div('last[i]', 'eff[i]')})"
+    di = f"({div('data[j]', 'seen[j]')} * {div('last[i]', 'eff[i]')})"
+    return f"""
+    SELECT variant, CAST(i - 1 AS INTEGER) AS bin, est[i] AS unfolded, k AS iterations, ks,
+           sqrt(list_sum(list_transform({each}, lambda j: pow({div('by_cause[i][j] * last[i]', 'eff[i] * seen[j]')}, 2) * data[j])))
+               AS stat_err,
+           sqrt(greatest(0e0, list_sum(list_transform({each}, lambda j:
+                   ({di} * {di} - 2e0 * {di} * {sh} * last[i]) * err_by_cause[i][j] * err_by_cause[i][j]
+                   + list_sum(list_transform({each}, lambda c: pow(err_by_effect[j][c] * last[c], 2))) * {sh} * {sh})))
+               + pow({eff_err}, 2)) AS sys_err
+    FROM (SELECT *, list_transform({each}, lambda j: list_dot_product(by_effect[j], last)) AS seen
+          FROM done JOIN m USING (variant)), {each} x(i)"""
+
+
 TOLERANCES = (1e-2, 5e-3, 3e-3, 2e-3, 1e-3, 5e-4, 1e-4, 1e-5)
 _RUNS = "SELECT * FROM (VALUES " + ", ".join(f"({i}, {num(x)})" for i, x in enumerate(TOLERANCES)) + ") r(run, tol)"
 
@@ -251,10 +300,17 @@ def unfold_tol_scan(t):
                                       r(F.max("ks"), 9).alias("ks"))
 
 
-@query("unfold_regularised")
+@query("unfold_regularised", f"""
+    WITH RECURSIVE {_iterated_sql("SELECT variant, bin, n FROM (" + _SEEN_SQL + ")", "2 / (lo + hi)",
+                                  "SELECT 0 AS run, 1e-3 AS tol", 100, degree=3)}
+    SELECT variant, bin, iterations, {R('ks', 9)} AS ks, {G('unfolded', 6)} AS unfolded, {G('stat_err', 6)} AS stat_err,
+           {G('sys_err', 6)} AS sys_err FROM ({_unfolded_sql()})""", "evt")
 def unfold_regularised(t):
+    """Unfolding with a cubic in log counts between iterations."""
     cells = response_cells(t)
-    return unfold.unfold(cells, unfolding_bins(t, cells, prior="jeffreys"), degree=3)
+    out = unfold.unfold(cells, unfolding_bins(t, cells, prior="jeffreys"), degree=3)
+    return out.select("variant", "bin", "iterations", r("ks", 9).alias("ks"),
+                      *[g(c, 6).alias(c) for c in ("unfolded", "stat_err", "sys_err")])
 
 
 _MC_SEEN_SQL = f"""
@@ -333,9 +389,28 @@ def spectrum_compare(t):
                     g(100.0 * (F.col("flux") / F.col("other") - 1.0), 8).alias("difference"))
 
 
-@query("sigmoid_aeff")
+#: CTEs up to ``fit``, the sigmoid through the effective area ``area`` of every particle.
+AREA_FIT_SQL = f"""
+    gen AS (SELECT CAST(pdg AS VARCHAR) AS variant, bin, lo, hi, SUM(w) AS sw, sqrt(SUM(w * w)) AS se FROM evt JOIN {B} b
+            ON {in_bin('loge')} WHERE cos(zenith) BETWEEN 0.8e0 AND 1 GROUP BY pdg, bin, lo, hi),
+    sel AS (SELECT CAST(pdg AS VARCHAR) AS variant, bin, SUM(w) AS s, sqrt(SUM(w * w)) AS se FROM booked JOIN {B} b
+            ON {in_bin('loge')} WHERE {CUT} GROUP BY pdg, bin),
+    area AS (SELECT variant, bin, (lo + hi) * 0.5e0 AS log_energy, coalesce(s, 0) / sw * {AREA} AS aeff,
+                    sqrt(pow(coalesce(sel.se, 0) / sw, 2) + pow(coalesce(s, 0) * gen.se / (sw * sw), 2)) * {AREA} AS aeff_err
+             FROM gen LEFT JOIN sel USING (variant, bin)),
+    {fit_ctes('variant', """SELECT variant, log_energy AS x, aeff AS y, 1.0e0 / (aeff_err * aeff_err) AS w FROM area
+                            WHERE log_energy BETWEEN 4.0e0 AND 7.0e0 AND aeff_err > 0""",
+              "SELECT variant, MAX(aeff) AS p0, 5.0e0 AS p1, 5.0e0 AS p2 FROM area GROUP BY variant", SIGMOID)}"""
+
+
+@query("sigmoid_aeff", f"""
+    WITH RECURSIVE {AREA_FIT_SQL}
+    SELECT variant, n, {', '.join(f"{G(c, 6)} AS {c}" for c in ('p0', 'p1', 'p2'))},
+           {', '.join(f"{G(c, 5)} AS {c}" for c in ('e0', 'e1', 'e2', 'c01', 'c02', 'c12'))} FROM fit""", "evt booked")
 def sigmoid_aeff(t):
-    return fits.sigmoid_fit(area_bins(t), 4.0, 7.0)
+    f = fits.sigmoid_fit(area_bins(t), 4.0, 7.0)
+    return f.select("variant", "n", *[g(c, 6).alias(c) for c in ("p0", "p1", "p2")],
+                    *[g(c, 5).alias(c) for c in ("e0", "e1", "e2", "c01", "c02", "c12")])
 
 
 def area_bins(t):

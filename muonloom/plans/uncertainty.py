@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 
 from muonloom.functions import edges
 from muonloom.functions.shapes import flux as model_flux
-from muonloom.operators import hist, spectrum, summary, systematics
+from muonloom.operators import fits, hist, spectrum, summary, systematics
 from muonloom.plans.booking import WEIGHT_SQL, FINE, flux_sql
 from muonloom.plans.hits import LIVETIME_SQL, livetimes
 from muonloom.plans.registry import G, ORACLES, R, edges_sql, g, in_bin, query, r
-from muonloom.plans.spectra import AREA, B, CUT, LN10, LOGE, SEEN, SOLID, WINDOW, area_bins, seen
+from muonloom.plans.spectra import AREA, AREA_FIT_SQL, B, LN10, LOGE, SEEN, SOLID, WINDOW, area_bins, seen
+from muonloom.session import cut_lineage
 
 _SEASON = "'s' || CAST(run % 3 AS VARCHAR)"
 
@@ -140,26 +141,16 @@ _CURVES = ", ".join(_curve(i, j, k, s) for i in (0, 1) for j in (0, 1) for k in
 
 
 @query("sys_aeff", f"""
-    WITH gen AS (SELECT CAST(pdg AS VARCHAR) AS variant, bin, lo, hi, SUM(w) AS sw FROM evt JOIN {B} b
-                 ON {in_bin('loge')} WHERE cos(zenith) BETWEEN 0.8e0 AND 1 GROUP BY pdg, bin, lo, hi),
-         sel AS (SELECT CAST(pdg AS VARCHAR) AS variant, bin, SUM(w) AS s FROM booked JOIN {B} b
-                 ON {in_bin('loge')} WHERE {CUT} GROUP BY pdg, bin),
-         a AS (SELECT variant, bin, (lo + hi) * 0.5e0 AS log_energy, coalesce(s, 0) / sw * {AREA} AS aeff
-               FROM gen LEFT JOIN sel USING (variant, bin)),
-         q AS (SELECT variant, MAX(aeff) AS p0, 5.0e0 AS p1, AVG(log_energy) AS p2, MAX(aeff) * 0.05e0 AS e0,
-                      0.25e0 AS e1, 0.02e0 AS e2 FROM a WHERE aeff > 0 GROUP BY variant),
+    WITH RECURSIVE {AREA_FIT_SQL},
          c AS (SELECT a.*, least(aeff, {_CURVES}) AS lowest, greatest(aeff, {_CURVES}) AS highest
-               FROM a JOIN q USING (variant) WHERE aeff > 0)
-    SELECT variant, bin, {G('aeff / lowest - 1', 8)} AS sys_low, {R('1 - aeff / highest', 8)} AS sys_high
+               FROM area a JOIN fit USING (variant) WHERE aeff > 0 AND p0 IS NOT NULL)
+    SELECT variant, bin, {G('aeff / lowest - 1', 5)} AS sys_low, {R('1 - aeff / highest', 5)} AS sys_high
     FROM c""", "evt booked")
 def sys_aeff(t):
-    bins = area_bins(t).filter("aeff > 0")
-    params = bins.groupBy("variant").agg(
-        F.max("aeff").alias("p0"), F.avg("log_energy").alias("p2")).withColumns({
-            "p1": F.lit(5.0), "e0": F.col("p0") * 0.05, "e1": F.lit(0.25), "e2": F.lit(0.02)})
-    s = systematics.area_shift(bins, params)
-    return s.select("variant", "bin", g("sys_low", 8).alias("sys_low"),
-                    r("sys_high", 8).alias("sys_high"))
+    """Effect of the errors of the fitted sigmoid on the effective area."""
+    bins = cut_lineage(area_bins(t))  # a few rows: the fit and the shifts share one pass over the events
+    s = systematics.area_shift(bins.filter("aeff > 0"), fits.sigmoid_fit(bins, 4.0, 7.0))
+    return s.select("variant", "bin", g("sys_low", 5).alias("sys_low"), r("sys_high", 5).alias("sys_high"))
 
 
 def _as_sources() -> str:

@@ -277,3 +277,93 @@ def test_unfolding_matrix_and_efficiency_error(spark):
 def test_tolerances_keep_apart(spark):
     names = unfold.tolerance_variants(spark.createDataFrame([("a",)], "variant string"), (1.5e-3, 2e-3))
     assert names.select("variant").distinct().count() == 2
+
+
+def _curve_fit(f, jac, x, y, w, p):
+    """Plain Gauss-Newton to convergence; parameters and covariance by numpy.linalg.inv."""
+    p = np.array(p, float)
+    for _ in range(200):
+        j = jac(x, *p)
+        p = p + np.linalg.solve(j.T @ (w[:, None] * j), j.T @ (w * (y - f(x, *p)))) * 0.5
+    j = jac(x, *p)
+    cost = (w * (y - f(x, *p)) ** 2).sum()
+    return p, np.linalg.inv(j.T @ (w[:, None] * j)) * cost / (len(x) - 3)
+
+
+def test_sigmoid_fit_errors_are_those_of_the_inverse(spark):
+    rng = np.random.default_rng(3)
+    f = lambda x, a, b, c: a / (1 + np.exp(-b * (x - c)))
+
+    def jac(x, a, b, c):
+        s = 1 / (1 + np.exp(-b * (x - c)))
+        return np.column_stack([s, a * s * (1 - s) * (x - c), -a * s * (1 - s) * b])
+
+    x = np.linspace(4.2, 6.9, 15)
+    rows, want = [], {}
+    for name, true in (("a", (3e5, 4.0, 5.6)), ("b", (2e5, 6.0, 5.2))):
+        e = 0.03 * f(x, *true) + 100
+        y = f(x, *true) + rng.normal(size=15) * e
+        want[name] = _curve_fit(f, jac, x, y, 1 / e ** 2, true)
+        rows += [(name, float(u), float(v), float(q)) for u, v, q in zip(x, y, e)]
+    rows += [("few", 5.0, 1.0, 1.0), ("few", 5.5, 2.0, 1.0), ("none", 5.0, 1.0, 0.0)]
+    df = spark.createDataFrame(rows, "variant string, log_energy double, aeff double, aeff_err double")
+    got = {r.variant: r for r in fits.sigmoid_fit(df, 4.0, 7.0).collect()}
+    assert set(got) == {"a", "b", "few"} and got["few"].p0 is None and got["few"].e2 is None
+    for name, (p, cov) in want.items():
+        g = got[name]
+        assert (g.p0, g.p1, g.p2) == pytest.approx(tuple(p), rel=1e-6)
+        assert (g.e0, g.e1, g.e2) == pytest.approx(tuple(np.sqrt(np.diag(cov))), rel=1e-5)
+        assert (g.c01, g.c02, g.c12) == pytest.approx((cov[0, 1], cov[0, 2], cov[1, 2]), rel=1e-4)
+
+
+def test_fits_and_unfolding_run_without_python_workers(spark):
+    b = spark.createDataFrame([("s", 5.0 + i / 10, 1.0 + i, 1.0) for i in range(5)],
+                              "variant string, log_energy double, aeff double, aeff_err double")
+    h = spark.createDataFrame([(1, i / 10, float(i)) for i in range(5)], "k int, x double, n double")
+    u = unfold.unfold(_cells(spark, np.eye(3)), _bins(spark, [1.0, 2, 3], [1] * 3, [1 / 3] * 3), degree=1)
+    for df in (fits.sigmoid_fit(b), fits.gaussian_fit(h, "k", "x", "n"), u):
+        assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("degree", [None, 2])
+def test_unfolding_by_expressions_matches_numpy(spark, degree):
+    rng, k = np.random.default_rng(1), 9
+    cells, bins, want, zone = [], [], {}, np.arange(k) // 5
+    for v in "abc":
+        p = np.eye(k) * 0.6 + rng.random((k, k)) * 0.06
+        if v == "c":
+            p[:, 3] = 0  # a cause that is never seen
+        eff, err = p.sum(axis=0), p * 0.1
+        data = np.round(p @ (1e4 * np.exp(-np.arange(k) * 0.6)))
+        if v == "b":
+            data[-1] = 0
+        prior = np.full(k, 1 / k)
+        cells += [(v, c, e, float(p[e, c]), float(err[e, c])) for c in range(k) for e in range(k) if p[e, c] > 0]
+        bins += [(v, i, float(data[i]), float(data[i] ** 0.5), float(prior[i]), float(eff[i]), float(eff[i] * 0.05),
+                  int(zone[i])) for i in range(k)]
+        smooth = (lambda n: unfold.smooth_log(n, degree, zone)) if degree else (lambda n: n)
+        used = prior * data.sum()
+        for it, n, m, ks in unfold.iterate(p, eff, data, prior, 1e-4, 40, smooth):
+            last, used = used, smooth(n)
+        # errors from numerical derivatives of one step
+        step = lambda r: unfold.mixing(r, eff, last) @ data
+        var = np.zeros(k)
+        for e, c in zip(*np.nonzero(p)):
+            up, down = p.copy(), p.copy()
+            up[e, c] += 1e-6
+            down[e, c] -= 1e-6
+            var += ((step(up) - step(down)) / 2e-6 * err[e, c]) ** 2
+        stat = np.sqrt((m ** 2) @ data)
+        part = n * unfold._divide(eff * 0.05, eff)
+        want[v] = it, ks, n, stat, np.sqrt(var + part ** 2)
+    out = unfold.unfold(
+        spark.createDataFrame(cells, "variant string, cause int, effect int, p double, p_err double"),
+        spark.createDataFrame(bins, "variant string, bin int, data double, data_err double, prior double, eff double, "
+                                    "eff_err double, zone int"),
+        1e-4, 40, degree, "zone" if degree else None).orderBy("variant", "bin").collect()
+    for v, (it, ks, *arrays) in want.items():
+        got = [r for r in out if r.variant == v]
+        assert [r.bin for r in got] == list(range(k)) and {r.iterations for r in got} == {it}
+        assert got[0].ks == pytest.approx(ks, rel=1e-9, abs=1e-12)
+        for name, values, rel in zip(("unfolded", "stat_err", "sys_err"), arrays, (1e-9, 1e-9, 1e-4)):
+            assert [r[name] for r in got] == pytest.approx(list(values), rel=rel, abs=1e-6)
