@@ -1,9 +1,9 @@
 """Curve fits to binned spectra: aggregates and expressions, no Python on the workers.
 
-A linear fit is one aggregate of moment sums.  A non-linear one is iterated:
-each step sums the normal equations per variant in one aggregate over the bins
-and solves three equations as an expression.  The bins of all variants move
-together, so a fit costs as many small jobs as steps, however many variants.
+A linear fit is one aggregate of moment sums.  A non-linear one packs the bins
+of a variant into one row; its steps are folded inside the row, each summing
+the normal equations over the bins and solving three equations.  Variants are
+independent rows of one job.
 """
 
 from __future__ import annotations

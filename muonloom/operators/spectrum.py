@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from muonloom.functions import splines
 from muonloom.functions.edges import bin_index, centre, dlne, edge_at
 from muonloom.functions.guards import ratio, ratio_error, ratio_or_zero
 from muonloom.functions.shapes import flux
@@ -230,3 +231,20 @@ def log_log_interpolate(at: DataFrame, spectrum: DataFrame, x: str = "log_energy
         .drop("_cell", "_x0", "_x1", "_y0", "_y1")
     )
 
+
+
+def spline_interpolate(at: DataFrame, spectra: DataFrame, by: Sequence[str], x: str = "log_energy",
+                       y: str = "flux", out: str = "flux_at") -> DataFrame:
+    """Values of tabulated spectra at other log-energies by a natural cubic spline through log10 of the flux.
+
+    A spectrum, named by ``by``, is tens of points: it becomes one row of
+    ordered arrays with its curvatures, and rows of ``at`` (which has ``by``
+    too) meet it by name.  Points outside a spectrum get no row.
+    """
+    knots = spectra.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(
+        F.col(x).alias("x"), F.log10(F.col(y)).alias("y")))).alias("_k"))
+    knots = knots.select(*by, F.col("_k.x").alias("_x"), F.col("_k.y").alias("_y"))
+    knots = knots.withColumn("_m", splines.curvatures(F.col("_x"), F.col("_y")))
+    value = splines.spline_value(F.col("_x"), F.col("_y"), F.col("_m"), F.col(x))
+    return (at.join(knots, list(by)).withColumn(out, F.pow(F.lit(10.0), value))
+            .filter(F.col(out).isNotNull()).drop("_x", "_y", "_m"))

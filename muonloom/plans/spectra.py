@@ -13,7 +13,7 @@ from muonloom.operators import fits, hist, spectrum, summary, unfold
 from muonloom.plans.booking import flux_sql
 from muonloom.plans.fit_sql import SIGMOID, fit_ctes
 from muonloom.plans.registry import G, R, edges_sql, g, in_bin, num, query, r
-from muonloom.sources.constants import HAWC_FLUX, outside_spectra
+from muonloom.sources.constants import HAWC_FLUX, THREE_YEAR_FLUX, THREE_YEAR_LOGE, outside_spectra
 
 LOGE = edges.LOGE_EDGES
 B = edges_sql(LOGE)
@@ -389,6 +389,55 @@ def spectrum_compare(t):
                     g(100.0 * (F.col("flux") / F.col("other") - 1.0), 8).alias("difference"))
 
 
+def _published_sql() -> str:
+    rows = [("hawc", round(4.05 + 0.1 * i, 2), f) for i, f in enumerate(HAWC_FLUX)]
+    rows += [("three_year", e, f) for e, f in zip(THREE_YEAR_LOGE, THREE_YEAR_FLUX)]
+    return ", ".join(f"('{n}', {num(x)}, {num(f)})" for n, x, f in rows)
+
+
+_SPLINE_SQL = f"""
+    tab AS (SELECT name, row_number() OVER (PARTITION BY name ORDER BY x) - 1 AS i, x, log10(flux) AS y,
+                   COUNT(*) OVER (PARTITION BY name) AS n
+            FROM (VALUES {_published_sql()}) AS v(name, x, flux)),
+    gap AS (SELECT *, lead(x) OVER w - x AS h, (lead(y) OVER w - y) / (lead(x) OVER w - x) AS slope FROM tab
+            WINDOW w AS (PARTITION BY name ORDER BY i)),
+    fwd AS (SELECT DISTINCT name, n, 0::BIGINT AS i, 0e0 AS c, 0e0 AS d FROM tab
+            UNION ALL
+            SELECT name, f.n, f.i + 1, b.h / (2 * (a.h + b.h) - a.h * c),
+                   (6 * (b.slope - a.slope) - a.h * d) / (2 * (a.h + b.h) - a.h * c)
+            FROM fwd f JOIN gap a USING (name) JOIN gap b USING (name)
+            WHERE a.i = f.i AND b.i = f.i + 1 AND f.i + 1 < f.n - 1),
+    bwd AS (SELECT DISTINCT name, n - 1 AS i, 0e0 AS m FROM tab
+            UNION ALL
+            SELECT name, b.i - 1, f.d - f.c * m FROM bwd b JOIN fwd f USING (name) WHERE f.i = b.i - 1 AND f.i > 0),
+    curve AS (SELECT g.*, coalesce(m.m, 0) AS m0, coalesce(k.m, 0) AS m1, g.x + g.h AS x1, y + slope * g.h AS y1 FROM gap g
+              LEFT JOIN bwd m ON m.name = g.name AND m.i = g.i LEFT JOIN bwd k ON k.name = g.name AND k.i = g.i + 1
+              WHERE g.h IS NOT NULL)"""
+
+
+@query("spline_compare", f"""
+    WITH RECURSIVE {_SPLINE_SQL},
+    f AS (SELECT bin, (lo + hi) * 0.5e0 AS e,
+                 COUNT(*) / ((hi - lo) * {LN10} * {AREA} * {SOLID} * (SELECT SUM(duration) FROM run_dim)) AS flux
+          FROM evt JOIN {B} b ON {in_bin('loge_p')} WHERE {SEEN} GROUP BY bin, lo, hi),
+    o AS (SELECT name, bin, flux, pow(1e1, (x1 - e) / h * y + (e - x) / h * y1
+                 + ((pow((x1 - e) / h, 3) - (x1 - e) / h) * m0 + (pow((e - x) / h, 3) - (e - x) / h) * m1) * h * h / 6) AS other
+          FROM f JOIN curve ON e >= x AND e < x1)
+    SELECT name, bin, {G('flux')} AS flux, {G('other', 8)} AS other, {G('100 * (flux / other - 1)', 8)} AS difference FROM o""",
+       "evt run_dim")
+def spline_compare(t):
+    """Difference from every published spectrum at our energies, by natural cubic splines."""
+    h = hist.hist1d(seen(t), F.col("loge_p"), LOGE, fill=False)
+    duration = summary.exposure(t.run_dim).select("duration").scalar()
+    lo, hi = F.col("lo"), F.col("hi")
+    flux = spectrum.flux_from_counts(F.col("n"), lo, hi, spectrum.generation_area(lo), WINDOW, duration)
+    ours = h.select("bin", edges.centre(lo, hi).alias("log_energy"), flux.alias("flux"),
+                    F.explode(F.array(F.lit("hawc"), F.lit("three_year"))).alias("name"))
+    j = spectrum.spline_interpolate(ours, outside_spectra(t.spark), ["name"], out="other")
+    return j.select("name", "bin", g("flux").alias("flux"), g("other", 8).alias("other"),
+                    g(100.0 * (F.col("flux") / F.col("other") - 1.0), 8).alias("difference"))
+
+
 #: CTEs up to ``fit``, the sigmoid through the effective area ``area`` of every particle.
 AREA_FIT_SQL = f"""
     gen AS (SELECT CAST(pdg AS VARCHAR) AS variant, bin, lo, hi, SUM(w) AS sw, sqrt(SUM(w * w)) AS se FROM evt JOIN {B} b

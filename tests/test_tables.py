@@ -367,3 +367,37 @@ def test_unfolding_by_expressions_matches_numpy(spark, degree):
         assert got[0].ks == pytest.approx(ks, rel=1e-9, abs=1e-12)
         for name, values, rel in zip(("unfolded", "stat_err", "sys_err"), arrays, (1e-9, 1e-9, 1e-4)):
             assert [r[name] for r in got] == pytest.approx(list(values), rel=rel, abs=1e-6)
+
+
+def _natural_spline(x, y, at):
+    """Plain version: the whole tridiagonal system by numpy."""
+    n, h = len(x), np.diff(x)
+    a, b = np.eye(n), np.zeros(n)
+    for i in range(1, n - 1):
+        a[i, i - 1:i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
+        b[i] = 6 * ((y[i + 1] - y[i]) / h[i] - (y[i] - y[i - 1]) / h[i - 1])
+    m = np.linalg.solve(a, b)
+    i = np.clip(np.searchsorted(x, at, side="right") - 1, 0, n - 2)
+    u, v = (x[i + 1] - at) / h[i], (at - x[i]) / h[i]
+    return u * y[i] + v * y[i + 1] + ((u ** 3 - u) * m[i] + (v ** 3 - v) * m[i + 1]) * h[i] ** 2 / 6
+
+
+def test_spline_is_natural_and_cubic(spark):
+    rng = np.random.default_rng(8)
+    x = np.sort(rng.uniform(4, 7, 12))
+    flux = 10 ** (-2.7 * x + np.sin(3 * x) + 10)
+    tables = [("long", float(a), float(b)) for a, b in zip(x, flux)][::-1]
+    tables += [("two", 5.0, 1e-3), ("two", 6.0, 1e-5), ("one", 5.0, 1.0)]
+    at = np.concatenate([np.linspace(x[0], x[-1], 40), [x[5], x[0] - 0.1, x[-1] + 0.1]])
+    points = [(n, float(a)) for n in ("long", "two", "one") for a in at]
+    out = spectrum.spline_interpolate(
+        spark.createDataFrame(points, "name string, log_energy double"),
+        spark.createDataFrame(tables, "name string, log_energy double, flux double"), ["name"])
+    got = {(r.name, r.log_energy): r.flux_at for r in out.collect()}
+    inside = [a for a in at if x[0] <= a <= x[-1]]
+    want = _natural_spline(x, np.log10(flux), np.array(inside))
+    for a, v in zip(inside, want):
+        assert got["long", a] == pytest.approx(10 ** v, rel=1e-9)
+    straight = {a: 10 ** (-3 - 2 * (a - 5)) for a in at if 5 <= a <= 6}
+    assert {a: v for (n, a), v in got.items() if n == "two"} == pytest.approx(straight, rel=1e-9)
+    assert not any(n == "one" for n, _ in got) and len(got) == len(set(inside)) + len(straight)
