@@ -13,6 +13,7 @@ from muonloom.operators.ml import core_layout
 from muonloom.plans.registry import G, R, edges_sql, g, in_bin, num, query, r
 from muonloom.plans.views import KEY, TIES
 from muonloom.schema import N_SLOTS
+from muonloom.session import cut_lineage, write_table
 from muonloom.sources import book as src
 from muonloom.sources import sinks
 from muonloom.sources.constants import DATASET_PARTICLE, FLUX_MODELS, PDG
@@ -110,6 +111,21 @@ def run_season(t):
     return n.join(t.run_dim, "run")
 
 
+def partitioned_events(t):
+    """A copy of the events in one folder per run."""
+    return t.spark.read.parquet(write_table(t.evt.select("event_id", "run", "energy", "filt"), ["run"]))
+
+
+@query("long_runs", f"""
+    SELECT run, COUNT(*) AS n, {R('SUM(energy)', 2)} AS energy, MAX(duration) AS duration
+    FROM evt JOIN run_dim USING (run) WHERE duration >= 28950 GROUP BY run""", "evt run_dim")
+def long_runs(t):
+    """Events and energy of the runs that lasted long enough; other runs' folders are not read."""
+    kept = src.selected_runs(partitioned_events(t), cut_lineage(t.run_dim), F.col("duration") >= 28950)
+    return kept.groupBy("run").agg(F.count("*").alias("n"), r(F.sum("energy"), 2).alias("energy"),
+                                   F.max("duration").alias("duration"))
+
+
 # --- derived columns ------------------------------------------------------------
 
 _FLOOR = "-3.4028235e38"

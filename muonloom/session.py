@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,14 +48,14 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL.setdefault(context.applicationId, tempfile.mkdtemp(prefix="muonloom-"))
 
 
-def write_table(df: DataFrame) -> str:
-    """Write a table to the shared folder; returns its path.
+def write_table(df: DataFrame, partition: Sequence[str] = ()) -> str:
+    """Write a table to the shared folder, in folders by ``partition``; returns its path.
 
     Tables are removed with ``drop_table``, or when the program ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(*partition) if partition else df.write).parquet(path)
     _WRITTEN.setdefault(path, spark)
     return path
 

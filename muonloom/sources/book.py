@@ -122,3 +122,15 @@ def nested_slices(pulses: DataFrame, index: DataFrame, file: Sequence[str] = ("r
     rest = [c for c in pulses.columns if c != "pulses"]
     flat = pulses.select(*rest, F.posexplode("pulses").alias("pos", "pulse"))
     return ragged_slice(flat, index, file).select("*", "pulse.*").drop("pulse")
+
+
+def selected_runs(events: DataFrame, runs: DataFrame, condition: Column, run: str = "run") -> DataFrame:
+    """Events of the runs that meet a condition on the run table, with the run's columns.
+
+    ``events`` is read from folders partitioned by run (``sinks.write_events``).
+    Which runs are wanted is known only once the run table has been filtered;
+    the join then hands the run numbers to the scan, which opens their folders
+    only.  The run list carries no hint: Spark decides by its size, and prunes
+    where it broadcasts the list or the pruning pays off by itself.
+    """
+    return events.join(runs.filter(condition), run)

@@ -170,3 +170,16 @@ def test_a_run_written_again_replaces_itself(spark, tmp_path):
     for run, n in ((1, 3), (2, 4), (1, 5)):
         sinks.write_events(spark.range(n).withColumn("run", F.lit(run)), path)
     assert {r.run: r["count"] for r in spark.read.parquet(path).groupBy("run").count().collect()} == {1: 5, 2: 4}
+
+
+def test_run_selection_prunes_folders_at_run_time(spark, tmp_path):
+    events = spark.range(400).select(F.col("id").alias("event_id"), (F.col("id") % 8).cast("int").alias("run"))
+    sinks.write_events(events, str(tmp_path / "events"))
+    spark.createDataFrame([(r, 100.0 * r) for r in range(8)], "run int, duration double").write.parquet(str(tmp_path / "runs"))
+    read = lambda name: spark.read.parquet(str(tmp_path / name))
+    kept = book.selected_runs(read("events"), read("runs"), F.col("duration") >= 600)
+    assert {(r.run, r.duration) for r in kept.collect()} == {(6, 600.0), (7, 700.0)} and kept.count() == 100
+    plan = kept._jdf.queryExecution().executedPlan()
+    assert "dynamicpruning" in plan.toString()
+    # all folders are known to the plan; which ones are opened is decided while it runs
+    assert len([f for f in kept.inputFiles() if "/events/" in f]) >= 8
