@@ -22,6 +22,8 @@ RAW = frozenset("script style title textarea iframe".split())
 HIDDEN = frozenset("noscript template svg object select button canvas audio video".split())
 #: Hidden elements that a start tag of the same name ends.
 SINGLE = frozenset("select button".split())
+#: Elements whose kind says that they are no article.
+ZONED = frozenset("nav header footer aside form".split())
 HIDDEN_START = re.compile(rf"<(?:{'|'.join(sorted(HIDDEN))})[\s/>]", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset "
@@ -53,6 +55,8 @@ HINTS = [
     "byline meta author date timestamp posted credit",
     "content article post entry main story body text articlebody postbody hentry prose",
 ]
+#: A name that begins so speaks of another part of the page: has-sidebar, no-ads, withHeader.
+OF_OTHERS = frozenset("has no non not with without".split())
 KIND_OF = {tag: i for i, tags in enumerate(KINDS) for tag in tags.split()}
 HINT_OF = {word: i for i, words in enumerate(HINTS) for word in words.split()}
 WORDS_AT = (0, 2, 5, 10, 20, 50, 200)
@@ -89,10 +93,10 @@ class Page:
 def hints_of(attrs: str) -> tuple[int, ...]:
     found = set()
     for m in NAMED.finditer(attrs):
-        for part in PART.findall(m[1] or m[2] or m[3] or ""):
-            hint = HINT_OF.get(part.lower())
-            if hint is not None:
-                found.add(hint)
+        for name in (m[1] or m[2] or m[3] or "").split():
+            parts = [part.lower() for part in PART.findall(name)]
+            if parts and parts[0] not in OF_OTHERS:
+                found.update(HINT_OF[part] for part in parts if part in HINT_OF)
     return tuple(sorted(found))
 
 
@@ -225,14 +229,51 @@ def parse(html: str) -> Page:
             if tag in CLOSES:
                 close(*CLOSES[tag])
             in_link = 0
-            if tag != "html":
-                open_.append(page.add(open_[-1], tag, hints_of(attrs)))
+            if tag != "html":  # names of the body speak of the whole page
+                open_.append(page.add(open_[-1], tag, () if tag == "body" else hints_of(attrs)))
         elif tag in VOID or tag == "br":
             run.append(" " if tag in ("br", "img", "wbr", "input") and tag != "wbr" else "")
     flush()
+    unframe(page)
     return page
 
 
+def unframe(page: Page) -> None:
+    """Takes the names off elements that frame the page instead of being a part of it.
+
+    Such an element holds ``main``, or most of the text outside reader comments
+    together with the article, its heading or (a form) other parts of the page.
+    Comments, menus, asides and footers are frames only around ``main``.
+    """
+    n = len(page.parent)
+    chars, heading = [0] * n, [0] * n
+    comments, main, article, parts = ([False] * n for _ in range(4))
+    for i in range(1, n):
+        comments[i] = comments[page.parent[i]] or 7 in page.hints[i]
+    for i in range(n - 1, 0, -1):
+        up, tag, hints = page.parent[i], page.tag[i], page.hints[i]
+        if page.text[i] is not None and not comments[i]:
+            chars[i] = len(page.text[i])
+        if tag == "h1":
+            heading[i] = chars[i]
+        named = any(h < 9 for h in hints)
+        main[up] |= main[i] or tag == "main"
+        article[up] |= article[i] or (not comments[i] and not named and (tag == "article" or 10 in hints))
+        parts[up] |= parts[i] or tag in ("nav", "header", "footer")
+        chars[up] += chars[i]
+        heading[up] += heading[i]
+    for i in range(1, n):
+        tag, hints = page.tag[i], page.hints[i]
+        if page.text[i] is not None or not (tag in ZONED or any(h < 9 for h in hints)):
+            continue
+        header = tag == "header" or 1 in hints
+        titled = not header and 0 < 2 * heading[i] < chars[i]
+        most = 7 not in hints and tag not in ("nav", "aside", "footer") and 2 * chars[i] > chars[0]
+        if main[i] or most and (article[i] or titled or tag == "form" and parts[i]):
+            page.hints[i] = tuple(h for h in hints if h >= 9)
+            page.tag[i] = "div" if tag in ZONED else tag
+
+
 def bin_of(value: float, edges: tuple) -> int:
     for i, edge in enumerate(edges):
         if value <= edge:
@@ -246,11 +287,11 @@ def zone_of(tag: str, hints: tuple[int, ...], outer: int) -> int:
     0 nowhere special, 1 in what calls itself the article, 2 in a header of the
     page, 3 in a header of the article, 4 in something else that says what it is.
     """
-    if tag in ("article", "main") and outer != 4:
+    if tag in ("article", "main") and outer != 4 and 7 not in hints:
         return 1
     if tag == "header" or 1 in hints:
         return 3 if outer in (1, 3) else 2 if outer == 0 else outer
-    if tag in ("nav", "footer", "aside", "form") or any(h < 9 for h in hints):
+    if tag in ZONED or any(h < 9 for h in hints):
         return 4
     return 1 if 10 in hints and outer == 0 else outer
 

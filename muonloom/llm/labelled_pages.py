@@ -156,11 +156,21 @@ def _page(r: random.Random) -> str:
             + r.choice(["</body></html>", ""]))
 
 
+def _framed(r: random.Random, html: str) -> str:
+    """The page inside elements whose names speak of parts that they only hold."""
+    part = r.choice([w for h in (0, 1, 2, 3, 5, 6) for w in HINTS[h].split()])
+    outer = r.choice([f'<div class="has-{part}">', f'<div class="no-{part}">', f'<div id="page-{part}-wrapper">',
+                      f'<div class="with-{part} layout">', "<form>", '<form id="page" action="#">'])
+    body = r.choice(["<body>", f'<body class="page has-{part}">', f'<body class="{part}-left single">'])
+    return html.replace("<body>", body + outer, 1)
+
+
 def generated(n: int = PAGES, seed: int = SEED) -> list[tuple[Page, list[bool]]]:
     """Pages with a label per text block."""
-    r, out = random.Random(seed), []
+    r, frames, out = random.Random(seed), random.Random(seed + 1), []
     for _ in range(n):
-        page = parse(_page(r))
+        html = _page(r)
+        page = parse(_framed(frames, html) if frames.random() < 0.2 else html)
         labels = [MARK in t for t in page.text if t is not None]
         page.text = [t and t.replace(MARK, "") for t in page.text]
         if labels:
@@ -175,7 +185,7 @@ def by_markup(page: Page) -> tuple[Page, list[bool]] | None:
     state = [False] * len(page.parent)
     for i in range(1, len(page.parent)):
         state[i] = state[page.parent[i]]
-        if page.tag[i] in ("article", "main"):
+        if page.tag[i] in ("article", "main") and 7 not in page.hints[i]:
             state[i] = True
         elif page.tag[i] in ("nav", "aside", "footer", "form") or any(h < 9 for h in page.hints[i]):
             state[i] = False

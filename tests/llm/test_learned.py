@@ -103,6 +103,37 @@ def test_templates(model, around):
         "First point of the day.", "Second point of the day."])
 
 
+STORY = "<h1>A long day</h1><p>It was a long day, and nobody spoke a word.</p><p>Later they all went home again.</p>"
+AROUND_STORY = "A long day\n\nIt was a long day, and nobody spoke a word.\n\nLater they all went home again."
+
+
+@pytest.mark.parametrize("html", [
+    f'<body class="has-sidebar"><div class="layout"><div class="post">{STORY}</div></div></body>',
+    f'<body class="sidebar-left single"><div class="post">{STORY}</div></body>',
+    f'<div class="no-ads"><article>{STORY}</article></div>',
+    f'<div class="page-header-wrapper"><div class="content">{STORY}</div></div>',
+    f"<form>{CHROME}<article>{STORY}</article></form>",
+    f'<form id="aspnetForm">{CHROME}<div id="content">{STORY}</div><footer>(c) 2020 Us.</footer></form>',
+    f"<form>{CHROME}<div>{STORY}</div></form>",
+    f'<div class="banner-layout">{CHROME}<main>{STORY}</main></div>',
+    f'<div class="with-newsletter"><article>{STORY}</article>'
+    f'<div class="newsletter"><p>Get our letter every week, free of charge.</p></div></div>'])
+def test_names_of_outer_elements_are_no_verdict(model, html):
+    assert text_of(model, html) == AROUND_STORY
+
+
+@pytest.mark.parametrize("part", [
+    '<div class="comments">' + "<article class='comment-body'><p>I liked this story very much, thanks.</p></article>" * 9
+    + "</div>",
+    '<div class="sidebar"><h3>Popular</h3><p>Read what others have read this week.</p></div>',
+    '<form class="newsletter"><p>Get our letter every week, free of charge.</p><input></form>',
+    '<div class="ad"><p>Buy two, pay one. Best prices in town.</p></div>'])
+def test_parts_of_framed_pages_stay_out(model, part):
+    for html in (f'<body class="has-sidebar"><div class="no-ads"><article>{STORY}</article>{part}</div></body>',
+                 f"<form>{CHROME}<article>{STORY}</article>{part}</form>"):
+        assert text_of(model, html) == AROUND_STORY
+
+
 @pytest.mark.parametrize("html", ["", " ", "<", "<p", "</p></div>", "<script>x", "<!-- <p>x</p>", "<a href='x>y</a>",
                                   "<p>" * 300, "<div>" * 2000 + "x", "&#xFFFFFFFF; &bogus; &amp", "<ul><li><table><td>"])
 def test_broken_markup(model, html):
