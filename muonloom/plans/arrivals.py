@@ -6,7 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from muonloom.plans.registry import query
+from muonloom.operators import hist
+from muonloom.plans.hits import GAP_EDGES, seconds
+from muonloom.plans.registry import edges_sql, in_bin, query
 from muonloom.session import shared_dir
 from muonloom.streaming import incremental
 
@@ -45,3 +47,16 @@ def stream_rate(t):
     incremental.run_to_table(rate, out, state).awaitTermination()
     return t.spark.read.parquet(out).select(
         F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "hits")
+
+
+@query("stream_gaps", f"""
+    WITH d AS (SELECT event_type AS run, date_diff('microsecond', TIMESTAMP '2024-01-01', ts) / 1e6 AS t FROM events
+               WHERE CAST(CAST(ts AS DATE) + 1 AS TIMESTAMP) <= (SELECT MAX(ts) - INTERVAL 1 HOUR FROM events)),
+         gaps AS (SELECT run, t - lag(t) OVER (PARTITION BY run ORDER BY t) AS gap FROM d),
+         b AS {edges_sql(GAP_EDGES)}
+    SELECT run, bin, COUNT(*) AS n FROM gaps JOIN b ON {in_bin('gap')} GROUP BY run, bin""")
+def stream_gaps(t):
+    stamped = _stream(t, "events").select(
+        F.col("event_type").alias("run"), F.col("ts").cast("timestamp").alias("ts"), seconds().alias("t"))
+    gaps = incremental.arriving_gaps(stamped, ["run"], "ts", "t", *_folders(t), length="1 day")
+    return hist.hist_gaps(gaps, GAP_EDGES, ["run"]).select("run", "bin", "n")

@@ -253,22 +253,26 @@ def hits_time_diff(t):
         "event_id", "slot", r("v").alias("value"))
 
 
-_GAP_EDGES = edges.linspace(0.0, 3000.0, 153)
+GAP_EDGES = edges.linspace(0.0, 3000.0, 153)
 _GAPS_SQL = f"""
     WITH d AS (SELECT event_type AS run, date_diff('microsecond', TIMESTAMP '2024-01-01', ts) / 1e6 AS t
                FROM events),
          gaps AS (SELECT run, t - lag(t) OVER (PARTITION BY run ORDER BY t) AS gap FROM d),
-         b AS {edges_sql(_GAP_EDGES)},
+         b AS {edges_sql(GAP_EDGES)},
          h AS (SELECT run, bin, lo, COUNT(*) AS n FROM gaps JOIN b ON {in_bin('gap')}
                GROUP BY run, bin, lo)"""
 
 
+def seconds():
+    """Seconds since 2024 of an event."""
+    return F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '2024-01-01 00:00:00', "
+                  "CAST(ts AS TIMESTAMP_NTZ))") / 1e6
+
+
 def _gap_hist(t):
-    times = t.raw("events").select(F.col("event_type").alias("run"), (F.expr(
-        "timestampdiff(MICROSECOND, TIMESTAMP_NTZ '2024-01-01 00:00:00', "
-        "CAST(ts AS TIMESTAMP_NTZ))") / 1e6).alias("t"))
+    times = t.raw("events").select(F.col("event_type").alias("run"), seconds().alias("t"))
     gaps = pulses.ordered_gaps(times, ["run"], "t")
-    return hist.hist_gaps(gaps, _GAP_EDGES, ["run"])
+    return hist.hist_gaps(gaps, GAP_EDGES, ["run"])
 
 
 @query("event_gaps", _GAPS_SQL + "SELECT run, bin, n FROM h")

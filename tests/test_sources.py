@@ -1,10 +1,12 @@
 """Run files in, tables out."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from muonloom import schema
-from muonloom.operators import geometry
+from muonloom.operators import geometry, pulses
 from muonloom.sources import book, constants, sinks
 from muonloom.streaming import incremental
 
@@ -132,6 +134,61 @@ def test_windowed_histogram_drops_only_open_windows(spark, tmp_path):
     assert got == {(1, 0, 1), (1, 1, 1), (2, 0, 1)}
 
 
+GAP_SCHEMA = "run string, s double, extra int"
+
+
+def _add_times(spark, path, rows):
+    spark.createDataFrame(rows, GAP_SCHEMA).coalesce(1).write.mode("append").parquet(path)
+
+
+def _stamped(spark, path):
+    return (spark.readStream.schema(GAP_SCHEMA).parquet(path)
+            .select("run", F.timestamp_seconds("s").alias("stamp"), F.col("s").alias("t"), "extra"))
+
+
+def _tuples(df):
+    return sorted((str(r.run), r.time, r.gap) for r in df.collect() for _ in range(r.n))
+
+
+def test_gaps_of_arriving_files_are_those_of_the_whole(spark, tmp_path):
+    src, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    draw = random.Random(5)
+    rows = [(draw.choice(["a", "a", "a", "b", None]), float(draw.randrange(36_000)), 1) for _ in range(600)]
+    rows += [("a", 40_000.0, 1), ("b", 50_000.0, 1), ("b", None, 1), (None, None, None), ("a", 100_000.0, 1)]
+    # a row comes at most half an hour of event time late
+    rows.sort(key=lambda x: (x[1] or 0.0) + draw.random() * 1800)
+    cuts = [0, 150, 151, 400, len(rows)]
+    for k in range(4):
+        _add_times(spark, src, rows[cuts[k]:cuts[k + 1]])
+        stream = _stamped(spark, src)
+        if k == 1:  # the second stream of this call is lost; the next call makes up for it
+            slices = incremental.closed_slices(stream, ["run"], "stamp", "t")
+            incremental.run_to_table(slices, f"{out}/slices", f"{state}/slices").awaitTermination()
+            continue
+        gaps = incremental.arriving_gaps(stream, ["run"], "stamp", "t", out, state)
+    # all slices are over but that of the last row
+    whole = spark.createDataFrame([x for x in rows if x[1] is not None and x[1] < 100_000.0 and x[0]], GAP_SCHEMA)
+    got = _tuples(gaps)
+    assert [g for g in got if g[0] != "None"] == _tuples(pulses.ordered_gaps(whole, ["run"], "s"))
+    nameless = sorted(s for run, s, _ in rows if run is None and s is not None)
+    assert [g for g in got if g[0] == "None"] == sorted(
+        ("None", b, b - a) for a, b in zip(nameless, nameless[1:]))
+    again = incremental.arriving_gaps(_stamped(spark, src), ["run"], "stamp", "t", out, state)
+    assert _tuples(again) == got
+
+
+def test_gaps_of_no_and_of_late_rows(spark, tmp_path):
+    src, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    spark.createDataFrame([], GAP_SCHEMA).write.parquet(src)
+    args = (["run"], "stamp", "t", out, state)
+    assert incremental.arriving_gaps(_stamped(spark, src), *args).count() == 0
+    for rows in ([("a", 10.0, 1), ("a", 10.0, 1), ("a", 90_000.0, 1)], [("a", 11.0, 1), ("a", 200_000.0, 1)]):
+        _add_times(spark, src, rows)
+        got = _tuples(incremental.arriving_gaps(_stamped(spark, src), *args))
+    # the row at 11 s came after its slice was closed
+    assert got == [("a", 10.0, 0.0), ("a", 90_000.0, 89_990.0)]
+
+
 def test_constant_tables(spark):
     p = constants.flux_parameters(spark)
     assert {r.model: r["count"] for r in p.groupBy("model").count().collect()} == {
