@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import functions as F, types as T
 
@@ -13,9 +14,9 @@ from muonloom.operators.ml import core_layout
 from muonloom.plans.registry import G, R, edges_sql, g, in_bin, num, query, r
 from muonloom.plans.views import KEY, TIES
 from muonloom.schema import N_SLOTS
-from muonloom.session import cut_lineage, write_table
+from muonloom.session import cut_lineage, shared_dir, write_table
+from muonloom.sources import aligned, sinks
 from muonloom.sources import book as src
-from muonloom.sources import sinks
 from muonloom.sources.constants import DATASET_PARTICLE, FLUX_MODELS, PDG
 
 ORDERS = T.StructType([
@@ -96,6 +97,26 @@ def write_back(t):
     return sinks.attach_column(t.evt.select("event_id"), scored, KEY)
 
 
+@query("aligned_columns", """
+    SELECT e.event_id, """ + R("e.loge") + """ AS loge, h.n_hits, CASE WHEN e.filt THEN """ + R("e.loge_p") + """ END
+      AS predicted
+    FROM evt e LEFT JOIN (SELECT event_id, COUNT(*) AS n_hits FROM pulse GROUP BY event_id) h
+      ON h.event_id = e.event_id""", "evt pulse")
+def aligned_columns(t):
+    """Events, their hit counts and predictions, each written in the same buckets, then joined and written back."""
+    root = f"{shared_dir(t.spark)}/aligned-{uuid.uuid4().hex}"
+    buckets = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = {"events": t.evt.select("event_id", r("loge").alias("loge")),
+             "hits": t.pulse.groupBy(*KEY).agg(F.count("*").alias("n_hits")),
+             "scores": t.evt.filter("filt").select("event_id", r("loge_p").alias("predicted"))}
+    at = {name: aligned.write_aligned(df, f"{root}/{name}", KEY, buckets) for name, df in parts.items()}
+    hits, scores = (aligned.read_aligned(t.spark, at[name], KEY, parts[name].schema) for name in ("hits", "scores"))
+    events = parts["events"].schema
+    with_hits = aligned.write_back(t.spark, at["events"], hits, f"{root}/with_hits", KEY, events)
+    both = T.StructType([*events, hits.schema["n_hits"]])
+    return aligned.aligned_join(aligned.read_aligned(t.spark, with_hits, KEY, both), scores, keys=KEY)
+
+
 @query("incomplete_runs", """
     SELECT event_id FROM evt WHERE event_id NOT IN (SELECT event_id FROM pulse)""", "evt pulse")
 def incomplete(t):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from muonloom import schema
 from muonloom.operators import geometry, pulses
-from muonloom.sources import book, constants, sinks
+from muonloom.sources import aligned, book, constants, sinks
 from muonloom.streaming import incremental
 
 
@@ -189,6 +189,47 @@ def test_gaps_of_no_and_of_late_rows(spark, tmp_path):
     assert got == [("a", 10.0, 0.0), ("a", 90_000.0, 89_990.0)]
 
 
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_aligned_tables_join_without_exchange(spark, tmp_path):
+    keys = ["run", "event_id"]
+    base = spark.range(1000).selectExpr("id % 7 AS run", "id AS event_id", "id * 2 AS a")
+    some = base.filter("event_id % 3 = 0").selectExpr("run", "event_id", "event_id AS b")
+    at = [aligned.write_aligned(df, str(tmp_path / n), keys, 6) for n, df in (("base", base), ("some", some))]
+    left, right = (aligned.read_aligned(spark, x, keys) for x in at)
+    whole = aligned.aligned_join(left, right, keys=keys)
+    assert "Exchange" not in _plan(whole)
+    expected = sorted((i % 7, i, i * 2, i if i % 3 == 0 else None) for i in range(1000))
+    assert sorted(tuple(x) for x in whole.collect()) == expected
+    # written back in the same buckets: still no exchange, and joins on with others
+    back = aligned.write_back(spark, at[0], right, str(tmp_path / "back"), keys)
+    again = aligned.aligned_join(aligned.read_aligned(spark, back, keys),
+                                 right.withColumnRenamed("b", "c"), keys=keys)
+    assert "Exchange" not in _plan(again)
+    assert sorted(tuple(x) for x in again.collect()) == [x + (x[3],) for x in expected]
+    with pytest.raises(ValueError):
+        aligned.write_back(spark, at[0], left, str(tmp_path / "clash"), keys)
+    assert not [x for x in spark.catalog.listTables() if x.name.startswith("aligned_")]
+
+
+def test_aligned_tables_of_unequal_buckets_and_odd_rows(spark, tmp_path):
+    fields = "run int, event_id long, {} string"
+    a = spark.createDataFrame([(1, 1, "x"), (1, 2, "y"), (1, 2, "y"), (None, 3, "z"), (2, None, "w")], fields.format("a"))
+    b = spark.createDataFrame([(1, 2, "p"), (2, None, "q"), (5, 5, "r")], fields.format("b"))
+    expected = [("w", None), ("x", None), ("y", "p"), ("y", "p"), ("z", None)]
+    for counts in ((4, 4), (4, 3), (2, 8)):
+        one, two = (aligned.read_aligned(spark, aligned.write_aligned(
+            df, str(tmp_path / f"{n}{counts}"), ["run", "event_id"], k), ["run", "event_id"])
+            for df, n, k in zip((a, b), "ab", counts))
+        got = aligned.aligned_join(one, two, keys=["run", "event_id"])
+        assert sorted((r.a, r.b) for r in got.collect()) == expected
+    empty = aligned.write_aligned(b.limit(0), str(tmp_path / "none"), ["run", "event_id"], 4)
+    got = aligned.aligned_join(one, aligned.read_aligned(spark, empty, ["run", "event_id"], b.schema), keys=["run", "event_id"])
+    assert got.count() == 5 and got.filter("b IS NOT NULL").count() == 0
+
+
 def test_constant_tables(spark):
     p = constants.flux_parameters(spark)
     assert {r.model: r["count"] for r in p.groupBy("model").count().collect()} == {
