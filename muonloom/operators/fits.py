@@ -13,7 +13,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from muonloom.functions.guards import ratio
-from muonloom.functions.linear import invert3, solve3
+from muonloom.functions.linear import invert3, let, solve3
 
 
 def log_parabola(hist: DataFrame, by: Sequence[str], x: Column, counts: Column) -> DataFrame:
@@ -67,6 +67,8 @@ def exponential_livetime(gaps: DataFrame, by: Sequence[str] = (), t: str = "lo",
 
 #: Steps of a fit, damping at its start, and the factors it changes by after a worse and a better step.
 STEPS, DAMP, UP, DOWN = 60, 1e-3, 10.0, 0.1
+#: A fit has converged when the undamped step from its end is shorter than this share of its parameters.
+CLOSE = 1e-6
 
 #: A curve of x and three parameters: its value and its three derivatives.
 Curve = Callable[[Column, Column, Column, Column], tuple[Column, Column, Column, Column]]
@@ -88,15 +90,19 @@ def least_squares(points: DataFrame, start: DataFrame, curve: Curve, by: str, st
     """Damped least squares of a three-parameter curve, one fit per value of ``by``.
 
     ``points``: (by, x, y, w), a few bins per variant; ``start``: (by, p0, p1, p2).
-    Returns by, n, cost, p0..p2 and their standard errors e0..e2 and covariances
-    c01, c02, c12 from the curvature at the end, scaled by cost / (n - 3).
+    Returns by, n, converged, cost, p0..p2 and their standard errors e0..e2 and
+    covariances c01, c02, c12 from the curvature at the end, scaled by cost / (n - 3).
 
     The bins of a variant are packed into one array, so a step is arithmetic in
     one row: the sums of J'J and J'r run over the array, the three equations
     are solved with their diagonal raised by the damping, and the step is taken
     if the cost does not rise.  Steps are folded in ``aggregate``: there is one
-    shuffle for the whole fit.  A variant with fewer points than parameters has
-    NULL results.
+    shuffle for the whole fit.
+
+    The undamped step from the end, each parameter measured by its column of the
+    Jacobian, tells whether there is a minimum there.  A variant whose parameters
+    still run (no peak among its bins, a flat valley), whose equations are singular,
+    or that has fewer points than parameters, has ``converged`` false and NULL results.
     """
     packed = points.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.array_sort(
         F.collect_list(F.struct("x", "y", "w"))).alias("points")).join(start, by)
@@ -127,18 +133,31 @@ def least_squares(points: DataFrame, start: DataFrame, curve: Curve, by: str, st
             F.concat(F.slice(s, 1, 3), F.array(F.least(damp * UP, F.lit(1e12))), F.slice(s, 5, 10))))[0]
 
     last = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), first, step)
-    fitted = packed.withColumn("s", F.when(F.col("n") >= 3, last))
-    s = [F.col("s")[i] for i in range(14)]
-    inverse = invert3(s[5:11])
-    scale = ratio(s[4], F.greatest(F.col("n") - 3, F.lit(1)).cast("double"))
-    error = lambda v: F.when(v.isNotNull(), F.sqrt(F.greatest(v * scale, F.lit(0.0))))
-    return fitted.select(by, "n", s[4].alias("cost"), *[s[i].alias(f"p{i}") for i in range(3)],
-                         *[error(inverse[k]).alias(f"e{i}") for i, k in enumerate((0, 3, 5))],
-                         *[(inverse[k] * scale).alias(name) for name, k in (("c01", 1), ("c02", 2), ("c12", 4))])
+
+    def ending(s):
+        """Figures at the end of the steps, each computed once: a filter on one of them may repeat the expression."""
+        scale = ratio(s[4], F.greatest(F.col("n") - 3, F.lit(1)).cast("double"))
+        length = lambda v: sum((s[i] * x * x for i, x in zip((5, 8, 10), v)), F.lit(0.0))
+
+        def figures(inverse, ahead):
+            done = F.coalesce(length([ahead[i] for i in range(3)]) <= CLOSE * CLOSE * length([s[i] for i in range(3)]), F.lit(False))
+            values = {"cost": s[4], **{f"p{i}": s[i] for i in range(3)},
+                      **{f"e{i}": F.sqrt(F.greatest(inverse[k] * scale, F.lit(0.0))) for i, k in enumerate((0, 3, 5))},
+                      **{name: inverse[k] * scale for name, k in (("c01", 1), ("c02", 2), ("c12", 4))}}
+            return let(done, lambda ok: F.struct(
+                ok.alias("converged"), *[F.when(ok, v).alias(name) for name, v in values.items()]))
+
+        step = lambda v: F.array(*[sum((v[k] * s[11 + i] for i, k in enumerate(row)), F.lit(0.0))
+                                   for row in ((0, 1, 2), (1, 3, 4), (2, 4, 5))])
+        return let(F.array(*invert3([s[i] for i in range(5, 11)])), lambda v: let(step(v), lambda m: figures(v, m)))
+
+    fitted = packed.withColumn("fit", F.when(F.col("n") >= 3, let(last, ending)))
+    return fitted.select(by, "n", F.coalesce("fit.converged", F.lit(False)).alias("converged"), *[
+        F.col(f"fit.{c}").alias(c) for c in ("cost", "p0", "p1", "p2", "e0", "e1", "e2", "c01", "c02", "c12")])
 
 
 def gaussian_fit(hist: DataFrame, key: str, x: str, counts: str, steps: int = STEPS) -> DataFrame:
-    """Least-squares Gaussian per group of filled bins: amplitude, mean, sigma and their errors."""
+    """Least-squares Gaussian per group of filled bins: converged, amplitude, mean, sigma and their errors."""
     use = hist.filter(F.col(counts) > 0).select(
         key, F.col(x).cast("double").alias("x"), F.col(counts).cast("double").alias("y"), F.lit(1.0).alias("w"))
     m = use.groupBy(key).agg(F.max("y").alias("p0"), F.sum("y").alias("_n"), F.sum(F.col("x") * F.col("y")).alias("_x"),
@@ -147,7 +166,7 @@ def gaussian_fit(hist: DataFrame, key: str, x: str, counts: str, steps: int = ST
     spread = F.sqrt(F.greatest(F.col("_xx") / F.col("_n") - mean * mean, F.lit(0.0)))
     start = m.select(key, "p0", mean.alias("p1"), F.when(spread > 0, spread).otherwise(F.lit(1.0)).alias("p2"))
     f = least_squares(use, start, gauss_curve, key, steps)
-    return f.select(key, F.col("p0").alias("amplitude"), F.col("p1").alias("mean"), F.abs("p2").alias("sigma"),
+    return f.select(key, "converged", F.col("p0").alias("amplitude"), F.col("p1").alias("mean"), F.abs("p2").alias("sigma"),
                     F.col("e0").alias("amplitude_err"), F.col("e1").alias("mean_err"), F.col("e2").alias("sigma_err"))
 
 

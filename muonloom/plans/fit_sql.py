@@ -23,7 +23,7 @@ def _sums(curve: list[str], p: tuple[str, ...], out: str) -> str:
 
 
 def fit_ctes(key: str, points: str, start: str, curve: list[str], steps: int = fits.STEPS) -> str:
-    """CTEs (in a recursive WITH) that end in ``fit``: key, n, cost, p0..p2, e0..e2, c01, c02, c12.
+    """CTEs (in a recursive WITH) that end in ``fit``: key, n, converged, cost, p0..p2, e0..e2, c01, c02, c12.
 
     ``points``: SELECT of key, x, y, w; ``start``: SELECT of key, p0, p1, p2.
     """
@@ -50,13 +50,20 @@ def fit_ctes(key: str, points: str, start: str, curve: list[str], steps: int = f
                               p1 + coalesce((k1 * s7 + k3 * s8 + k4 * s9) / nullif(det, 0), 0) AS q1,
                               p2 + coalesce((k2 * s7 + k4 * s8 + k5 * s9) / nullif(det, 0), 0) AS q2
                        FROM it WHERE k < {steps}) JOIN pts USING ({key}))),
-    fit AS (SELECT {key}, n, s0 AS cost, p0, p1, p2, CASE WHEN v0 IS NOT NULL THEN sqrt(greatest(v0 * f, 0)) END AS e0, CASE WHEN v3 IS NOT NULL THEN sqrt(greatest(v3 * f, 0)) END AS e1,
-                   CASE WHEN v5 IS NOT NULL THEN sqrt(greatest(v5 * f, 0)) END AS e2, v1 * f AS c01, v2 * f AS c02, v4 * f AS c12
-            FROM (SELECT {key}, n, s0, p0, p1, p2, s0 / greatest(n - 3, 1) AS f,
-                         s1 * (s4 * s6 - s5 * s5) + s2 * (s3 * s5 - s2 * s6) + s3 * (s2 * s5 - s3 * s4) AS det,
-                         (s4 * s6 - s5 * s5) / nullif(det, 0) AS v0, (s3 * s5 - s2 * s6) / nullif(det, 0) AS v1,
-                         (s2 * s5 - s3 * s4) / nullif(det, 0) AS v2, (s1 * s6 - s3 * s3) / nullif(det, 0) AS v3,
-                         (s2 * s3 - s1 * s5) / nullif(det, 0) AS v4, (s1 * s4 - s2 * s2) / nullif(det, 0) AS v5
-                  FROM it JOIN (SELECT {key}, n FROM pts) USING ({key}) WHERE k = {steps})
+    ends AS (SELECT {key}, n, s0 AS cost, p0, p1, p2, s1, s4, s6, s7, s8, s9, s0 / greatest(n - 3, 1) AS f,
+                    s1 * (s4 * s6 - s5 * s5) + s2 * (s3 * s5 - s2 * s6) + s3 * (s2 * s5 - s3 * s4) AS det,
+                    (s4 * s6 - s5 * s5) / nullif(det, 0) AS v0, (s3 * s5 - s2 * s6) / nullif(det, 0) AS v1,
+                    (s2 * s5 - s3 * s4) / nullif(det, 0) AS v2, (s1 * s6 - s3 * s3) / nullif(det, 0) AS v3,
+                    (s2 * s3 - s1 * s5) / nullif(det, 0) AS v4, (s1 * s4 - s2 * s2) / nullif(det, 0) AS v5
+             FROM it JOIN (SELECT {key}, n FROM pts) USING ({key}) WHERE k = {steps}),
+    judged AS (SELECT *, coalesce(s1 * pow(v0 * s7 + v1 * s8 + v2 * s9, 2) + s4 * pow(v1 * s7 + v3 * s8 + v4 * s9, 2)
+                                  + s6 * pow(v2 * s7 + v4 * s8 + v5 * s9, 2)
+                                  <= {num(fits.CLOSE ** 2)} * (s1 * p0 * p0 + s4 * p1 * p1 + s6 * p2 * p2), FALSE) AS converged
+               FROM ends),
+    fit AS (SELECT {key}, n, converged, {', '.join(
+        f'CASE WHEN converged THEN {v} END AS {name}' for name, v in [
+            ('cost', 'cost'), *[(f'p{i}', f'p{i}') for i in range(3)],
+            *[(f'e{i}', f'sqrt(greatest(v{k} * f, 0))') for i, k in enumerate((0, 3, 5))],
+            ('c01', 'v1 * f'), ('c02', 'v2 * f'), ('c12', 'v4 * f')])} FROM judged
             UNION ALL
-            SELECT {key}, n, {', '.join(['NULL::DOUBLE'] * 10)} FROM pts WHERE n < 3)"""
+            SELECT {key}, n, FALSE, {', '.join(['NULL::DOUBLE'] * 10)} FROM pts WHERE n < 3)"""

@@ -330,9 +330,9 @@ def gauss_bias(t):
                CASE WHEN SUM(x * x * y) / SUM(y) - pow(SUM(x * y) / SUM(y), 2) > 0
                     THEN sqrt(SUM(x * x * y) / SUM(y) - pow(SUM(x * y) / SUM(y), 2)) ELSE 1 END AS p2
         FROM h GROUP BY bin_x""", GAUSS)}
-    SELECT bin_x, {G('p0', 6)} AS amplitude, {R('p1', 5)} AS mean, {R('abs(p2)', 5)} AS sigma,
+    SELECT bin_x, converged, {G('p0', 6)} AS amplitude, {R('p1', 5)} AS mean, {R('abs(p2)', 5)} AS sigma,
            {G('e0', 5)} AS amplitude_err, {G('e1', 5)} AS mean_err, {G('e2', 5)} AS sigma_err FROM fit""", "evt")
 def gauss_fit(t):
     f = fits.gaussian_fit(_slices(t), "bin_x", "mid", "sum_w")
-    return f.select("bin_x", g("amplitude", 6).alias("amplitude"), r("mean", 5).alias("mean"), r("sigma", 5).alias("sigma"),
+    return f.select("bin_x", "converged", g("amplitude", 6).alias("amplitude"), r("mean", 5).alias("mean"), r("sigma", 5).alias("sigma"),
                     *[g(c, 5).alias(c) for c in ("amplitude_err", "mean_err", "sigma_err")])

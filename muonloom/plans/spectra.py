@@ -454,11 +454,11 @@ AREA_FIT_SQL = f"""
 
 @query("sigmoid_aeff", f"""
     WITH RECURSIVE {AREA_FIT_SQL}
-    SELECT variant, n, {', '.join(f"{G(c, 6)} AS {c}" for c in ('p0', 'p1', 'p2'))},
+    SELECT variant, n, converged, {', '.join(f"{G(c, 6)} AS {c}" for c in ('p0', 'p1', 'p2'))},
            {', '.join(f"{G(c, 5)} AS {c}" for c in ('e0', 'e1', 'e2', 'c01', 'c02', 'c12'))} FROM fit""", "evt booked")
 def sigmoid_aeff(t):
     f = fits.sigmoid_fit(area_bins(t), 4.0, 7.0)
-    return f.select("variant", "n", *[g(c, 6).alias(c) for c in ("p0", "p1", "p2")],
+    return f.select("variant", "n", "converged", *[g(c, 6).alias(c) for c in ("p0", "p1", "p2")],
                     *[g(c, 5).alias(c) for c in ("e0", "e1", "e2", "c01", "c02", "c12")])
 
 

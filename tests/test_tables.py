@@ -316,6 +316,19 @@ def test_sigmoid_fit_errors_are_those_of_the_inverse(spark):
         assert (g.c01, g.c02, g.c12) == pytest.approx((cov[0, 1], cov[0, 2], cov[1, 2]), rel=1e-4)
 
 
+def test_a_fit_without_a_minimum_says_so(spark):
+    """A slope without a peak and two points give no figures; a peak beside them does."""
+    x = np.linspace(-1, 1, 9)
+    shapes = {"slope": np.exp(-3 * x), "peak": 9 * np.exp(-x * x / 0.18) + 0.1 * np.cos(9 * x) + 0.2}
+    rows = [(k, float(a), float(b)) for k, y in shapes.items() for a, b in zip(x, y)] + [("two", 0.0, 1.0), ("two", 1.0, 2.0)]
+    f = fits.gaussian_fit(spark.createDataFrame(rows, "k string, x double, n double"), "k", "x", "n")
+    got = {r.k: r for r in f.collect()}
+    assert {k: r.converged for k, r in got.items()} == {"slope": False, "peak": True, "two": False}
+    figures = ("amplitude", "mean", "sigma", "amplitude_err", "mean_err", "sigma_err")
+    for k, r in got.items():
+        assert all((r[c] is not None) == (k == "peak") for c in figures)
+
+
 def test_fits_and_unfolding_run_without_python_workers(spark):
     b = spark.createDataFrame([("s", 5.0 + i / 10, 1.0 + i, 1.0) for i in range(5)],
                               "variant string, log_energy double, aeff double, aeff_err double")
