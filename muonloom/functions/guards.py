@@ -32,6 +32,21 @@ def quadrature(*parts: Column) -> Column:
     return F.sqrt(total)
 
 
+def is_finite(x: Column) -> Column:
+    """Neither NULL nor NaN nor infinite; never NULL itself."""
+    return F.coalesce(~F.isnan(x) & (F.abs(x) < math.inf), F.lit(False))
+
+
+def finite(x: Column) -> Column:
+    """As numpy's nan_to_num on float32: NULL and NaN become 0, infinities the limits of the type."""
+    return (
+        F.when(is_finite(x), x)
+        .when(x == -math.inf, F.lit(FLOAT32_LOWEST))
+        .when(x == math.inf, F.lit(-FLOAT32_LOWEST))
+        .otherwise(F.lit(0.0))
+    )
+
+
 def log10_feature(x: Column) -> Column:
     """log10 for a feature vector: 0 maps to the float32 floor, NaN to 0."""
     return (

@@ -17,8 +17,8 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from muonloom.functions.features import log_array
-from muonloom.functions.guards import log10_feature, ratio
+from muonloom.functions.features import log_array, pad, zeros
+from muonloom.functions.guards import finite, is_finite, log10_feature, ratio
 from muonloom.operators.hist import metrics
 from muonloom.operators.ranking import permute, shuffle_key
 from muonloom.schema import N_SLOTS
@@ -48,7 +48,10 @@ class Layout:
         return F.concat(*parts)
 
     def vector(self) -> Column:
-        return array_to_vector(self.as_array())
+        """One vector of ``size`` finite numbers: what is missing is 0, and no group is wider than it says."""
+        parts = [pad(F.slice(F.coalesce(c, zeros(w)), 1, w), w) if w > 1 else F.array(c.cast("double"))
+                 for c, w in self.groups.values()]
+        return array_to_vector(F.transform(F.concat(*parts), finite))
 
 
 def core_layout() -> Layout:
@@ -100,6 +103,12 @@ def feature_block(df: DataFrame, layout: Layout, label: Column, keys: Sequence[s
     return df.select(*cols, layout.vector().alias("features"))
 
 
+def trainable(block: DataFrame, weighted: bool = False) -> DataFrame:
+    """The rows a forest can learn from: a finite label and, if weighted, a finite weight of 0 or more."""
+    rows = block.filter(is_finite(F.col("label")))
+    return rows.filter(is_finite(F.col("weight")) & (F.col("weight") >= 0)) if weighted else rows
+
+
 @dataclass(frozen=True)
 class ForestSettings:
     trees: int = 1000
