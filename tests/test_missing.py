@@ -31,7 +31,7 @@ def assert_as_sql(spark, folder, name):
     assert want and canonical([tuple(r) for r in df.collect()], df.columns) == canonical(want, [d[0] for d in c.description])
 
 
-@pytest.mark.parametrize("name", ["rf_core", "rf_core_y", "rf_energy", "rf_predict"])
+@pytest.mark.parametrize("name", ["rf_core", "rf_core_y", "rf_energy", "rf_predict", "rf_zenith"])
 def test_every_event_is_scored_despite_missing_values(spark, holed, name):
     assert_as_sql(spark, holed, name)
 
