@@ -385,14 +385,18 @@ def out_of_bag(block: DataFrame, models: Sequence[PipelineModel], keys: Sequence
 
 
 def mean_baseline(block: DataFrame, fold: str = "fold") -> DataFrame:
-    """(fold, n, mean_rmse): error of predicting each fold by the mean label of the other folds."""
-    f = block.groupBy(fold).agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("_s"),
+    """(fold, n, mean_rmse): error of predicting each fold by the mean label of the other folds.
+
+    Rows without a label count in ``n`` only.
+    """
+    f = block.groupBy(fold).agg(F.count(F.lit(1)).alias("n"), F.count("label").alias("_l"), F.sum("label").alias("_s"),
                                 F.sum(F.col("label") * F.col("label")).alias("_q"))
     whole = Window.partitionBy(F.lit(0))  # one row per fold
-    mean = ratio(F.sum("_s").over(whole) - F.col("_s"), F.sum("n").over(whole) - F.col("n"))
+    mean = ratio(F.sum("_s").over(whole) - F.col("_s"), F.sum("_l").over(whole) - F.col("_l"))
     f = f.withColumn("_m", mean)
-    square = (F.col("_q") - 2 * F.col("_m") * F.col("_s")) / F.col("n") + F.col("_m") * F.col("_m")
-    return f.select(fold, "n", F.sqrt(F.greatest(square, F.lit(0.0))).alias("mean_rmse"))
+    square = ratio(F.col("_q") - 2 * F.col("_m") * F.col("_s"), F.col("_l")) + F.col("_m") * F.col("_m")
+    return f.withColumn("_e", square).select(
+        fold, "n", F.sqrt(F.when(F.col("_e") < 0, 0.0).otherwise(F.col("_e"))).alias("mean_rmse"))
 
 
 def evaluate(scored: DataFrame, label: str = "label", prediction: str = "prediction",

@@ -44,3 +44,12 @@ def test_vectors_are_finite_and_as_wide_as_the_layout(spark):
     got = [list(r.v) for r in rows.select(layout.vector().alias("v")).collect()]
     big = 3.4028235e38
     assert got == [[1, 1, 2], [0, 0, 0], [big, 0, 0], [-big, 5, 6], [2, 3, 0]]
+
+
+def test_heldout_metrics_trains_and_scores_every_fold(spark, holed, monkeypatch):
+    scored, evaluate = [], ml.evaluate
+    monkeypatch.setattr(ml, "evaluate", lambda df, **by: scored.append(df.count()) or evaluate(df, **by))
+    got = entry.queries()["heldout_metrics"](spark, holed).collect()
+    assert len(got) == 3 and all(r.is_sane for r in got)
+    assert len(scored) == 1 and 0 < scored[0] < sum(r.n for r in got)
+    assert_as_sql(spark, holed, "heldout_metrics")
