@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -9,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from muonloom.functions.directions import distance
 from muonloom.functions.features import pad, zeros
 from muonloom.operators.geometry import locate, tank_of
-from muonloom.operators.skew import key_counts, salted_join
+from muonloom.operators.skew import key_counts, mark, salted_join
 from muonloom.schema import N_SLOTS
 from muonloom.session import cut_lineage
 
@@ -124,36 +126,50 @@ def seeded_clean(pulses: DataFrame, tanks: DataFrame, radius: float = 180.0,
     keeps nothing new (or ``rounds`` are over, if given).  Returns all hits with
     a ``kept`` flag.
 
-    A round only asks what the hits kept by the round before reach, and only
-    of the hits not kept yet, so the work shrinks from round to round.  Each
-    round starts from a written table.
+    Only events with a seed can change, so rounds work on the distinct (event,
+    tank, time) of those alone, each from a written table; a round asks what the
+    ones kept by the round before reach of the others in the same events.  The
+    hits themselves are never written: at the end they meet the kept keys,
+    which Spark broadcasts while they are few.
     """
     p = pulses if "tank" in pulses.columns else pulses.withColumn("tank", tank_of(F.col("om")))
+    on = [*keys, "station"]
+    p = p.filter(functools.reduce(operator.and_, [F.col(c).isNotNull() for c in on]))
+    tank_id = F.concat_ws("|", F.col("station"), F.col("tank"))
     spots = tanks.select("station", "tank", F.col("x").alias("_x"), F.col("y").alias("_y"))
-    hits = _with_multiplicity(p, p, keys, "inner").join(spots, ["station", "tank"], "left")
-    state = (
-        hits.withColumn("tank_id", F.concat_ws("|", F.col("station"), F.col("tank")))
-        .withColumn("slice", F.floor(F.col("time") / window).cast("long"))
-        .withColumn("kept", F.col("n_tanks") >= 2).drop("n_tanks")
+    seeds = cut_lineage(station_multiplicity(p, keys).filter("n_tanks >= 2").select(*on, F.col("n_hits").alias("_n")))
+    state = cut_lineage(
+        p.select(*on, "tank", "time").join(seeds.select(*keys).distinct(), list(keys), "left_semi")
+        .groupBy(*on, "tank", "time").agg(F.count(F.lit(1)).alias("_hits"))
+        .join(spots, ["station", "tank"], "left")
+        .join(seeds.select(*on, F.lit(True).alias("kept")), on, "left")
+        .select(*keys, tank_id.alias("tank_id"), "time", "_x", "_y", "_hits",
+                F.floor(F.col("time") / window).cast("long").alias("slice"),
+                F.coalesce("kept", F.lit(False)).alias("kept"))
     )
     within = (
         (F.col("same") == 1)
         | (F.col("time") - F.col("before") <= window)
         | (F.col("after") - F.col("time") <= window)
     )
-    done, passed = None, 0
+    reached, passed = [], 0
     while rounds is None or passed < rounds:
-        state = cut_lineage(state)
         new, rest = state.filter("kept"), state.filter("NOT kept")
         if new.isEmpty():
             break
-        done = new if done is None else done.unionByName(new)
-        state = salted_join(
+        rest = rest.join(new.select(*keys).distinct(), list(keys), "left_semi")
+        state = cut_lineage(salted_join(
             rest, _reach(new, rest, radius, keys), [*keys, "tank_id", "slice"], "left"
-        ).withColumn("kept", F.coalesce(within, F.lit(False))).drop("same", "before", "after")
+        ).withColumn("kept", F.coalesce(within, F.lit(False))).drop("same", "before", "after"))
+        reached.append(state.filter("kept"))
         passed += 1
-    out = state if done is None else done.unionByName(state)
-    return out.select(*p.columns, "kept")
+    out = p.join(spots.select("station", "tank"), ["station", "tank"], "left").withColumn("tank_id", tank_id)
+    out, kept = mark(out, seeds, on, "_seed"), F.col("_seed")
+    if reached:
+        spot = [*keys, "tank_id", "time"]
+        found = functools.reduce(DataFrame.unionByName, reached).groupBy(*spot).agg(F.max("_hits").alias("_n"))
+        out, kept = mark(out, cut_lineage(found), spot, "_reached"), F.coalesce("_seed", "_reached")
+    return out.select(*p.columns, F.coalesce(kept, F.lit(False)).alias("kept"))
 
 
 def top_pulses(pulses: DataFrame, keys: Sequence[str] = EVENT_KEY, n: int = N_SLOTS,

@@ -39,3 +39,21 @@ def salted_join(facts: DataFrame, dim: DataFrame, keys: Sequence[str], how: str
     copies = F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1)
     right = dim.join(hot, keys, "left").withColumn("_salt", F.explode(copies)).drop("_parts")
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
+
+
+def mark(facts: DataFrame, marks: DataFrame, keys: Sequence[str], name: str,
+         rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Facts with a column ``name``: TRUE where ``marks`` has their key, else NULL.
+
+    ``marks`` is a written table with one row per key and ``_n``, the number of
+    facts that have it.  Spark knows its size and broadcasts it if it is small,
+    so that the facts stay where they are; else hot keys are salted.
+    """
+    keys = list(keys)
+    marks = marks.select(*keys, F.ceil(F.col("_n") / rows_per_task).cast("int").alias("_parts"))
+    hot = F.broadcast(marks.filter(F.col("_parts") > 1))
+    part = F.pmod(F.xxhash64(*[F.col(c) for c in facts.columns]), F.col("_parts")).cast("int")
+    left = facts.join(hot, keys, "left").withColumn("_salt", F.coalesce(part, F.lit(0))).drop("_parts")
+    right = marks.select(*keys, F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_salt"),
+                         F.lit(True).alias(name))
+    return left.join(right, [*keys, "_salt"], "left").drop("_salt")
