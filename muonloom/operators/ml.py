@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import functools
 import math
-from collections.abc import Mapping, Sequence
+import warnings
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from multiprocessing.pool import ThreadPool
 
@@ -161,6 +162,20 @@ def predict(model: PipelineModel, block: DataFrame, keys: Sequence[str],
     return model.transform(block).select(*keys, *keep, F.col("prediction").alias(name))
 
 
+def fit_predict(fit: Callable[[DataFrame], PipelineModel], rows: DataFrame, block: DataFrame, keys: Sequence[str],
+                keep: Sequence[str] = (), needed: bool = False) -> DataFrame:
+    """``block`` scored by the forest that ``fit`` makes of ``rows``.
+
+    Without rows predictions are NULL, or it is an error if a forest is ``needed``.
+    """
+    if rows.isEmpty():
+        if needed:
+            raise ValueError("no event to learn from passes the training mask")
+        warnings.warn("no event passes the training mask: events are returned without a prediction", stacklevel=2)
+        return block.select(*keys, *keep, F.lit(None).cast("double").alias("prediction"))
+    return predict(fit(rows), block, keys, "prediction", keep)
+
+
 def cross_half(block: DataFrame, s: ForestSettings, keys: Sequence[str], half: str = "half",
                weighted: bool = False) -> DataFrame:
     """Train on each half and score the other one."""

@@ -53,3 +53,39 @@ def test_heldout_metrics_trains_and_scores_every_fold(spark, holed, monkeypatch)
     assert len(got) == 3 and all(r.is_sane for r in got)
     assert len(scored) == 1 and 0 < scored[0] < sum(r.n for r in got)
     assert_as_sql(spark, holed, "heldout_metrics")
+
+
+def untrained(tmp_path, keep):
+    """The small tables without coincident hits but in the events where ``keep``: the training masks pass no others."""
+    con = connect(FOLDER)
+    for table in TABLES:
+        changed = (f"* REPLACE (CASE WHEN {keep} THEN l_suppkey ELSE l_suppkey - l_suppkey % 2 END AS l_suppkey)"
+                   if table == "lineitem" else "*")
+        con.execute(f"COPY (SELECT {changed} FROM {table}) TO '{tmp_path}/{table}.parquet' (FORMAT parquet)")
+    return str(tmp_path)
+
+
+def rows_and_range(spark, folder, name):
+    """Rows but for ``in_range``, which have to be those of the SQL, and ``in_range`` by event."""
+    df = entry.queries()[name](spark, folder)
+    got = df.collect()
+    want = (c := connect(folder).execute(entry.oracle_sql()[name])).fetchall()
+    names, plain = [d[0] for d in c.description], [x for x in df.columns if x != "in_range"]
+    pick = lambda rows, of: [tuple(r[of.index(x)] for x in plain) for r in rows]
+    assert want and canonical(pick(got, df.columns), plain) == canonical(pick(want, names), plain)
+    return {r.event_id: r.in_range for r in got}
+
+
+@pytest.mark.parametrize("name", ["rf_core", "rf_core_y", "rf_predict"])
+def test_events_are_returned_unscored_where_no_event_passes_the_mask(spark, tmp_path, name):
+    with pytest.warns(UserWarning, match="without a prediction"):
+        assert not any(rows_and_range(spark, untrained(tmp_path, "FALSE"), name).values())
+
+
+@pytest.mark.parametrize("name", ["rf_core_y"])
+def test_only_the_fold_whose_others_have_no_training_event_is_unscored(spark, tmp_path, name):
+    fold = lambda e: (e * 7919 + 104729) % 1000003 % 3
+    with pytest.warns(UserWarning, match="without a prediction"):
+        got = rows_and_range(spark, untrained(tmp_path, "(l_orderkey * 7919 + 104729) % 1000003 % 3 = 0"), name)
+    assert {fold(e): v for e, v in got.items()} == {0: False, 1: True, 2: True}
+    assert all(v == (fold(e) != 0) for e, v in got.items())
