@@ -76,13 +76,13 @@ def rows_and_range(spark, folder, name):
     return {r.event_id: r.in_range for r in got}
 
 
-@pytest.mark.parametrize("name", ["rf_core", "rf_core_y", "rf_energy", "rf_predict"])
+@pytest.mark.parametrize("name", ["rf_core", "rf_core_y", "rf_energy", "rf_predict", "rf_zenith"])
 def test_events_are_returned_unscored_where_no_event_passes_the_mask(spark, tmp_path, name):
     with pytest.warns(UserWarning, match="without a prediction"):
         assert not any(rows_and_range(spark, untrained(tmp_path, "FALSE"), name).values())
 
 
-@pytest.mark.parametrize("name", ["rf_core_y", "rf_energy"])
+@pytest.mark.parametrize("name", ["rf_core_y", "rf_energy", "rf_zenith"])
 def test_only_the_fold_whose_others_have_no_training_event_is_unscored(spark, tmp_path, name):
     fold = lambda e: (e * 7919 + 104729) % 1000003 % 3
     with pytest.warns(UserWarning, match="without a prediction"):
