@@ -77,43 +77,36 @@ def _reach(kept: DataFrame, rest: DataFrame, radius: float, keys: Sequence[str])
     a neighbouring tank is always within the window; for the slices before and
     after only the latest and the earliest kept time matter.  Kept hits shrink
     to one row per event, tank and slice.  They meet the tanks that other hits
-    of the same event lie in through space cells of side ``radius``, so pairs of
-    tanks exist only where both were hit, never for the geometry as a whole.  A
-    tank reaches itself, also when its position is unknown.
+    of the same event lie in through space cells two radii wide, of which a kept
+    hit reaches at most four; the slices before and after are asked for by the
+    other side.  Pairs of tanks exist only where both were hit, never for the
+    geometry as a whole.  A tank reaches itself, also when its position is unknown.
     """
-    none = F.lit(None).cast("double")
-    slot = lambda shift, same, before, after: F.struct(
-        (F.col("slice") + shift).alias("slice"), F.lit(same).alias("same"),
-        before.alias("before"), after.alias("after"))
-    spread = (
-        kept.groupBy(*keys, "tank_id", "slice").agg(
-            F.min("time").alias("t_min"), F.max("time").alias("t_max"),
-            F.first("_x").alias("_x"), F.first("_y").alias("_y"))
-        .select(*keys, "tank_id", "_x", "_y",
-                F.inline(F.array(slot(0, 1, none, none), slot(1, 0, F.col("t_max"), none),
-                                 slot(-1, 0, none, F.col("t_min")))))
+    shift = F.explode(F.array(*[F.lit(n) for n in (-1, 0, 1)]))
+    spread = kept.groupBy(*keys, "tank_id", "slice").agg(
+        F.min("time").alias("t_min"), F.max("time").alias("t_max"),
+        F.first("_x").alias("x0"), F.first("_y").alias("y0"))
+    reach = radius * (1 + 1e-6)  # cells may be one too many: distances are compared below
+    cell = lambda c: F.floor(c / (2 * radius)).cast("long")
+    span = lambda c: F.explode(F.sequence(cell(F.col(c) - reach), cell(F.col(c) + reach)))
+    around = spread.drop("tank_id").withColumn("cx", span("x0")).withColumn("cy", span("y0"))
+    wanted = (
+        rest.select(*keys, "tank_id", F.col("slice").alias("_own"), "_x", "_y").distinct()
+        .withColumns({"cx": cell(F.col("_x")), "cy": cell(F.col("_y"))})
+        .withColumn("shift", shift).withColumn("slice", F.try_add("_own", "shift"))
     )
-    side = lambda c: F.floor(F.col(c) / radius).cast("long")
-    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"))
-                      for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    around = (
-        spread.withColumn("step", F.explode(steps))
-        .withColumn("cx", side("_x") + F.col("step.i")).withColumn("cy", side("_y") + F.col("step.j"))
-        .select(*keys, "slice", "cx", "cy", F.col("_x").alias("x0"), F.col("_y").alias("y0"),
-                "same", "before", "after")
-    )
-    wanted = rest.select(*keys, "tank_id", "slice", "_x", "_y").distinct().withColumns(
-        {"cx": side("_x"), "cy": side("_y")})
     apart = distance(*[F.col(c) for c in ("_x", "_y", "x0", "y0")])
-    state = ["same", "before", "after"]
-    near = around.join(wanted, [*keys, "slice", "cx", "cy"]).filter(apart <= radius)
-    return (
-        near.select(*keys, "tank_id", "slice", *state)
-        .unionByName(spread.select(*keys, "tank_id", "slice", *state))
-        .groupBy(*keys, "tank_id", "slice").agg(
-            F.max("same").alias("same"), F.max("before").alias("before"),
-            F.min("after").alias("after"))
+    # Spark sizes tables before they are exploded: neither side may be broadcast for that
+    near = (
+        around.join(wanted.hint("merge"), [*keys, "slice", "cx", "cy"]).filter(apart <= radius)
+        .select(*keys, "tank_id", F.col("_own").alias("slice"), "shift", "t_min", "t_max")
     )
+    itself = spread.withColumn("shift", shift).select(
+        *keys, "tank_id", F.try_subtract("slice", "shift").alias("slice"), "shift", "t_min", "t_max")
+    at = lambda n, value: F.when(F.col("shift") == n, value)
+    return near.unionByName(itself).groupBy(*keys, "tank_id", "slice").agg(
+        F.max(at(0, F.lit(1))).alias("same"), F.max(at(-1, F.col("t_max"))).alias("before"),
+        F.min(at(1, F.col("t_min"))).alias("after"))
 
 
 def seeded_clean(pulses: DataFrame, tanks: DataFrame, radius: float = 180.0,
