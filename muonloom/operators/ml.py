@@ -162,18 +162,31 @@ def predict(model: PipelineModel, block: DataFrame, keys: Sequence[str],
     return model.transform(block).select(*keys, *keep, F.col("prediction").alias(name))
 
 
+def mean_label(rows: DataFrame) -> float | None:
+    """Mean label, by weight where ``rows`` have weights above 0; None without rows."""
+    mean = F.avg("label")
+    if "weight" in rows.columns:
+        weighted = ratio(F.sum(F.col("label") * F.col("weight")), F.sum("weight"))
+        mean = F.when(is_finite(weighted), weighted).otherwise(mean)
+    return rows.agg(mean).first()[0]
+
+
 def fit_predict(fit: Callable[[DataFrame], PipelineModel], rows: DataFrame, block: DataFrame, keys: Sequence[str],
                 keep: Sequence[str] = (), needed: bool = False) -> DataFrame:
     """``block`` scored by the forest that ``fit`` makes of ``rows``.
 
-    Without rows predictions are NULL, or it is an error if a forest is ``needed``.
+    The forest learns labels less their mean, which its predictions get back: MLlib's trees say 0 where their bag
+    is empty, as happens with few rows.  Without rows predictions are NULL, or it is an error if a forest is
+    ``needed``.
     """
-    if rows.isEmpty():
+    mean = mean_label(rows)
+    if mean is None:
         if needed:
             raise ValueError("no event to learn from passes the training mask")
         warnings.warn("no event passes the training mask: events are returned without a prediction", stacklevel=2)
         return block.select(*keys, *keep, F.lit(None).cast("double").alias("prediction"))
-    return predict(fit(rows), block, keys, "prediction", keep)
+    model = fit(rows.withColumn("label", F.col("label") - mean))
+    return predict(model, block, keys, "prediction", keep).withColumn("prediction", F.col("prediction") + mean)
 
 
 def cross_half(block: DataFrame, s: ForestSettings, keys: Sequence[str], half: str = "half",

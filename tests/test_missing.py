@@ -3,6 +3,7 @@
 import math
 
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -89,3 +90,32 @@ def test_only_the_fold_whose_others_have_no_training_event_is_unscored(spark, tm
         got = rows_and_range(spark, untrained(tmp_path, "(l_orderkey * 7919 + 104729) % 1000003 % 3 = 0"), name)
     assert {fold(e): v for e, v in got.items()} == {0: False, 1: True, 2: True}
     assert all(v == (fold(e) != 0) for e, v in got.items())
+
+
+def trained_on_one(tmp_path):
+    """Tables in which one event passes the masks, a simulated one, and that event."""
+    sql = entry.oracle_sql()["rf_energy"]
+    event = connect(FOLDER).execute(f"SELECT min(event_id) FROM ({sql}) WHERE mask AND event_id % 2 = 0").fetchone()[0]
+    return untrained(tmp_path, f"l_orderkey = {event}"), event
+
+
+def assert_one_is_enough(spark, tmp_path, name):
+    folder, event = trained_on_one(tmp_path)
+    fold = lambda e: (e * 7919 + 104729) % 1000003 % 3
+    got = rows_and_range(spark, folder, name)
+    assert all(v == (name == "rf_predict" or fold(e) != fold(event)) for e, v in got.items())
+
+
+@pytest.mark.parametrize("name", ["rf_energy", "rf_predict"])
+def test_weighted_forests_of_one_event_say_its_label(spark, tmp_path, name):
+    assert_one_is_enough(spark, tmp_path, name)
+
+
+@pytest.mark.parametrize("weights", [[1.0], [2.0, 2.0], [0.0, 0.0, 0.0]])
+def test_empty_bags_do_not_pull_predictions_to_zero(spark, weights):
+    rows = spark.createDataFrame([(i, 10.0 + i, w, [float(i)]) for i, w in enumerate(weights)],
+                                 "event_id long, label double, weight double, x array<double>")
+    block = rows.withColumn("features", array_to_vector("x"))
+    fit = lambda b: ml.train(b, ml.ForestSettings(trees=40, depth=3, min_leaf=1, bins=32), weighted=True)
+    for r in ml.fit_predict(fit, block, block, ["event_id"]).collect():
+        assert 10 - 1e-9 <= r.prediction <= 9 + len(weights) + 1e-9
