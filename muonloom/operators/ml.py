@@ -142,16 +142,29 @@ def train(block: DataFrame, s: ForestSettings, weighted: bool = False) -> Pipeli
 def train_cv(block: DataFrame, s: ForestSettings, grid: Mapping[str, Sequence] | None = None,
              fold_col: str | None = None, parallelism: int = 3, weighted: bool = False
              ) -> tuple[PipelineModel, list[float]]:
-    """k-fold cross-validated grid; the best mean RMSE wins.  Returns (model, mean RMSEs)."""
+    """k-fold cross-validated grid; the best mean RMSE wins.  Returns (model, mean RMSEs).
+
+    Without ``fold_col`` rows are dealt by a digest of their features, and a fold that gets none is left out.
+    Where fewer than two folds have rows there is nothing to compare: the model has the settings as they are and
+    the RMSEs are NaN.
+    """
     rf = forest(s, weighted)
     builder = ParamGridBuilder()
     for name, values in (grid or {"maxDepth": [s.depth]}).items():
         builder = builder.addGrid(rf.getParam(name), list(values))
+    points, pipeline, folds = builder.build(), Pipeline(stages=[rf]), s.folds
+    if not fold_col:
+        fold_col = "_fold"
+        digest = F.xxhash64(vector_to_array("features"), F.lit(s.seed))
+        block = block.withColumn(fold_col, F.pmod(digest, F.lit(folds)).cast("int"))
+        used = sorted(r[0] for r in block.select(fold_col).distinct().collect())
+        if len(used) < 2:
+            return pipeline.fit(block), [math.nan] * len(points)
+        folds = len(used)
+        block = block.withColumn(fold_col, (F.array_position(F.lit(used), F.col(fold_col)) - 1).cast("int"))
     cv = CrossValidator(
-        estimator=Pipeline(stages=[rf]), estimatorParamMaps=builder.build(),
-        evaluator=RegressionEvaluator(), numFolds=s.folds, seed=s.seed, parallelism=parallelism)
-    if fold_col:
-        cv = cv.setFoldCol(fold_col)
+        estimator=pipeline, estimatorParamMaps=points, evaluator=RegressionEvaluator(), numFolds=folds, seed=s.seed,
+        parallelism=parallelism).setFoldCol(fold_col)
     fitted = cv.fit(block)
     return fitted.bestModel, list(fitted.avgMetrics)
 

@@ -119,3 +119,17 @@ def test_empty_bags_do_not_pull_predictions_to_zero(spark, weights):
     fit = lambda b: ml.train(b, ml.ForestSettings(trees=40, depth=3, min_leaf=1, bins=32), weighted=True)
     for r in ml.fit_predict(fit, block, block, ["event_id"]).collect():
         assert 10 - 1e-9 <= r.prediction <= 9 + len(weights) + 1e-9
+
+
+@pytest.mark.parametrize("name", ["rf_core", "rf_core_y", "rf_zenith"])
+def test_geometry_forests_of_one_event_say_its_label(spark, tmp_path, name):
+    assert_one_is_enough(spark, tmp_path, name)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5])
+def test_grid_over_fewer_rows_than_folds_need(spark, n):
+    block = spark.range(n).select((F.col("id") + 10.0).alias("label"), array_to_vector(F.array(F.col("id") * 1.0)).alias("features"))
+    s = ml.ForestSettings(trees=5, depth=5, min_leaf=1, bins=32, folds=3)
+    model, rmse = ml.train_cv(block, s, {"maxDepth": [3, 5]})
+    assert model.transform(block).count() == n and len(rmse) == 2
+    assert n > 1 or all(math.isnan(x) for x in rmse) and model.stages[-1].getOrDefault("maxDepth") == 5
