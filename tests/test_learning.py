@@ -1,5 +1,6 @@
 """Feature layouts, folds and forests."""
 
+import duckdb
 import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
@@ -41,6 +42,50 @@ def test_published_settings():
     assert (ml.ENERGY.trees, ml.ENERGY.depth, ml.ENERGY.min_leaf) == (600, 10, 10)
 
 
+@pytest.fixture(scope="module")
+def showers(tmp_path_factory):
+    """Sixty events of six equal hits, in both tanks of three stations: the training masks pass every one."""
+    folder = str(tmp_path_factory.mktemp("showers"))
+    tables = {
+        "supplier": "SELECT i AS s_suppkey, 1000.0 * i AS s_acctbal, CAST(i AS INTEGER) AS s_nationkey FROM range(6) t(i)",
+        "orders": """SELECT i AS o_orderkey, i % 30 AS o_custkey, 1000.0 + 50 * i AS o_totalprice, 'O' AS o_orderstatus,
+                            DATE '1995-01-01' AS o_orderdate FROM range(1, 61) t(i)""",
+        "lineitem": """SELECT i AS l_orderkey, i * 6 + j AS l_partkey, j AS l_suppkey, CAST(j AS INTEGER) AS l_linenumber,
+                              100.0 * i AS l_extendedprice, DATE '1995-01-01' + CAST(j AS INTEGER) AS l_shipdate
+                       FROM range(1, 61) t(i), range(6) u(j)"""}
+    for name, sql in tables.items():
+        duckdb.sql(f"COPY ({sql}) TO '{folder}/{name}.parquet' (FORMAT parquet)")
+    return folder
+
+
+def registered_forests(spark, folder, name, monkeypatch):
+    """The forests that score the events of ``folder`` in the registered query, one for each fold."""
+    models, predict = [], ml.predict
+    monkeypatch.setattr(ml, "predict", lambda model, *a, **k: models.append(model.stages[-1]) or predict(model, *a, **k))
+    rows = entry.queries()[name](spark, folder).collect()
+    assert len(rows) == 60 and all(r.mask and r.in_range for r in rows) and len(models) == learning.FOLDS
+    return models
+
+
+def test_registered_core_forests_are_the_published_ones(spark, showers, monkeypatch):
+    grids, train_cv = [], ml.train_cv
+    monkeypatch.setattr(ml, "train_cv", lambda rows, s, grid, **k: grids.append(grid) or train_cv(rows, s, grid, **k))
+    for model in registered_forests(spark, showers, "rf_core", monkeypatch):
+        got = [model.getOrDefault(p) for p in ("minInstancesPerNode", "maxBins")]
+        assert model.getNumTrees == 1000 and model.getOrDefault("maxDepth") in (12, 14) and got == [10, 50]
+    assert grids == [{"maxDepth": [12, 14]}] * learning.FOLDS
+
+
+def test_grid_of_the_core_forest_follows_its_settings(spark, monkeypatch):
+    monkeypatch.setattr(learning, "held_out", lambda *a, grid, **k: grid["maxDepth"])
+    assert [learning.rf_core(None, ml.ForestSettings(depth=d)) for d in (1, 5, 14)] == [[0, 1], [3, 5], [12, 14]]
+
+
+def test_trees_of_a_forest_are_wrapped_when_asked_for(signal):
+    model = ml.train(signal, S).stages[-1]
+    assert "trees" not in vars(model) and len(model.trees) == model.getNumTrees == S.trees
+
+
 def test_out_of_fold_beats_the_mean_and_covers_all(signal):
     models = ml.fit_folds(signal, S)
     scored = ml.out_of_fold(signal, models, KEY)
